@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import media, packing, quality, shared, toxicity, vptree
+from quadrat.llm import licenses, linededup, media, packing, quality, shared, toxicity, vptree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.decompose(_table(spark, sf_dir, "documents"), tokenizer_path(), 2048, with_ids=False).drop("ids")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(_table(spark, sf_dir, "documents"))
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return vptree.search(vptree.build_index(vectors), vectors.where(F.col("vec_id") % 20 == 0), 20)
@@ -41,20 +45,29 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.read_media(spark, path))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_sentences", "n_known", F.array_join("licences", ",").alias("licences"))
+
+
 QUERIES = {
     "op1_quality_resampling": op1_quality_resampling,
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
+    "op4_line_dedup": op4_line_dedup,
     "op7_nearest": op7_nearest,
     "op8_media": op8_media,
+    "op9_licenses": op9_licenses,
 }
 
 ORACLES = {
+    "op4_line_dedup": linededup.oracle(),
+    "op9_licenses": licenses.oracle(),
     "op7_nearest": """
         WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-                     AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-                     AND len(list_filter(embedding, x -> x <> 0)) > 0),
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
         q AS (SELECT vec_id, min(e) AS e FROM v WHERE vec_id % 20 = 0 GROUP BY vec_id),
         s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e) AS score
               FROM q JOIN v ON v.vec_id <> q.vec_id AND len(v.e) = len(q.e)),
