@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import licenses, linededup, media, packing, quality, shared, toxicity, vptree
+from quadrat.llm import licenses, linededup, media, mixing, packing, quality, shared, toxicity, vptree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(_table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return vptree.search(vptree.build_index(vectors), vectors.where(F.col("vec_id") % 20 == 0), 20)
@@ -55,6 +59,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_line_dedup": op4_line_dedup,
+    "op5_mixing": op5_mixing,
     "op7_nearest": op7_nearest,
     "op8_media": op8_media,
     "op9_licenses": op9_licenses,
