@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import licenses, linededup, media, mixing, packing, quality, shared, toxicity, vptree
+from quadrat.llm import licenses, linededup, media, minhash, mixing, packing, quality, shared, toxicity, vptree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_sentences", "n_known", F.array_join("licences", ",").alias("licences"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_resampling": op1_quality_resampling,
     "op2_toxicity": op2_toxicity,
@@ -63,6 +67,7 @@ QUERIES = {
     "op7_nearest": op7_nearest,
     "op8_media": op8_media,
     "op9_licenses": op9_licenses,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 ORACLES = {
