@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import licenses, linededup, media, minhash, mixing, packing, quality, shared, toxicity, vptree
+from quadrat.llm import licenses, linededup, media, minhash, mixing, packing, quality, repeats, shared, toxicity, vptree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return vptree.search(vptree.build_index(vectors), vectors.where(F.col("vec_id") % 20 == 0), 20)
@@ -64,6 +68,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_line_dedup": op4_line_dedup,
     "op5_mixing": op5_mixing,
+    "op6_repeats": op6_repeats,
     "op7_nearest": op7_nearest,
     "op8_media": op8_media,
     "op9_licenses": op9_licenses,

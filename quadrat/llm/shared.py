@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no folder, as in local tests.
 LOCAL = "/tmp/quadrat-checkpoints"
@@ -32,3 +33,15 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     path = new_path(spark, kind)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def keyed(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with a long column ``key`` that names each row: doc_id where that is one, else a number.
+
+    Numbers are written down with the rows, so that a task that runs again sees the same ones.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("id"))
+    rows, there, most = ids.groupBy("id").count().agg(F.sum("count"), F.sum(F.when(F.col("id").isNotNull(), 1)), F.max("count")).first()
+    if not rows or (most == 1 and there == rows):
+        return docs.withColumn(key, F.col("doc_id").cast("long"))
+    return written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
