@@ -9,10 +9,12 @@ the rest of the registers only, so that each register sees one arrival of rate `
 that arrives first, and a shingle stops once it is later than all registers of its text.  Bands are fixed subsets of
 registers; texts that agree in a band share a bucket.
 
-Equal texts are one node.  In a bucket all nodes are compared with a pivot, those that are linked to it leave, and the
-rest goes on with more pivots until no two are left, so that a bucket of n nodes that resemble each other costs n
-comparisons.  What a node that left might have been linked to is bounded by the triangle inequality of 1 - similarity,
-and the pairs within that bound whose classes still differ are compared as well: no link of a bucket is lost.
+Equal texts are one node.  In a bucket every node is compared with a pivot, the node that meets most others over all its
+buckets, so that one node serves as pivot of most buckets of a group of near copies and a bucket of n nodes costs n
+comparisons; nodes that are not linked to it have a second pivot among themselves.  Then the classes so far are formed,
+and nodes that share a bucket but not a class are held against each other by four bits of each register within the join:
+only pairs that agree enough to be links come out of it and are verified, so copies are never expanded into all pairs
+and no link between two classes is left out.
 
 Cases: null and empty texts, and texts without a letter or digit, have no shingles; equal ones are copies of each other
 like other equal texts, and nothing else is linked to them.  Null ``doc_id`` are rows like others; a class is named by
@@ -25,18 +27,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.llm import textbytes as tb
 from quadrat.llm.shared import written
 
 WORDS, SIMILARITY = 5, 0.8
-REGISTERS, BANDS, ROWS = 128, 40, 7
-#: Signatures that agree less than this are not verified: eight standard deviations below SIMILARITY.
-LEAST_AGREEMENT = 0.45
-#: Pivots of a bucket after the first, round by round; the last number holds from there on.
-PIVOTS = (16, 128, 1024)
+REGISTERS, BANDS, ROWS = 128, 64, 9
+#: Texts whose registers agree in a smaller share are not verified: four standard deviations below SIMILARITY.
+LEAST_AGREEMENT = 0.66
+#: Registers in each long of a sketch, at four bits each.
+PER_LONG = 16
 
 _FIELDS = np.stack([np.random.default_rng(20 + b).permutation(REGISTERS)[:ROWS] for b in range(BANDS)])
 
@@ -90,14 +92,15 @@ def registers(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, rows: in
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, text digest, signature bytes and band keys (null without shingles) of every row."""
+    """doc_id, text digest, sketch and band keys (null without shingles) of every row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, z, raw, offsets in tb.steps(batch.column(2)):
                 row, key, n = shingles(raw, offsets)
                 held = registers(row, key, n, z - a)
-                short = tb.mix(held).astype(np.uint8)
+                four = (tb.mix(held) & np.uint64(15)).reshape(z - a, -1, PER_LONG) << (np.arange(PER_LONG, dtype=np.uint64) * np.uint64(4))
+                sketch = np.bitwise_or.reduce(four, 2).view(np.int64)
                 bands = np.stack([_band(held[:, f], i) for i, f in enumerate(_FIELDS)], 1) if z > a else np.zeros((0, BANDS), np.uint64)
                 none = np.bincount(row, minlength=z - a) == 0
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel().view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
@@ -105,14 +108,14 @@ def signatures(docs: DataFrame) -> DataFrame:
                     [
                         batch.column(0).slice(a, z - a),
                         batch.column(1).slice(a, z - a),
-                        pa.array([None if e else s.tobytes() for s, e in zip(short, none, strict=True)], pa.binary()),
+                        pa.FixedSizeListArray.from_arrays(pa.array(sketch.ravel()), REGISTERS // PER_LONG).cast(pa.list_(pa.int64())),
                         pa.compute.if_else(pa.array(~none), lists, pa.scalar(None, lists.type)),
                     ],
-                    ["doc_id", "node", "sig", "bands"],
+                    ["doc_id", "node", "sketch", "bands"],
                 )
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("node"), text.alias("text")).mapInArrow(sign, "doc_id long, node binary, sig binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("node"), text.alias("text")).mapInArrow(sign, "doc_id long, node binary, sketch array<long>, bands array<long>")
 
 
 def _band(held: np.ndarray, band: int) -> np.ndarray:
@@ -149,21 +152,28 @@ def similarity(a: tuple, b: tuple, pairs: int) -> np.ndarray:
     return np.bincount(pair[both], 1 / (above[both] / x[both] + below[both] / y[both]), pairs)
 
 
+def agreement(a: Column, b: Column) -> Column:
+    """Share of registers in which two sketches agree, less what four bits agree by chance."""
+
+    def unlike(x: Column, y: Column) -> Column:
+        z = x.bitwiseXOR(y)
+        z = z.bitwiseOR(F.shiftright(z, 1))
+        z = z.bitwiseOR(F.shiftright(z, 2))
+        return F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
+
+    differ = F.aggregate(F.zip_with(a, b, unlike), F.lit(0), lambda t, x: t + x)
+    return 1 - differ * (16 / 15 / REGISTERS)
+
+
 class Verifier:
-    """Exact similarities of pairs of nodes; pairs whose signatures agree too little are left out."""
+    """Exact similarities of pairs of nodes; pairs whose sketches agree too little are left out."""
 
-    def __init__(self, nodes: DataFrame, texts: DataFrame):
-        self.nodes, self.texts = nodes, texts
+    def __init__(self, sketches: DataFrame, texts: DataFrame):
+        self.sketches, self.texts = sketches, texts
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         """(p, q, j) of distinct pairs (p, q)."""
 
-        def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                a = np.frombuffer(b"".join(batch.column("sp").to_pylist()), np.uint8).reshape(-1, REGISTERS)
-                b = np.frombuffer(b"".join(batch.column("sq").to_pylist()), np.uint8).reshape(-1, REGISTERS)
-                yield batch.select(["p", "q"]).filter(pa.array((a == b).mean(1) >= LEAST_AGREEMENT))
-
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in range(0, len(batch), 128):
@@ -171,8 +181,8 @@ class Verifier:
                     sides = [[np.concatenate(x) for x in zip(*((s[0] + a, *s[1:]) for a, _, raw, offsets in tb.steps(part.column(c)) for s in [shingles(raw, offsets)]))] for c in ("tp", "tq")]
                     yield pa.RecordBatch.from_arrays([part.column("p"), part.column("q"), pa.array(similarity(*sides, len(part)))], ["p", "q", "j"])
 
-        sig = self.nodes.select("node", "sig")
-        near = pairs.join(sig.toDF("p", "sp"), "p").join(sig.toDF("q", "sq"), "q").mapInArrow(alike, "p binary, q binary")
+        near = pairs.join(self.sketches.toDF("p", "sp"), "p").join(self.sketches.toDF("q", "sq"), "q")
+        near = near.where(agreement(F.col("sp"), F.col("sq")) >= LEAST_AGREEMENT).select("p", "q")
         full = near.join(self.texts.toDF("p", "tp"), "p").join(self.texts.toDF("q", "tq"), "q")
         return written(full.mapInArrow(measure, "p binary, q binary, j double"), "verified")
 
@@ -191,88 +201,60 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _against_pivots(members: DataFrame, weights: DataFrame, verify: Verifier) -> tuple[DataFrame, DataFrame]:
+    """(links of bucket members to their pivot, members (key, node) that are neither linked to it nor it)."""
+    heavy = members.join(weights, "node")
+    pivots = heavy.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top"), F.count("*").alias("n")).where("n > 1")
+    tried = written(members.join(pivots.select("key", F.col("top.node").alias("p")), "key").where("node <> p"), "tried")
+    links = verify(tried.select("p", F.col("node").alias("q")).distinct()).where(F.col("j") >= SIMILARITY).select("p", "q")
+    rest = tried.join(links.withColumnRenamed("q", "node"), ["p", "node"], "left_anti").select("key", "node")
+    return links, written(rest, "rest")
+
+
 def _links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, links) of the verified pairs that share a bucket, and what the triangle inequality leaves open."""
-    nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
+    """(nodes, verified links enough for the classes)."""
+    nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "nodes")
     places = nodes.select("node", F.explode("bands").alias("key"))
-    groups = places.groupBy("key").agg(F.min("node").alias("p"), F.count("*").alias("n")).where("n > 1").select("key", "p")
-    shared = written(places.join(groups, "key"), "buckets")  # key, node, p: the pivot itself too
-    wanted = shared.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
+    sizes = places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(places.join(sizes, "key"), "buckets")
+    members = shared.select("key", "node")
+    weights = written(shared.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    wanted = weights.select("node").join(nodes.select("node", "doc_id"), "node")
     own = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.unhex(F.md5(text)).alias("own"), text.alias("text"))
     texts = wanted.join(own, (F.col("node") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("own_id")))
-    verify = Verifier(nodes, written(texts.select("node", "text").dropDuplicates(["node"]), "texts"))
-
-    tried = shared.where("node <> p").select("key", "p", F.col("node").alias("q"))
-    measured = verify(tried.select("p", "q").distinct())
-    compared = [(tried, measured)]
-    rest = _rest(tried, measured, shared.where("node = p").select("key", F.col("p").alias("q")))
-    turn = 0
-    while True:
-        rest = written(rest, "rest")
-        open_keys = rest.groupBy("key").count().where("count > 1").select("key")
-        if open_keys.isEmpty():
-            break
-        order = Window.partitionBy("key").orderBy("q")
-        most = PIVOTS[min(turn, len(PIVOTS) - 1)]
-        pivots = rest.join(open_keys, "key").withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("key", F.col("q").alias("p"))
-        tried = written(rest.join(pivots, "key").where("p < q").select("key", "p", "q"), "tried")
-        measured = verify(tried.select("p", "q").distinct())
-        compared.append((tried, measured))
-        rest = _rest(rest.join(open_keys, "key"), measured, pivots.withColumnRenamed("p", "q"), tried)
-        turn += 1
-
-    links = _union([m.where(F.col("j") >= SIMILARITY) for _, m in compared])
-    label = components(links)
-    open_pairs = _union([_open(t, m, label) for t, m in compared])
-    more = verify(written(open_pairs.distinct(), "open"))
-    return nodes, links.unionByName(more.where(F.col("j") >= SIMILARITY))
+    verify = Verifier(nodes.select("node", "sketch"), written(texts.select("node", "text").dropDuplicates(["node"]), "texts"))
 
+    links, rest = _against_pivots(members, weights, verify)
+    more, _ = _against_pivots(rest, weights, verify)
+    links = written(links.unionByName(more).distinct(), "links")
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _rest(members: DataFrame, measured: DataFrame, pivots: DataFrame, tried: DataFrame | None = None) -> DataFrame:
-    """(key, q) of the members of buckets that no pivot of this round is linked to and that were no pivots."""
-    tried = members if tried is None else tried
-    done = tried.join(measured.where(F.col("j") >= SIMILARITY), ["p", "q"]).select("key", "q").unionByName(pivots.select("key", "q"))
-    return members.select("key", "q").distinct().join(done.distinct(), ["key", "q"], "left_anti")
-
-
-def _open(tried: DataFrame, measured: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs (p, q) of one bucket, one linked to a pivot and one not, that may be linked and are in two classes."""
-    low = SIMILARITY - (1 - SIMILARITY)
-    missed = measured.where((F.col("j") < SIMILARITY) & (F.col("j") >= low))
-    named = label.select(F.col("node").alias("p"), F.col("label").alias("of_p"))
-    missed = missed.join(named, "p", "left").join(label.select(F.col("node").alias("q"), F.col("label").alias("of_q")), "q", "left")
-    missed = missed.where(F.coalesce("of_p", "p") != F.coalesce("of_q", "q"))
-    b = tried.join(missed, ["p", "q"]).select("key", "p", F.col("q").alias("b"), F.col("j").alias("jb"))
-    a = tried.join(measured.where(F.col("j") >= SIMILARITY), ["p", "q"]).select("key", "p", F.col("q").alias("a"), F.col("j").alias("ja"))
-    both = b.join(a, ["key", "p"]).where(F.col("ja") <= F.col("jb") + (1 - SIMILARITY))
-    return both.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"))
+    label = components(links)
+    side = members.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    split = side.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    side = written(side.join(split, "key").join(nodes.select("node", "sketch"), "node"), "sides")
+    a, b = side.toDF("q", "key", "of_q", "sq"), side.toDF("p", "key", "of_p", "sp")
+    alike = (F.col("p") < F.col("q")) & (F.col("of_p") != F.col("of_q")) & (agreement(F.col("sp"), F.col("sq")) >= LEAST_AGREEMENT)
+    cross = b.join(a, (b.key == a.key) & alike).select("p", "q").distinct()
+    found = verify(written(cross, "cross")).where(F.col("j") >= SIMILARITY).select("p", "q")
+    return nodes, links.unionByName(found)
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(signed rows, (node, class, class_id, links))."""
+    """(signed rows, (node, doc_id, class, class_id))."""
     signed = written(signatures(docs), "signatures")
     nodes, links = _links(docs, signed)
     links = written(links.distinct(), "links")
     label = components(links)
-    ends = links.select(F.col("p").alias("node")).unionByName(links.select(F.col("q").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
-    full = nodes.select("node", "doc_id").join(label, "node", "left").join(ends, "node", "left")
-    full = full.select("node", "doc_id", F.coalesce("label", "node").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
+    full = nodes.select("node", "doc_id").join(label, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("class"))
     names = full.groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    return signed, written(full.join(names, "class").select("node", "doc_id", "class", "class_id", "links"), "classes")
+    return signed, written(full.join(names, "class").select("node", "doc_id", "class", "class_id"), "classes")
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id and links (to different texts) of every row."""
+    """doc_id and class_id of every row."""
     signed, named = _classes(docs)
-    return signed.select("doc_id", "node").join(named.select("node", "class_id", "links"), "node").select("doc_id", "class_id", "links")
+    return signed.select("doc_id", "node").join(named.select("node", "class_id"), "node").select("doc_id", "class_id")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
