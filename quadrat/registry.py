@@ -1,4 +1,4 @@
-"""Registry of the library's own queries: name -> (Spark query, SQL of the same rows or None)."""
+"""Registry of the library's own queries: name -> Spark query, and SQL of the same rows where SQL can say it."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ ORACLES: dict = {}
 
 
 def register(name: str, sql: str | None = None):
-    """Decorator that registers a query and, where SQL can say the same, that SQL."""
+    """Decorator that registers a query and, where another engine can say the same, its SQL."""
 
     def keep(f):
         if name in QUERIES:
