@@ -109,3 +109,15 @@ def probe_holdout(spark: SparkSession, d: str) -> DataFrame:
     g = O.pseudo_surveys(_kept(spark, d)).withColumn("h", F.sha2(F.concat_ws(":", *O.GROUP), 256))
     n = g.count()
     return g.orderBy("h").limit(min(10000, max(1, n // 20))).select(*O.GROUP)
+
+
+@register("streamed_cell_counts", sql("""
+    SELECT row_cell, col_cell, count(*) AS n FROM (SELECT DISTINCT floor(lat * 20)::BIGINT AS row_cell, floor(lon * 20)::BIGINT AS col_cell, publisher, species FROM occurrences) GROUP BY ALL""", "occurrences"))
+def streamed_cell_counts(spark: SparkSession, d: str) -> DataFrame:
+    from quadrat.streaming import cells
+
+    path = f"{d}/lineitem.parquet"
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    row, col = G.cell(F.col("lat"), 20, -90, 90), G.cell(F.col("lon"), 20, -180, 180)
+    source = T.occurrences_of(rows).select(row.alias("row_cell"), col.alias("col_cell"), "publisher", "species")
+    return cells.run(spark, source, spark.conf.get("spark.checkpoint.dir", "/tmp/quadrat-checkpoints"))

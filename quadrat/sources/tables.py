@@ -87,10 +87,15 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """survey, line, species, publisher, uncertainty, lat, lon of every order line."""
+    return occurrences_of(table(spark, sf_dir, "lineitem"))
+
+
+def occurrences_of(lines: DataFrame) -> DataFrame:
+    """The occurrences of a table or stream of order lines."""
     o, p = F.col("l_orderkey"), F.col("l_partkey")
     lat = F.lit(44) + (o * 7919 + p) % 400 / F.lit(100.0)
     lon = F.lit(4) + (o * 104729) % 600 / F.lit(100.0)
-    return table(spark, sf_dir, "lineitem").select(o.alias("survey"), F.col("l_linenumber").alias("line"), p.alias("species"), F.col("l_suppkey").alias("publisher"), (F.col("l_quantity") * 40).alias("uncertainty"), lat.alias("lat"), lon.alias("lon"))
+    return lines.select(o.alias("survey"), F.col("l_linenumber").alias("line"), p.alias("species"), F.col("l_suppkey").alias("publisher"), (F.col("l_quantity") * 40).alias("uncertainty"), lat.alias("lat"), lon.alias("lon"))
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
