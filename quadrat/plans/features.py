@@ -60,9 +60,9 @@ def channel_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @register("binned_means", f"""
     WITH {_SERIES}, x AS (SELECT user_id, len(a) AS n, unnest(a) AS v, generate_subscripts(a, 1) - 1 AS i FROM s)
-    SELECT user_id, (i * 4 // n)::INT AS bin, round(avg(v), 3) AS mean FROM x GROUP BY ALL""")
+    SELECT user_id, (i * 4 // n)::INT AS bin, round(avg(v), 9) AS mean FROM x GROUP BY ALL""")
 def binned_means(spark: SparkSession, d: str) -> DataFrame:
-    return E.binned_means(_series(spark, d), "user_id", "a", 4).withColumn("mean", F.round("mean", 3))
+    return E.binned_means(_series(spark, d), "user_id", "a", 4).withColumn("mean", F.round("mean", 9))
 
 
 @register("fill_values", "SELECT event_id, CASE WHEN event_id % 19 = 0 OR abs(value) > 100 THEN 0 ELSE value END AS value FROM events")

@@ -116,8 +116,8 @@ def probe_holdout(spark: SparkSession, d: str) -> DataFrame:
 def streamed_cell_counts(spark: SparkSession, d: str) -> DataFrame:
     from quadrat.streaming import cells
 
-    path = f"{d}/lineitem.parquet"
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    schema = spark.read.parquet(f"{d}/lineitem.parquet").schema
+    rows = spark.readStream.schema(schema).parquet(f"{d}/lineitem.parque[t]")  # a pattern: the table may be a single file
     row, col = G.cell(F.col("lat"), 20, -90, 90), G.cell(F.col("lon"), 20, -180, 180)
     source = T.occurrences_of(rows).select(row.alias("row_cell"), col.alias("col_cell"), "publisher", "species")
     return cells.run(spark, source, spark.conf.get("spark.checkpoint.dir", "/tmp/quadrat-checkpoints"))
