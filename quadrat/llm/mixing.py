@@ -28,8 +28,8 @@ from quadrat.llm.shared import written
 
 LABEL_ROWS = 20_000
 DOMAINS = ("clean", "junk", "toxic")
-#: Wanted shares of tokens; the budget is what makes the clean domain's target its present expected tokens.
-WEIGHTS = {"clean": 0.94, "junk": 0.02, "toxic": 0.04}
+#: Wanted tokens of each domain as a multiple of what is expected at rate 1: junk and toxic text at half its weight.
+TARGETS = {"clean": 1.0, "junk": 0.5, "toxic": 0.5}
 STEPS = 25
 
 # Words of abuse whose rate is a feature.
@@ -42,20 +42,22 @@ def label_domain() -> Column:
 
 
 def measures(text: Column) -> list[Column]:
-    """Dense features of a text, each between 0 and about 1."""
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    size = F.greatest(F.length(text), F.lit(1)).cast("double")
-
-    def share(kept: str) -> Column:
-        return F.regexp_count(text, F.lit(kept)) / size
+    """Dense features of a text, each between 0 and about 1: rates of capitals and of signs, listed words, and its length.
 
-    abuse = F.regexp_count(text, F.lit(r"\b(?i:" + "|".join(ABUSE) + r")\b"))
-    return [share("[A-Z]") * 4, share("[!]") * 10, share("[#$%&*]") * 4, share("[|]") * 20, share("[0-9]") * 10, share("[.,;:?]") * 10, share(r"\s") * 4, F.least(abuse / F.lit(3.0), F.lit(1.0)), F.least(abuse * 200 / size, F.lit(2.0)), F.log1p(size) / 10]
+    Three plain patterns over the bytes; listed words are looked for after a space only, which keeps the search short.
+    """
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    size = F.greatest(F.octet_length(text), F.lit(1)).cast("double")
+    capitals = F.regexp_count(text, F.lit("[A-Z]{2}")) * 2 / size
+    signs = F.regexp_count(text, F.lit("[!#$%&*|]")) * 4 / size
+    abuse = F.regexp_count(text, F.lit(" (?:" + "|".join(ABUSE) + ")"))
+    return [capitals, F.least(signs, F.lit(1.0)), F.least(abuse / F.lit(2.0), F.lit(1.0)), F.log1p(size) / 10]
 
 
 def tokens(text: Column) -> Column:
-    """Tokens of a text: runs of letters and digits, and every other sign."""
-    return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")).cast("double")
+    """Tokens of a text: its words, as spaces and line ends between them tell; 0 for an empty one."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return F.when(text == "", 0.0).otherwise(F.regexp_count(text, F.lit("[ \n]")) + 1.0)
 
 
 def total(values: Column) -> Column:
@@ -139,9 +141,9 @@ def rate(chance: Column, multipliers: list[list[float]]) -> Column:
     return F.aggregate(steps, start, step)
 
 
-def fit_rates(narrow: DataFrame, weights: list[float], steps: int = STEPS) -> tuple[list[list[float]], list[float], list[float]]:
+def fit_rates(narrow: DataFrame, factors: list[float], steps: int = STEPS) -> tuple[list[list[float]], list[float], list[float]]:
     """(multipliers of all steps, targets, expected tokens at the end) for a table of ``tokens`` and ``chance``."""
-    n = len(weights)
+    n = len(factors)
     p = [F.get("chance", F.lit(i)) for i in range(n)]
 
     def sums(multipliers: list[list[float]]) -> tuple[list[float], list[list[float]]]:
@@ -154,8 +156,7 @@ def fit_rates(narrow: DataFrame, weights: list[float], steps: int = STEPS) -> tu
 
     multipliers: list[list[float]] = []
     now, gram = sums(multipliers)
-    budget = now[0] / weights[0] if weights[0] else sum(now)
-    targets = [w * budget for w in weights]
+    budget, targets = sum(now), [f * x for f, x in zip(factors, now)]
     pace = 1.0
     for _ in range(steps):
         gap = [t - x for t, x in zip(targets, now)]
@@ -172,13 +173,13 @@ def fit_rates(narrow: DataFrame, weights: list[float], steps: int = STEPS) -> tu
     return multipliers, targets, now
 
 
-def _plan(docs: DataFrame, labels: DataFrame, weights: dict[str, float], steps: int):
-    domains = tuple(weights)
+def _plan(docs: DataFrame, labels: DataFrame, targets: dict[str, float], steps: int):
+    domains = tuple(targets)
     chances = posteriors(docs, labels.select("doc_id", label_domain().alias("domain")), domains)
     text = F.col("text")
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(text).alias("tokens"), F.array(*measures(text)).alias("x"), _draw().alias("draw"))
     narrow = written(narrow.select("doc_id", "tokens", chances(F.col("x")).alias("chance"), "draw"), "mixing")
-    multipliers, _, _ = fit_rates(narrow, list(weights.values()), steps)
+    multipliers, _, _ = fit_rates(narrow, list(targets.values()), steps)
     return narrow, chances, multipliers
 
 
@@ -191,19 +192,19 @@ def copies(rates: Column, draw: Column) -> Column:
     return F.floor(rates + draw).cast("int")
 
 
-def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, steps: int = STEPS) -> DataFrame:
+def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, steps: int = STEPS) -> DataFrame:
     """doc_id, tokens, a posterior column for each domain, rate and copies of every document."""
-    weights = weights or WEIGHTS
-    narrow, _, multipliers = _plan(docs, labels, weights, steps)
+    targets = targets or TARGETS
+    narrow, _, multipliers = _plan(docs, labels, targets, steps)
     out = narrow.withColumn("rate", rate(F.col("chance"), multipliers))
-    each = [F.get("chance", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(weights)]
+    each = [F.get("chance", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(targets)]
     return out.select("doc_id", "tokens", *each, "rate", copies(F.col("rate"), F.col("draw")).alias("copies"))
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, steps: int = STEPS) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, steps: int = STEPS) -> DataFrame:
     """Rows of ``docs`` as often as their rates say, with their own columns."""
-    weights = weights or WEIGHTS
-    _, chances, multipliers = _plan(docs, labels, weights, steps)
+    targets = targets or TARGETS
+    _, chances, multipliers = _plan(docs, labels, targets, steps)
     x, p, n = "__quadrat_measures", "__quadrat_chance", "__quadrat_copies"
     out = docs.withColumn(x, F.array(*measures(F.col("text")))).withColumn(p, chances(F.col(x)))
     out = out.withColumn(n, copies(rate(F.col(p), multipliers), _draw())).where(F.col(n) > 0)

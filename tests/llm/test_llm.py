@@ -321,12 +321,12 @@ def test_signatures_estimate_similarity():
 
 def test_mixing_meets_targets(spark, docs, labels):
     got = mixing.rates(docs, labels)
-    names = list(mixing.WEIGHTS)
+    names = list(mixing.TARGETS)
     sums = got.agg(*[F.sum(F.col("tokens") * F.col("rate") * F.col(f"p_{d}")) for d in names], *[F.sum(F.col("tokens") * F.col(f"p_{d}")) for d in names], F.min("rate")).first()
-    budget = sums[len(names)] / mixing.WEIGHTS[names[0]]
-    before = sum(abs(sums[len(names) + i] - mixing.WEIGHTS[d] * budget) for i, d in enumerate(names))
-    after = sum(abs(sums[i] - mixing.WEIGHTS[d] * budget) for i, d in enumerate(names))
-    assert sums[-1] >= 0 and after <= max(0.2 * before, 0.01 * budget)
+    now, then = sums[: len(names)], sums[len(names) : -1]
+    wanted = [mixing.TARGETS[d] * x for d, x in zip(names, then)]
+    before, after = (sum(abs(x - w) for x, w in zip(v, wanted)) for v in (then, now))
+    assert sums[-1] >= 0 and after <= max(0.2 * before, 0.01 * sum(then))
 
 
 def test_solve():
