@@ -12,9 +12,9 @@ registers; texts that agree in a band share a bucket.
 Equal texts are one node.  In a bucket every node is compared with a pivot, the node that meets most others over all its
 buckets, so that one node serves as pivot of most buckets of a group of near copies and a bucket of n nodes costs n
 comparisons; nodes that are not linked to it have a second pivot among themselves.  Then the classes so far are formed,
-and nodes that share a bucket but not a class are held against each other by four bits of each register within the join:
-only pairs that agree enough to be links come out of it and are verified, so copies are never expanded into all pairs
-and no link between two classes is left out.
+and nodes that share a bucket but not a class are held against each other within the join, by four bits of each register
+and then by their shingle sets: only what can be a link comes out of it and is verified, so copies are never expanded
+into all pairs and no link between two classes is left out.
 
 Cases: null and empty texts, and texts without a letter or digit, have no shingles; equal ones are copies of each other
 like other equal texts, and nothing else is linked to them.  Null ``doc_id`` are rows like others; a class is named by
@@ -186,6 +186,20 @@ class Verifier:
         full = near.join(self.texts.toDF("p", "tp"), "p").join(self.texts.toDF("q", "tq"), "q")
         return written(full.mapInArrow(measure, "p binary, q binary, j double"), "verified")
 
+    def shingle_sets(self, nodes: DataFrame) -> DataFrame:
+        """node, its distinct shingles, and a bound of its distance from that set without weights."""
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a, z, raw, offsets in tb.steps(batch.column(1)):
+                    row, key, n = shingles(raw, offsets)
+                    where = np.searchsorted(row, np.arange(z - a + 1)).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(where), pa.array(key.view(np.int64)))
+                    alone, total = np.bincount(row[n == 1], minlength=z - a), np.bincount(row, n, z - a)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), lists, pa.array(1 - alone / np.maximum(total, 1) + 1e-9)], ["node", "shingles", "slack"])
+
+        return self.texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(sets, "node binary, shingles array<long>, slack double")
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of all nodes with a link: the least node of the component, by spreading and shortening labels."""
@@ -232,14 +246,31 @@ def _links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     label = components(links)
     side = members.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     split = side.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    side = written(side.join(split, "key").join(nodes.select("node", "sketch"), "node"), "sides")
-    a, b = side.toDF("q", "key", "of_q", "sq"), side.toDF("p", "key", "of_p", "sp")
-    alike = (F.col("p") < F.col("q")) & (F.col("of_p") != F.col("of_q")) & (agreement(F.col("sp"), F.col("sq")) >= LEAST_AGREEMENT)
-    cross = b.join(a, (b.key == a.key) & alike).select("p", "q").distinct()
+    side = side.join(split, "key").join(nodes.select("node", "sketch"), "node")
+    parts = written(verify.shingle_sets(side.select("node").distinct()), "parts")
+    cross = _likely(written(side.join(parts, "node"), "sides")).distinct()
     found = verify(written(cross, "cross")).where(F.col("j") >= SIMILARITY).select("p", "q")
     return nodes, links.unionByName(found)
 
 
+def _likely(side: DataFrame) -> DataFrame:
+    """Pairs (p, q) of one bucket and two classes that may be links, as sketches and then shingle sets tell."""
+    a, b = (side.select(F.col("key").alias(f"key_{x}"), F.struct("*").alias(x)) for x in "pq")
+    apart = (F.col("p.node") < F.col("q.node")) & (F.col("p.label") != F.col("q.label"))
+    alike = F.when(apart & (agreement(F.col("p.sketch"), F.col("q.sketch")) >= LEAST_AGREEMENT), _may_link(F.col("p"), F.col("q"))).otherwise(False)
+    return a.join(b, (F.col("key_p") == F.col("key_q")) & alike).select(F.col("p.node").alias("p"), F.col("q.node").alias("q"))
+
+
+def _may_link(p: Column, q: Column) -> Column:
+    """False where the sets of shingles show that a pair is no link.
+
+    1 - similarity is a metric, so weights move the similarity by no more than each text's distance from its plain set.
+    """
+    shared = F.size(F.array_intersect(p["shingles"], q["shingles"]))
+    plain = shared / (F.size(p["shingles"]) + F.size(q["shingles"]) - shared)
+    return plain + p["slack"] + q["slack"] >= SIMILARITY
+
+
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(signed rows, (node, doc_id, class, class_id))."""
     signed = written(signatures(docs), "signatures")
