@@ -28,7 +28,8 @@ from quadrat.llm.shared import written
 
 LABEL_ROWS = 20_000
 DOMAINS = ("clean", "junk", "toxic")
-#: Wanted tokens of each domain as a multiple of what is expected at rate 1: junk and toxic text at half its weight.
+#: Wanted weight of what most likely is of a domain; targets are the expected tokens at rate 1 with those documents'
+#: share at this weight, so that the small chances of clean documents are no reason to drop them.
 TARGETS = {"clean": 1.0, "junk": 0.5, "toxic": 0.5}
 STEPS = 25
 
@@ -42,7 +43,7 @@ def label_domain() -> Column:
 
 
 def measures(text: Column) -> list[Column]:
-    """Dense features of a text, each between 0 and about 1: rates of capitals and of signs, listed words, and its length.
+    """Dense features of a text, each between 0 and about 1: rates of capitals and of signs, and listed words.
 
     Three plain patterns over the bytes; listed words are looked for after a space only, which keeps the search short.
     """
@@ -51,7 +52,7 @@ def measures(text: Column) -> list[Column]:
     capitals = F.regexp_count(text, F.lit("[A-Z]{2}")) * 2 / size
     signs = F.regexp_count(text, F.lit("[!#$%&*|]")) * 4 / size
     abuse = F.regexp_count(text, F.lit(" (?:" + "|".join(ABUSE) + ")"))
-    return [capitals, F.least(signs, F.lit(1.0)), F.least(abuse / F.lit(2.0), F.lit(1.0)), F.log1p(size) / 10]
+    return [capitals, F.least(signs, F.lit(1.0)), F.least(abuse / F.lit(2.0), F.lit(1.0))]
 
 
 def tokens(text: Column) -> Column:
@@ -156,7 +157,8 @@ def fit_rates(narrow: DataFrame, factors: list[float], steps: int = STEPS) -> tu
 
     multipliers: list[list[float]] = []
     now, gram = sums(multipliers)
-    budget, targets = sum(now), [f * x for f, x in zip(factors, now)]
+    sure = narrow.agg(*[F.sum(F.when(x > 0.5, F.col("tokens") * x)) for x in p]).first()
+    budget, targets = sum(now), [x - (1 - f) * float(c or 0) for f, x, c in zip(factors, now, sure)]
     pace = 1.0
     for _ in range(steps):
         gap = [t - x for t, x in zip(targets, now)]
