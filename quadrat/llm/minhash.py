@@ -34,9 +34,9 @@ from quadrat.llm import textbytes as tb
 from quadrat.llm.shared import written
 
 WORDS, SIMILARITY = 5, 0.8
-REGISTERS, BANDS, ROWS = 128, 64, 9
-#: Texts whose registers agree in a smaller share are not verified: four standard deviations below SIMILARITY.
-LEAST_AGREEMENT = 0.66
+REGISTERS, BANDS, ROWS = 256, 64, 8
+#: Texts whose registers agree in a smaller share are not verified: eight standard deviations below SIMILARITY.
+LEAST_AGREEMENT = 0.59
 #: Registers in each long of a sketch, at four bits each.
 PER_LONG = 16
 

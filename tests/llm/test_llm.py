@@ -319,6 +319,23 @@ def test_signatures_estimate_similarity():
     assert abs(np.mean(agree) - want) < 0.03
 
 
+def test_pairs_at_the_threshold_meet_in_a_band():
+    """Of 6,000 pairs of similarity 0.8 at most 5 share no band or fall to the filter by sketches."""
+    r, lost = np.random.default_rng(3), 0
+    for _ in range(12):
+        n = 500
+        keys = r.integers(1, 1 << 62, (n, 100)).astype(np.uint64)
+        row, ones = np.repeat(np.arange(n), 90), np.ones(n * 90, int)
+        a, b = (minhash.registers(row, np.ascontiguousarray(k).ravel(), ones, n) for k in (keys[:, :90], keys[:, 10:]))
+        meet = np.zeros(n, bool)
+        for i, f in enumerate(minhash._FIELDS):
+            meet |= minhash._band(a[:, f], i) == minhash._band(b[:, f], i)
+        four = lambda x: minhash.tb.mix(x) & np.uint64(15)
+        agree = 1 - (four(a) != four(b)).sum(1) * (16 / 15 / minhash.REGISTERS)
+        lost += int((~meet | (agree < minhash.LEAST_AGREEMENT)).sum())
+    assert lost <= 5, lost
+
+
 def test_mixing_meets_targets(spark, docs, labels):
     got = mixing.rates(docs, labels)
     names = list(mixing.TARGETS)
