@@ -2,6 +2,9 @@
 
 A text is cut into sentences (at line ends and at '.', '!' or '?' before white space or the end), a sentence is
 normalised (lower case, everything but a-z and 0-9 to single spaces) and looked up in the table of known sentences.
+A known sentence may also run over line ends, with or without comment marks and empty lines at them: it has to begin after
+a break and to end before one, and of several that begin at one place the longest counts.  ``n_sentences`` counts the
+pieces between breaks.
 What is left is the row's sequence of known identifiers.  From its start, the first rule of the ordered rules whose
 identifiers stand there next to each other is a match and its sentences are used up; where no rule matches, one
 identifier is passed.  All of it happens within a row: no shuffle, no state.  The tables of sentences and rules are
@@ -13,7 +16,7 @@ null ``doc_id`` give a row each; an empty table gives no rows; other columns are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Known sentences as they stand in licence texts and notices; their place, from 1, is their identifier.
@@ -85,6 +88,22 @@ RULES = (
     ("all-rights-reserved", (31,)),
 )
 
+# Known sentences and rules of ``scan`` only, numbered and tried after those that the SQL shares.
+FURTHER_SENTENCES = (
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+)
+FURTHER_RULES = (
+    ("MPL-2.0", (28, 36)),
+    ("GPL-2.0-or-later", (32,)),
+    ("AGPL-3.0-or-later", (33,)),
+    ("LGPL-2.1-or-later", (34,)),
+    ("ISC", (35,)),
+)
+
 BREAK = r"[.!?]+\s+|\n+|[.!?]+\z"
 
 
@@ -97,23 +116,34 @@ def normal(sentence: str) -> str:
     return f"trim(regexp_replace(lower({sentence}), '[^a-z0-9]+', ' '))"
 
 
-def known_sentences() -> list[tuple[str, int]]:
+def known_sentences(sentences: tuple[str, ...] = SENTENCES) -> list[tuple[str, int]]:
     """Normalised known sentences and their identifiers.  A break inside one ends it there, as it does in a text."""
     import re
 
     out: dict[str, int] = {}
-    for i, s in enumerate(SENTENCES, 1):
+    for i, s in enumerate(sentences, 1):
         head = next(x for x in re.split(BREAK.replace(r"\z", r"\Z"), s) if x)
         out.setdefault(re.sub("[^a-z0-9]+", " ", head.lower()).strip(), i)
     return list(out.items())
 
 
+def spans(text: Column, known: list[tuple[str, int]]) -> Column:
+    """Known sentences of a text in their order, normalised, also those that run over line ends."""
+    # Lower case leaves capitals free as marks: S for the end of a sentence, L for line ends.
+    marked = F.regexp_replace(F.lower(text), r"[.!?]+(?:\s+|\z)", "S")
+    marked = F.regexp_replace(F.regexp_replace(marked, r"\n+", "L"), "[^a-z0-9SL]+", " ")
+    one = "|".join(s.replace(" ", "[ L]+") for s, _ in sorted(known, key=lambda k: -len(k[0])))
+    found = F.regexp_extract_all(marked, F.lit(f"(?:^|[SL]) *({one})(?= *(?:[SL]|\\z))"), F.lit(1))
+    return F.transform(found, lambda s: F.regexp_replace(s, "[ L]+", " "))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, n_known, known (identifiers), licences (in order of their place) of every row."""
-    known = known_sentences()
-    place = "array_position(array(" + ", ".join(_quoted(s) for s, _ in known) + f"), {normal('s')})"
+    known = known_sentences(SENTENCES + FURTHER_SENTENCES)
+    place = "array_position(array(" + ", ".join(_quoted(s) for s, _ in known) + "), s)"
     number = "element_at(array(0, " + ", ".join(str(i) for _, i in known) + f"), cast({place} as int) + 1)"
-    rules = "array(" + ", ".join(f"named_struct('licence', {_quoted(n)}, 'ids', array({', '.join(map(str, ids))}))" for n, ids in RULES) + ")"
+    ordered = sorted(RULES + FURTHER_RULES, key=lambda r: -len(r[1]))
+    rules = "array(" + ", ".join(f"named_struct('licence', {_quoted(n)}, 'ids', array({', '.join(map(str, ids))}))" for n, ids in ordered) + ")"
     fits = "filter(rules, r -> slice(known, p, size(r.ids)) = r.ids)"
     step = f"""
         aggregate(if(size(known) = 0, array(), sequence(1, size(known))),
@@ -121,9 +151,9 @@ def scan(docs: DataFrame) -> DataFrame:
             (a, p) -> if(p < a.next or size({fits}) = 0, a,
                 named_struct('next', p + size({fits}[0].ids), 'found', array_append(a.found, {fits}[0].licence))),
             a -> a.found)"""
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), BREAK).alias("raw"))
-    cut = cut.select("doc_id", F.expr("filter(raw, s -> trim(s) <> '')").alias("sentences"))
-    ids = cut.select("doc_id", F.size("sentences").alias("n_sentences"), F.expr(f"filter(transform(sentences, s -> {number}), i -> i > 0)").alias("known"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.split(text, BREAK).alias("raw"), spans(text, known).alias("spans"))
+    ids = cut.select("doc_id", F.expr("size(filter(raw, s -> trim(s) <> ''))").alias("n_sentences"), F.expr(f"transform(spans, s -> {number})").alias("known"))
     found = ids.withColumn("rules", F.expr(rules)).withColumn("licences", F.expr(step))
     return found.select("doc_id", "n_sentences", F.size("known").alias("n_known"), "known", "licences")
 

@@ -258,6 +258,46 @@ def test_licences(spark):
     assert got == {1: ["MIT"], 2: ["MIT", "Apache-2.0"], 3: []}
 
 
+APACHE = """Copyright 2020 A. Person
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL = """This program is free software{} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{} either version {} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+
+
+def test_wrapped_licences(spark):
+    commented = lambda text, mark: "".join(f"{mark} {x}\n" for x in text.split("\n"))
+    mit = licenses.SENTENCES[3].replace(", ", ",\n") + "\n\n" + licenses.SENTENCES[4].replace("in all ", "in all\n")
+    own = [
+        (1, APACHE),
+        (2, "/*\n" + commented(APACHE, " *") + " */\nint main;"),
+        (3, commented(GPL.format(":", ",", 3), "#").replace("\n", "\r\n")),
+        (4, GPL.format(";", ";", 2)),
+        (5, mit),
+        (6, "Not all rights\nreserved here, and licensed under the. MIT License"),
+        (7, "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */"),
+    ]
+    got = {r.doc_id: (r.licences, r.known) for r in licenses.scan(odd(spark, own)).collect()}
+    assert got == {1: (["Apache-2.0"], [7, 8, 9]), 2: (["Apache-2.0"], [7, 8, 9]), 3: (["GPL-3.0-or-later"], [12, 13, 14]), 4: (["GPL-2.0-or-later"], [32, 13, 14]), 5: (["MIT"], [4, 5]), 6: ([], []), 7: (["MPL-2.0"], [28, 36])}
+
+
 def jaccard_classes(texts):
     def parts(t):
         w = re.findall(r"[^\W_]+", (t or "").lower())
