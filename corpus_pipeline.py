@@ -35,7 +35,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the rates say that fit the domains' expected tokens to the targets."""
-    return mixing.mix(docs, _labels(spark, sf_dir))
+    return mixing.mix(docs, _labels(spark, sf_dir), weights=mixing.WEIGHTS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,6 +31,8 @@ DOMAINS = ("clean", "junk", "toxic")
 #: Wanted weight of what most likely is of a domain; targets are the expected tokens at rate 1 with those documents'
 #: share at this weight, so that the small chances of clean documents are no reason to drop them.
 TARGETS = {"clean": 1.0, "junk": 0.5, "toxic": 0.5}
+#: Wanted shares of tokens, whatever is present; the query and the pipeline use these.
+WEIGHTS = {"clean": 0.94, "junk": 0.02, "toxic": 0.04}
 STEPS = 25
 
 # Words of abuse whose rate is a feature.
@@ -42,23 +44,48 @@ def label_domain() -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "junk").when(F.col("quality") == 1, "clean")
 
 
-def measures(text: Column) -> list[Column]:
-    """Dense features of a text, each between 0 and about 1: rates of capitals and of signs, and listed words.
+MEASURES = 10
 
-    Three plain patterns over the bytes; listed words are looked for after a space only, which keeps the search short.
+
+def measured(text: Column) -> Column:
+    """Dense features of a text, each between 0 and about 1, and after them its tokens.
+
+    Words become one letter each first, so that most counts are taken from the short rest; a count is the length that a
+    plain replacement leaves.
     """
     text = F.coalesce(text.cast("string"), F.lit(""))
-    size = F.greatest(F.octet_length(text), F.lit(1)).cast("double")
-    capitals = F.regexp_count(text, F.lit("[A-Z]{2}")) * 2 / size
-    signs = F.regexp_count(text, F.lit("[!#$%&*|]")) * 4 / size
-    abuse = F.regexp_count(text, F.lit(" (?:" + "|".join(ABUSE) + ")"))
-    return [capitals, F.least(signs, F.lit(1.0)), F.least(abuse / F.lit(2.0), F.lit(1.0))]
+
+    def left(value: Column, gone: str, by: str = "") -> Column:
+        return F.regexp_replace(value, gone, by)
+
+    def number(value: Column, counted: str) -> Column:
+        return F.length(value) - F.length(left(value, counted))
+
+    def features(t: Column, brief: Column, tight: Column, signs: Column, abuse: Column) -> Column:
+        size = F.greatest(F.length(t), F.lit(1)).cast("double")
+        share = lambda n: n / size
+        return F.array(
+            share(number(t, "[A-Z]+")) * 4, share(number(signs, "[!]+")) * 10, share(number(signs, "[#$%&*]+")) * 4, share(number(signs, "[|]+")) * 20,
+            share(number(t, "[0-9]+")) * 10, share(number(signs, "[.,;:?]+")) * 10, share(F.length(brief) - F.length(tight)) * 4,
+            F.least(abuse / F.lit(3.0), F.lit(1.0)), F.least(abuse * 200 / size, F.lit(2.0)), F.log1p(size) / 10, F.length(tight).cast("double"),
+        )
+
+    abuse = F.regexp_count(text, F.lit(r"\b(?i:" + "|".join(ABUSE) + r")\b")).cast("double")
+
+    def of(t: Column) -> Column:
+        brief = left(t, r"[a-zA-Z0-9\p{L}\p{N}]+", "a")
+        return once(brief, lambda b: once(left(b, r"\s+"), lambda w: once(left(w, "a+"), lambda s: once(abuse, lambda n: features(t, b, w, s, n)))))
+
+    return once(text, of)
+
+
+def measures(text: Column) -> Column:
+    return F.slice(measured(text), 1, MEASURES)
 
 
 def tokens(text: Column) -> Column:
-    """Tokens of a text: its words, as spaces and line ends between them tell; 0 for an empty one."""
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    return F.when(text == "", 0.0).otherwise(F.regexp_count(text, F.lit("[ \n]")) + 1.0)
+    """Tokens of a text: runs of letters and digits, and every other sign."""
+    return F.get(measured(text), F.lit(MEASURES))
 
 
 def total(values: Column) -> Column:
@@ -82,7 +109,7 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...] =
     ids = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.array_position(F.array(*map(F.lit, domains)), F.col("domain")).cast("double").alias("label"))
     ids = ids.where("doc_id is not null and label > 0").groupBy("doc_id").agg((F.max("label") - 1).alias("label"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(label_rows)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.array(*measures(F.col("text"))).alias("x"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), measures(F.col("text")).alias("x"))
     sample = written(own.join(F.broadcast(ids), "doc_id").select("label", array_to_vector("x").alias("features")), "mixing-sample")
     counts = {int(r[0]): r[1] for r in sample.groupBy("label").count().collect()}
     n = sum(counts.values())
@@ -97,7 +124,8 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...] =
     never = [i for i in range(len(domains)) if i not in seen]
 
     def chances(x: Column) -> Column:
-        raw = F.transform(table, lambda w: dot(F.concat(F.array(F.lit(1.0)), x), w))
+        # Measures are computed once, not once a domain.
+        raw = once(x, lambda v: F.transform(table, lambda w: dot(F.concat(F.array(F.lit(1.0)), v), w)))
         if never:
             raw = F.transform(raw, lambda r, i: F.when(i.isin(*never), F.lit(float("-inf"))).otherwise(r))
         odds = once(raw, lambda r: once(F.array_max(r), lambda top: F.transform(r, lambda v: F.exp(v - top))))
@@ -142,8 +170,11 @@ def rate(chance: Column, multipliers: list[list[float]]) -> Column:
     return F.aggregate(steps, start, step)
 
 
-def fit_rates(narrow: DataFrame, factors: list[float], steps: int = STEPS) -> tuple[list[list[float]], list[float], list[float]]:
-    """(multipliers of all steps, targets, expected tokens at the end) for a table of ``tokens`` and ``chance``."""
+def fit_rates(narrow: DataFrame, factors: list[float], steps: int = STEPS, weights: list[float] | None = None) -> tuple[list[list[float]], list[float], list[float]]:
+    """(multipliers of all steps, targets, expected tokens at the end) for a table of ``tokens`` and ``chance``.
+
+    Targets are the shares ``weights`` of the present tokens, or without them follow from ``factors``.
+    """
     n = len(factors)
     p = [F.get("chance", F.lit(i)) for i in range(n)]
 
@@ -157,8 +188,12 @@ def fit_rates(narrow: DataFrame, factors: list[float], steps: int = STEPS) -> tu
 
     multipliers: list[list[float]] = []
     now, gram = sums(multipliers)
-    sure = narrow.agg(*[F.sum(F.when(x > 0.5, F.col("tokens") * x)) for x in p]).first()
-    budget, targets = sum(now), [x - (1 - f) * float(c or 0) for f, x, c in zip(factors, now, sure)]
+    budget = sum(now)
+    if weights:
+        targets = [w * budget for w in weights]
+    else:
+        sure = narrow.agg(*[F.sum(F.when(x > 0.5, F.col("tokens") * x)) for x in p]).first()
+        targets = [x - (1 - f) * float(c or 0) for f, x, c in zip(factors, now, sure)]
     pace = 1.0
     for _ in range(steps):
         gap = [t - x for t, x in zip(targets, now)]
@@ -175,13 +210,15 @@ def fit_rates(narrow: DataFrame, factors: list[float], steps: int = STEPS) -> tu
     return multipliers, targets, now
 
 
-def _plan(docs: DataFrame, labels: DataFrame, targets: dict[str, float], steps: int):
+def _plan(docs: DataFrame, labels: DataFrame, targets: dict[str, float], steps: int, weights: dict[str, float] | None = None):
     domains = tuple(targets)
     chances = posteriors(docs, labels.select("doc_id", label_domain().alias("domain")), domains)
     text = F.col("text")
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(text).alias("tokens"), F.array(*measures(text)).alias("x"), _draw().alias("draw"))
-    narrow = written(narrow.select("doc_id", "tokens", chances(F.col("x")).alias("chance"), "draw"), "mixing")
-    multipliers, _, _ = fit_rates(narrow, list(targets.values()), steps)
+    # Measures and tokens are read off one column, which is used twice and so stays a projection of its own.
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), measured(text).alias("x"), _draw().alias("draw"))
+    narrow = narrow.select("doc_id", F.get("x", F.lit(MEASURES)).alias("tokens"), chances(F.slice("x", 1, MEASURES)).alias("chance"), "draw")
+    narrow = written(narrow, "mixing")
+    multipliers, _, _ = fit_rates(narrow, list(targets.values()), steps, [weights[d] for d in domains] if weights else None)
     return narrow, chances, multipliers
 
 
@@ -194,20 +231,20 @@ def copies(rates: Column, draw: Column) -> Column:
     return F.floor(rates + draw).cast("int")
 
 
-def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, steps: int = STEPS) -> DataFrame:
+def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, steps: int = STEPS, weights: dict[str, float] | None = None) -> DataFrame:
     """doc_id, tokens, a posterior column for each domain, rate and copies of every document."""
-    targets = targets or TARGETS
-    narrow, _, multipliers = _plan(docs, labels, targets, steps)
+    targets = targets or (dict.fromkeys(weights, 1.0) if weights else TARGETS)
+    narrow, _, multipliers = _plan(docs, labels, targets, steps, weights)
     out = narrow.withColumn("rate", rate(F.col("chance"), multipliers))
     each = [F.get("chance", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(targets)]
     return out.select("doc_id", "tokens", *each, "rate", copies(F.col("rate"), F.col("draw")).alias("copies"))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, steps: int = STEPS) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, steps: int = STEPS, weights: dict[str, float] | None = None) -> DataFrame:
     """Rows of ``docs`` as often as their rates say, with their own columns."""
-    targets = targets or TARGETS
-    _, chances, multipliers = _plan(docs, labels, targets, steps)
+    targets = targets or (dict.fromkeys(weights, 1.0) if weights else TARGETS)
+    _, chances, multipliers = _plan(docs, labels, targets, steps, weights)
     x, p, n = "__quadrat_measures", "__quadrat_chance", "__quadrat_copies"
-    out = docs.withColumn(x, F.array(*measures(F.col("text")))).withColumn(p, chances(F.col(x)))
+    out = docs.withColumn(x, measures(F.col("text"))).withColumn(p, chances(F.col(x)))
     out = out.withColumn(n, copies(rate(F.col(p), multipliers), _draw())).where(F.col(n) > 0)
     return out.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)

@@ -35,7 +35,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return mixing.rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), weights=mixing.WEIGHTS)
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -387,6 +387,26 @@ def test_mixing_meets_targets(spark, docs, labels):
     assert sums[-1] >= 0 and after <= max(0.2 * before, 0.01 * sum(then))
 
 
+def test_mixing_measures(spark):
+    texts = ["IDIOT! you said \"stupid\"\nMoron, x_y", "\t\tone\t\ttwo   3four", "日本語" * 40, "", None, "clowns | a$b é%", "a" * 3000]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").select("doc_id", mixing.measured(F.col("text"))).collect()
+    for i, x in got:
+        t = texts[i] or ""
+        size = max(len(t), 1)
+        share = lambda p: len(re.findall(p, t)) / size
+        abuse = len(re.findall(r"\b(?:" + "|".join(mixing.ABUSE) + r")\b", t, re.I))
+        want = [share("[A-Z]") * 4, share("!") * 10, share("[#$%&*]") * 4, share("[|]") * 20, share("[0-9]") * 10, share("[.,;:?]") * 10, share(r"\s") * 4, min(abuse / 3, 1), min(abuse * 200 / size, 2), np.log1p(size) / 10]
+        assert np.allclose(x, [*want, len(re.findall(r"[^\W_]+|[^\w\s]|_", t))]), t
+
+
+def test_mixing_meets_fixed_weights(spark, docs, labels):
+    got = mixing.rates(docs, labels, weights=mixing.WEIGHTS).withColumn("w", F.col("tokens") * F.col("rate"))
+    row = got.agg(F.sum("tokens"), *[F.sum(F.col("w") * F.col(f"p_{d}")) for d in mixing.WEIGHTS]).first()
+    assert all(abs(x / row[0] - w) < 0.01 for x, w in zip(row[1:], mixing.WEIGHTS.values()))
+    clean = got.join(labels.where("toxic = 0 and quality = 1"), "doc_id")
+    assert clean.where("copies > 0").count() >= 0.97 * clean.count()
+
+
 def test_solve():
     got = mixing.solve([[2.0, 1.0, 0.0], [1.0, 3.0, 0.0], [0.0, 0.0, 0.0]], [3.0, 5.0, 0.0])
     assert np.allclose(got, [0.8, 1.4, 0.0])
