@@ -64,7 +64,7 @@ def cap_publishers(weighted: DataFrame, cap: float) -> DataFrame:
 def damped_scores(counts: DataFrame, cell: list[str], power: float, most: int) -> DataFrame:
     """Top species of each cell by count / total^power, relative to the best: cell, species, score."""
     total = counts.groupBy("species").agg(F.sum("n").alias("total"))
-    scored = counts.join(total, "species").withColumn("score", F.col("n") / F.pow("total", F.lit(power)))
+    scored = counts.join(total, "species").withColumn("score", F.round(F.col("n") / F.pow("total", F.lit(power)), 9))
     return top_of(scored, cell, most)
 
 
@@ -78,7 +78,7 @@ def top_of(scored: DataFrame, group: list[str], most: int) -> DataFrame:
 
 def coarser(scored: DataFrame, factor: int, most: int) -> DataFrame:
     """Scores summed over cells ``factor`` times as wide."""
-    up = scored.groupBy(F.floor(F.col("x") / factor).alias("x"), F.floor(F.col("y") / factor).alias("y"), "species").agg(F.sum("score").alias("score"))
+    up = scored.groupBy(F.floor(F.col("x") / factor).alias("x"), F.floor(F.col("y") / factor).alias("y"), "species").agg(F.round(F.sum("score"), 9).alias("score"))
     return top_of(up, ["x", "y"], most)
 
 

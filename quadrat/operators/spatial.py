@@ -34,6 +34,11 @@ def _column(lon: Column, cells: Column) -> Column:
     return F.pmod(F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360.0 * cells).cast("long"), cells)
 
 
+def usable(lat: str, lon: str) -> Column:
+    """True for coordinates that are finite."""
+    return (F.abs(F.col(lat)) <= 90) & (F.abs(F.col(lon)) < float("inf"))
+
+
 def within_km(left: DataFrame, right: DataFrame, radius_km: float) -> DataFrame:
     """All pairs within ``radius_km`` with their ``km``.  Left has lat, lon; right has rlat, rlon; names must differ."""
     bands = left.withColumn("_band", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: _band(F.col("lat"), radius_km) + d)))
@@ -49,10 +54,12 @@ def within_km(left: DataFrame, right: DataFrame, radius_km: float) -> DataFrame:
 def nearest(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str, start_km: float = 50.0) -> DataFrame:
     """The k nearest of ``right`` for each row of ``left`` by (km, id), with ``rank``.
 
-    Rows that have fewer than k within the radius go on with four times the radius, until it spans the globe.
+    Rows that have fewer than k within the radius go on with four times the radius, until it spans the globe.  Rows
+    without finite coordinates take no part on either side: they would drive the radius up for nothing.
     """
     from functools import reduce
 
+    left, right = left.where(usable("lat", "lon")), right.where(usable("rlat", "rlon"))
     parts, rest, radius = [], left, start_km
     there = right.count()
     order = Window.partitionBy(left_id).orderBy("km", right_id)
@@ -80,10 +87,45 @@ def outside_buffer(left: DataFrame, right: DataFrame, radius_km: float, left_id:
     return left.join(close, left_id, "left_anti")
 
 
-def stencil(queries: DataFrame, grid: DataFrame, decay: float = 0.8) -> DataFrame:
-    """Scores of a grid (x, y, species, score) in the nine cells around each query (id, x, y), weighted by exp(-decay d)."""
+def stencil(cells: DataFrame, grid: DataFrame, decay: float = 0.8) -> DataFrame:
+    """Scores (x, y, species, score) that a grid of the same form gives to each of some distinct cells (x, y).
+
+    The nine cells around one count with exp(-decay distance).  The short side is spread over its neighbours, so that the
+    grid is read once and rows that lie in one cell cost one sum.
+    """
     step = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    around = queries.withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step))
-    around = around.withColumn("x", F.col("x") + F.col("dx")).withColumn("y", F.col("y") + F.col("dy"))
+    around = cells.select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.explode(step).alias("dx")).withColumn("dy", F.explode(step))
     weight = F.exp(-decay * F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")))
-    return around.join(grid, ["x", "y"]).groupBy("id", "species").agg(F.sum(weight * F.col("score")).alias("score"))
+    around = around.select("_x", "_y", (F.col("_x") + F.col("dx")).alias("x"), (F.col("_y") + F.col("dy")).alias("y"), weight.alias("_w"))
+    sums = around.join(grid, ["x", "y"]).groupBy("_x", "_y", "species").agg(F.round(F.sum(F.col("_w") * F.col("score")), 9).alias("score"))
+    return sums.withColumnsRenamed({"_x": "x", "_y": "y"})
+
+
+def best_of_cells(scored: DataFrame, most: int) -> DataFrame:
+    """The ``most`` best species of each cell with ``rank``, scores relative to the best, and ``coverage``, the sum of scores before that."""
+    mine = Window.partitionBy("x", "y")
+    ranked = scored.withColumn("rank", F.row_number().over(mine.orderBy(F.desc("score"), "species"))).where(F.col("rank") <= most)
+    full = ranked.withColumn("coverage", F.sum("score").over(mine)).withColumn("_top", F.max("score").over(mine))
+    return full.withColumn("score", F.col("score") / F.col("_top")).drop("_top")
+
+
+def across_scales(cells: DataFrame, grids: list[tuple[int, float, DataFrame]], most: int, enough: float = 0.25, bonus: float = 0.12) -> DataFrame:
+    """Cells (x, y) scored on grids of several widths: (factor, weight, grid whose cells are ``factor`` fine ones wide).
+
+    A grid's scores are relative to its best; a species that reaches ``enough`` on several grids gains ``bonus`` for each
+    but the first.  x, y, species, score, rank, coverage, and ``agreement``: the mean share of grids over the first ten.
+    """
+    from functools import reduce
+
+    parts = []
+    for factor, weight, grid in grids:
+        up = cells.select("x", "y", F.floor(F.col("x") / factor).alias("cx"), F.floor(F.col("y") / factor).alias("cy"))
+        own = stencil(up.select(F.col("cx").alias("x"), F.col("cy").alias("y")).distinct(), grid)
+        own = own.withColumn("part", F.round(F.col("score") / F.max("score").over(Window.partitionBy("x", "y")), 9))
+        own = own.select(F.col("x").alias("cx"), F.col("y").alias("cy"), "species", "part")
+        parts.append(up.join(own, ["cx", "cy"]).select("x", "y", "species", (weight * F.col("part")).alias("value"), (F.col("part") >= enough).cast("int").alias("here")))
+    sums = reduce(DataFrame.unionByName, parts).groupBy("x", "y", "species").agg(F.sum("value").alias("value"), F.sum("here").alias("support"))
+    lifted = F.round(F.col("value") * (1 + bonus * F.greatest(F.col("support") - 1, F.lit(0))), 9)
+    best = best_of_cells(sums.select("x", "y", "species", "support", lifted.alias("score")), most)
+    agreement = F.avg(F.when(F.col("rank") <= 10, F.col("support") / len(grids))).over(Window.partitionBy("x", "y"))
+    return best.withColumn("agreement", agreement).drop("support")

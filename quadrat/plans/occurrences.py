@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quadrat.functions import geo as G
 from quadrat.operators import occurrence as O
 from quadrat.registry import register
+from quadrat.sources.shared import shared_folder
 from quadrat.sources import tables as T
 from quadrat.sources.tables import sql
 
@@ -69,27 +70,31 @@ def group_environment_mean(spark: SparkSession, d: str) -> DataFrame:
     return O.mean_of_distinct(rows, ["row_cell", "col_cell", "publisher"], "survey", price).withColumn("mean", F.round("mean", 4))
 
 
-_COUNTS = "c AS (SELECT floor(lat * 10)::BIGINT AS x, floor(lon * 10)::BIGINT AS y, species, count(*) AS n FROM occurrences GROUP BY ALL)"
-_FINE = f"""{_COUNTS}, t AS (SELECT species, sum(n) AS total FROM c GROUP BY 1), s AS (SELECT x, y, species, n / pow(total, 0.35) AS score FROM c JOIN t USING (species)),
-    k AS (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY score DESC, species) AS r FROM s),
-    fine AS (SELECT x, y, species, score / max(score) OVER (PARTITION BY x, y) AS score FROM k WHERE r <= 48)"""
+_COUNTS = "oc AS (SELECT floor(lat * 10)::BIGINT AS x, floor(lon * 10)::BIGINT AS y, species, count(*) AS n FROM occurrences GROUP BY ALL)"
+FINE = f"""{_COUNTS}, total_ AS (SELECT species, sum(n) AS total FROM oc GROUP BY 1), damped_ AS (SELECT x, y, species, round(n / pow(total, 0.35), 9) AS score FROM oc JOIN total_ USING (species)),
+    kept_ AS (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY score DESC, species) AS r FROM damped_),
+    fine AS (SELECT x, y, species, score / max(score) OVER (PARTITION BY x, y) AS score FROM kept_ WHERE r <= 48)"""
 
 
-def _counts(spark: SparkSession, d: str) -> DataFrame:
+def cell_counts(spark: SparkSession, d: str) -> DataFrame:
     return T.occurrences(spark, d).groupBy(F.floor(F.col("lat") * 10).alias("x"), F.floor(F.col("lon") * 10).alias("y"), "species").agg(F.count("*").alias("n"))
 
 
-@register("damped_cell_scores", sql(f"WITH {_FINE} SELECT x, y, species, round(score, 6) AS score FROM fine", "occurrences"))
+@register("damped_cell_scores", sql(f"WITH {FINE} SELECT x, y, species, round(score, 6) AS score FROM fine", "occurrences"))
 def damped_cell_scores(spark: SparkSession, d: str) -> DataFrame:
-    return O.damped_scores(_counts(spark, d), ["x", "y"], 0.35, 48).withColumn("score", F.round("score", 6))
+    return O.damped_scores(cell_counts(spark, d), ["x", "y"], 0.35, 48).withColumn("score", F.round("score", 6))
 
 
-@register("coarse_cell_scores", sql(f"""
-    WITH {_COUNTS}, u AS (SELECT floor(x / 5::DOUBLE)::BIGINT AS x, floor(y / 5::DOUBLE)::BIGINT AS y, species, sum(n)::DOUBLE AS score FROM c GROUP BY ALL),
-    k AS (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY score DESC, species) AS r FROM u)
-    SELECT x, y, species, round(score / max(score) OVER (PARTITION BY x, y), 6) AS score FROM k WHERE r <= 96""", "occurrences"))
+_ROLLED = """u{f} AS (SELECT floor(x / {f}::DOUBLE)::BIGINT AS x, floor(y / {f}::DOUBLE)::BIGINT AS y, species, round(sum(score), 9) AS score FROM fine GROUP BY ALL),
+    k{f} AS (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY score DESC, species) AS r FROM u{f})"""
+_ROLL = "SELECT {f} AS factor, x, y, species, round(score / max(score) OVER (PARTITION BY x, y), 6) AS score FROM k{f} WHERE r <= 96"
+
+
+@register("coarse_cell_scores", sql(f"WITH {FINE}, {_ROLLED.format(f=5)}, {_ROLLED.format(f=20)} {_ROLL.format(f=5)} UNION ALL {_ROLL.format(f=20)}", "occurrences"))
 def coarse_cell_scores(spark: SparkSession, d: str) -> DataFrame:
-    return O.coarser(_counts(spark, d).withColumnRenamed("n", "score"), 5, 96).withColumn("score", F.round("score", 6))
+    fine = O.damped_scores(cell_counts(spark, d), ["x", "y"], 0.35, 48)
+    each = [O.coarser(fine, f, 96).select(F.lit(f).alias("factor"), "x", "y", "species", F.round("score", 6).alias("score")) for f in (5, 20)]
+    return each[0].unionByName(each[1])
 
 
 @register("weighted_draw")
@@ -120,4 +125,4 @@ def streamed_cell_counts(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.readStream.schema(schema).parquet(f"{d}/lineitem.parque[t]")  # a pattern: the table may be a single file
     row, col = G.cell(F.col("lat"), 20, -90, 90), G.cell(F.col("lon"), 20, -180, 180)
     source = T.occurrences_of(rows).select(row.alias("row_cell"), col.alias("col_cell"), "publisher", "species")
-    return cells.run(spark, source, spark.conf.get("spark.checkpoint.dir", "/tmp/quadrat-checkpoints"))
+    return cells.run(spark, source, shared_folder(spark))

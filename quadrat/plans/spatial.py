@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quadrat.functions import geo as G
 from quadrat.operators import spatial as P
+from quadrat.operators.occurrence import coarser, damped_scores
+from quadrat.plans.occurrences import FINE, cell_counts
 from quadrat.plans.splits import KM
 from quadrat.registry import register
 from quadrat.sources import tables as T
@@ -52,41 +54,60 @@ def proximity_exclusion(spark: SparkSession, d: str) -> DataFrame:
     return o.join(close, ["lat", "lon"], "left_anti").select("survey", "line")
 
 
-_GRID = "g AS (SELECT floor(lat * 10)::BIGINT AS x, floor(lon * 10)::BIGINT AS y, species, count(*) AS score FROM occurrences GROUP BY ALL)"
+_SHARE = "(CASE WHEN abs(a) + abs(b) = 0 THEN 1 WHEN abs(a) + abs(b) = 1 THEN exp(-0.8::DOUBLE) ELSE exp(-0.8::DOUBLE * sqrt(2::DOUBLE)) END)"
 
 
-def _grid(spark: SparkSession, d: str) -> DataFrame:
-    cell = lambda c: F.floor(F.col(c) * 10).alias("x" if c == "lat" else "y")
-    return T.occurrences(spark, d).groupBy(cell("lat"), cell("lon"), "species").agg(F.count("*").alias("score"))
+def _stencil_sql(grid: str, cells: str) -> str:
+    """SQL of x, y, species and the weighted sum over the nine cells of ``grid`` around each of ``cells``."""
+    return f"""SELECT q.x, q.y, species, round(sum({_SHARE} * score), 9) AS score FROM (SELECT q.x, q.y, a, b FROM {cells} q CROSS JOIN (VALUES (-1), (0), (1)) AS s(a) CROSS JOIN (VALUES (-1), (0), (1)) AS t(b)) q
+        JOIN {grid} g ON g.x = q.x + q.a AND g.y = q.y + q.b GROUP BY ALL"""
+
+
+_QUERY_CELLS = "q AS (SELECT DISTINCT floor(lat * 10)::BIGINT AS x, floor(lon * 10)::BIGINT AS y FROM sites)"
+_ASKED = "SELECT site AS id, floor(lat * 10)::BIGINT AS x, floor(lon * 10)::BIGINT AS y FROM sites"
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    return T.sites(spark, d).select(F.col("site").alias("id"), F.floor(F.col("lat") * 10).alias("x"), F.floor(F.col("lon") * 10).alias("y"))
+
+
+def _fine(spark: SparkSession, d: str) -> DataFrame:
+    return damped_scores(cell_counts(spark, d), ["x", "y"], 0.35, 48)
 
 
 @register("grid_stencil", sql(f"""
-    WITH {_GRID}, q AS (SELECT site AS id, floor(lat * 10)::BIGINT AS x, floor(lon * 10)::BIGINT AS y FROM sites)
-    SELECT id, species, round(sum(exp(-0.8 * sqrt((g.x - q.x)^2 + (g.y - q.y)^2)) * score), 6) AS score
-    FROM q JOIN g ON abs(g.x - q.x) <= 1 AND abs(g.y - q.y) <= 1 GROUP BY ALL""", "occurrences", "sites"))
+    WITH {FINE}, {_QUERY_CELLS}, m AS ({_stencil_sql("fine", "q")}),
+    k AS (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY score DESC, species) AS rank FROM m),
+    b AS (SELECT x, y, species, rank, score / max(score) OVER (PARTITION BY x, y) AS score, sum(score) OVER (PARTITION BY x, y) AS coverage FROM k WHERE rank <= 28)
+    SELECT id, species, round(score, 6) AS score, rank::INT AS rank, round(coverage, 5) AS coverage FROM ({_ASKED}) JOIN b USING (x, y)""", "occurrences", "sites"))
 def grid_stencil(spark: SparkSession, d: str) -> DataFrame:
-    q = T.sites(spark, d).select(F.col("site").alias("id"), F.floor(F.col("lat") * 10).alias("x"), F.floor(F.col("lon") * 10).alias("y"))
-    return P.stencil(q, _grid(spark, d)).withColumn("score", F.round("score", 6))
+    q = _asked(spark, d)
+    best = P.best_of_cells(P.stencil(q.select("x", "y").distinct(), _fine(spark, d)), 28)
+    return q.join(best, ["x", "y"]).select("id", "species", F.round("score", 6).alias("score"), "rank", F.round("coverage", 5).alias("coverage"))
+
+
+def _coarse_sql(factor: int) -> str:
+    return f"""c{factor}k AS (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY score DESC, species) AS r FROM (SELECT floor(x / {factor}::DOUBLE)::BIGINT AS x, floor(y / {factor}::DOUBLE)::BIGINT AS y, species, round(sum(score), 9) AS score FROM fine GROUP BY ALL)),
+    c{factor} AS (SELECT x, y, species, score / max(score) OVER (PARTITION BY x, y) AS score FROM c{factor}k WHERE r <= 96)"""
+
+
+def _scale_sql(factor: int, weight: float, grid: str) -> str:
+    return f"""q{factor} AS (SELECT DISTINCT floor(x / {factor}::DOUBLE)::BIGINT AS x, floor(y / {factor}::DOUBLE)::BIGINT AS y FROM q),
+    s{factor} AS ({_stencil_sql(grid, f"q{factor}")}), p{factor} AS (SELECT x AS cx, y AS cy, species, round(score / max(score) OVER (PARTITION BY x, y), 9) AS part FROM s{factor}),
+    v{factor} AS (SELECT x, y, species, {weight}::DOUBLE * part AS value, (part >= 0.25)::INT AS here FROM q JOIN p{factor} ON cx = floor(x / {factor}::DOUBLE) AND cy = floor(y / {factor}::DOUBLE))"""
 
 
-@register("multi_scale_stencil", sql("""
-    WITH g AS (SELECT s, floor(lat * 10 / s)::BIGINT AS x, floor(lon * 10 / s)::BIGINT AS y, species, count(*) AS score FROM occurrences CROSS JOIN (VALUES (1), (5), (20)) AS t(s) GROUP BY ALL),
-    q AS (SELECT site AS id, s, w, floor(lat * 10 / s)::BIGINT AS x, floor(lon * 10 / s)::BIGINT AS y FROM sites CROSS JOIN (VALUES (1, 0.5::DOUBLE), (5, 0.3), (20, 0.2)) AS t(s, w)),
-    m AS (SELECT id, q.s, w, species, sum(exp(-0.8 * sqrt((g.x - q.x)^2 + (g.y - q.y)^2)) * score) AS score
-          FROM q JOIN g ON g.s = q.s AND abs(g.x - q.x) <= 1 AND abs(g.y - q.y) <= 1 GROUP BY ALL),
-    n AS (SELECT *, score / max(score) OVER (PARTITION BY id, s) AS part FROM m)
-    SELECT id, species, round(sum(w * part), 6) AS score FROM n GROUP BY ALL""", "occurrences", "sites"))
+@register("multi_scale_stencil", sql(f"""
+    WITH {FINE}, {_coarse_sql(5)}, {_coarse_sql(20)}, {_QUERY_CELLS}, {_scale_sql(1, 0.5, "fine")}, {_scale_sql(5, 0.3, "c5")}, {_scale_sql(20, 0.2, "c20")},
+    u AS (SELECT x, y, species, sum(value) AS value, sum(here) AS support FROM (FROM v1 UNION ALL FROM v5 UNION ALL FROM v20) GROUP BY ALL),
+    l AS (SELECT x, y, species, support, round(value * (1 + 0.12::DOUBLE * greatest(support::INT - 1, 0)), 9) AS score FROM u),
+    k AS (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY score DESC, species) AS rank FROM l),
+    b AS (SELECT x, y, species, rank, score / max(score) OVER w AS score, sum(score) OVER w AS coverage, avg(CASE WHEN rank <= 10 THEN support / 3::DOUBLE END) OVER w AS agreement FROM k WHERE rank <= 48 WINDOW w AS (PARTITION BY x, y))
+    SELECT id, species, round(score, 6) AS score, rank::INT AS rank, round(coverage, 5) AS coverage, round(agreement, 6) AS agreement FROM ({_ASKED}) JOIN b USING (x, y)""", "occurrences", "sites"))
 def multi_scale_stencil(spark: SparkSession, d: str) -> DataFrame:
-    scales = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.lit(w).alias("w")) for s, w in ((1, 0.5), (5, 0.3), (20, 0.2))])).alias("t")
-    at = lambda c: F.floor(F.col(c) * 10 / F.col("t.s"))
-    g = T.occurrences(spark, d).select("*", scales).groupBy(F.col("t.s").alias("s"), at("lat").alias("x"), at("lon").alias("y"), "species").agg(F.count("*").alias("score"))
-    q = T.sites(spark, d).select("*", scales).select(F.struct("site", "t").alias("id"), F.col("t.s").alias("qs"), at("lat").alias("x"), at("lon").alias("y"))
-    step = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    around = q.withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step)).withColumn("x", F.col("x") + F.col("dx")).withColumn("y", F.col("y") + F.col("dy"))
-    weight = F.exp(-0.8 * F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")))
-    m = around.join(g.withColumnRenamed("s", "qs"), ["qs", "x", "y"]).groupBy("id", "species").agg(F.sum(weight * F.col("score")).alias("score"))
-    n = m.withColumn("part", F.col("score") / F.max("score").over(Window.partitionBy("id")))
-    return n.groupBy(F.col("id.site").alias("id"), "species").agg(F.round(F.sum(F.col("id.t.w") * F.col("part")), 6).alias("score"))
+    q, fine = _asked(spark, d), _fine(spark, d)
+    best = P.across_scales(q.select("x", "y").distinct(), [(1, 0.5, fine), (5, 0.3, coarser(fine, 5, 96)), (20, 0.2, coarser(fine, 20, 96))], 48)
+    return q.join(best, ["x", "y"]).select("id", "species", F.round("score", 6).alias("score"), "rank", F.round("coverage", 5).alias("coverage"), F.round("agreement", 6).alias("agreement"))
 
 
 @register("cell_binning", sql("""
