@@ -85,13 +85,15 @@ def rarity_strata(spark: SparkSession, d: str) -> DataFrame:
     c AS (SELECT coalesce(a.species, b.species) AS species, b.survey IS NOT NULL AS added, l.survey IS NOT NULL AS hit FROM a FULL JOIN b ON a.survey = b.survey AND a.species = b.species
           LEFT JOIN pairs l ON l.survey = coalesce(a.survey, b.survey) AND l.species = coalesce(a.species, b.species) WHERE a.survey IS NULL OR b.survey IS NULL),
     s AS (SELECT species, count(*) FILTER (added) AS added, count(*) FILTER (NOT added) AS removed, count(*) FILTER (added AND hit) - count(*) FILTER (NOT added AND hit) AS gain FROM c GROUP BY 1)
-    SELECT * FROM s ORDER BY gain DESC, species LIMIT 20""", "scores", "pairs"))
+    SELECT * FROM (SELECT 'gain' AS side, * FROM s ORDER BY gain DESC, species LIMIT 20) UNION ALL SELECT * FROM (SELECT 'loss' AS side, * FROM s ORDER BY gain, species LIMIT 20)""", "scores", "pairs"))
 def change_accounting(spark: SparkSession, d: str) -> DataFrame:
+    """Species that gain and that lose most hits between two lists, 20 each."""
     a, b = (_pred(spark, d, c).withColumn(n, F.lit(True)) for c, n in (("p", "a"), ("q", "b")))
     c = a.join(b, ["survey", "species"], "full").where("a is null or b is null").join(T.pairs(spark, d).withColumn("hit", F.lit(True)), ["survey", "species"], "left")
     added, removed, hit = F.col("b").isNotNull(), F.col("b").isNull(), F.col("hit").isNotNull()
     s = c.groupBy("species").agg(F.count_if(added).alias("added"), F.count_if(removed).alias("removed"), (F.count_if(added & hit) - F.count_if(removed & hit)).alias("gain"))
-    return s.orderBy(F.desc("gain"), "species").limit(20)
+    sides = [s.orderBy(order, "species").limit(20).select(F.lit(side).alias("side"), "*") for side, order in (("gain", F.desc("gain")), ("loss", F.asc("gain")))]
+    return sides[0].unionByName(sides[1])
 
 
 @register("brier_score", sql("""
@@ -115,12 +117,12 @@ _GRID = "grid AS (SELECT i, 0.05 + 0.05 * i AS t FROM generate_series(0, 18) AS
 
 
 @register("adaptive_thresholds", sql("""
-    WITH y AS (SELECT s.species, p, l.species IS NOT NULL AS y FROM scores s LEFT JOIN pairs l USING (survey, species) WHERE s.species % 40 = 0),
+    WITH y AS (SELECT s.species, p, l.species IS NOT NULL AS y FROM scores s LEFT JOIN pairs l USING (survey, species)),
     f AS (SELECT species, i, round(2 * count(*) FILTER (p >= (1 + i) / 20::DOUBLE AND y) / greatest(count(*) FILTER (p >= (1 + i) / 20::DOUBLE) + count(*) FILTER (y), 1)::DOUBLE, 9) AS f1, count(*) FILTER (y) AS n FROM y CROSS JOIN generate_series(0, 18) AS g(i) GROUP BY ALL),
     b AS (SELECT *, row_number() OVER (PARTITION BY species ORDER BY f1 DESC, i) AS r FROM f)
     SELECT species, CASE WHEN n < 5 THEN 0.5 ELSE (1 + i) / 20::DOUBLE END AS threshold FROM b WHERE r = 1""", "scores", "pairs"))
 def adaptive_thresholds(spark: SparkSession, d: str) -> DataFrame:
-    y = T.scores(spark, d).where("species % 40 = 0").join(T.pairs(spark, d).withColumn("y", F.lit(True)), ["survey", "species"], "left").na.fill(False, ["y"])
+    y = T.scores(spark, d).join(T.pairs(spark, d).withColumn("y", F.lit(True)), ["survey", "species"], "left").na.fill(False, ["y"])
     return Y.label_thresholds(y, "species", "p", "y", [(1 + i) / 20 for i in range(19)], 5)
 
 

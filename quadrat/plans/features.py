@@ -89,12 +89,12 @@ def percentile_stretch(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("cube_permute", """
-    WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) = 64)
-    SELECT vec_id, e[1] AS first, e[17] AS second, e[2] AS fifth, e[64] AS last FROM v""")
+    WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) = 64), i AS (SELECT i FROM generate_series(0, 63) AS g(i))
+    SELECT vec_id, i::INT AS cell, e[i % 4 * 16 + i // 4 % 4 * 4 + i // 16 + 1] AS value FROM v CROSS JOIN i""")
 def cube_permute(spark: SparkSession, d: str) -> DataFrame:
-    v = T.table(spark, d, "embeddings").select("vec_id", E.permuted(F.col("embedding").cast("array<double>"), (4, 4, 4), (2, 1, 0)).alias("e")).where(F.size("e") == 64)
-    # element [i, j, k] of the turned cube is [k, j, i] of the first
-    return v.select("vec_id", F.col("e")[0].alias("first"), F.col("e")[1].alias("second"), F.col("e")[16].alias("fifth"), F.col("e")[63].alias("last"))
+    """Every cell of the turned cube: element [i, j, k] is [k, j, i] of the first."""
+    v = T.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e")).where(F.size("e") == 64)
+    return v.select("vec_id", F.posexplode(E.permuted(F.col("e"), (4, 4, 4), (2, 1, 0))).alias("cell", "value"))
 
 
 @register("block_pooling", """

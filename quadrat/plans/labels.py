@@ -96,12 +96,12 @@ def dictionary_encode(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("overlap_diagnostics", sql("""
-    WITH a AS (SELECT DISTINCT species FROM pairs WHERE survey % 5 = 0), b AS (SELECT DISTINCT species FROM pairs WHERE survey % 5 = 1)
+    WITH a AS (SELECT DISTINCT species FROM pairs WHERE survey % 5 = 0), b AS (SELECT DISTINCT species FROM pairs WHERE survey % 5 <> 0)
     SELECT (SELECT count(*) FROM a) AS left_only_and_shared, (SELECT count(*) FROM a SEMI JOIN b USING (species)) AS shared,
            (SELECT count(*) FROM a ANTI JOIN b USING (species)) AS unseen""", "pairs"))
 def overlap_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     p = T.pairs(spark, d)
-    a, b = (p.where(F.col("survey") % 5 == i).select("species").distinct() for i in (0, 1))
+    a, b = (p.where(c).select("species").distinct() for c in ("survey % 5 = 0", "survey % 5 <> 0"))
     both = a.join(b.withColumn("there", F.lit(True)), "species", "left")
     return both.agg(F.count("*").alias("left_only_and_shared"), F.count_if("there").alias("shared"), F.count_if(F.col("there").isNull()).alias("unseen"))
 
