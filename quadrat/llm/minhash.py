@@ -9,12 +9,13 @@ the rest of the registers only, so that each register sees one arrival of rate `
 that arrives first, and a shingle stops once it is later than all registers of its text.  Bands are fixed subsets of
 registers; texts that agree in a band share a bucket.
 
-Equal texts are one node.  In a bucket every node is compared with a pivot, the node that meets most others over all its
-buckets, so that one node serves as pivot of most buckets of a group of near copies and a bucket of n nodes costs n
-comparisons; nodes that are not linked to it have a second pivot among themselves.  Then the classes so far are formed,
-and nodes that share a bucket but not a class are held against each other within the join, by four bits of each register
-and then by their shingle sets: only what can be a link comes out of it and is verified, so copies are never expanded
-into all pairs and no link between two classes is left out.
+Equal texts are one node.  Classes grow in rounds.  In a round every bucket that still holds two classes has a pivot, the
+node that meets most others over all its buckets, so that one node serves as pivot of most buckets of a group of near
+copies; the other classes' nodes are verified against it, the classes that this links are merged, and the pivot leaves
+the bucket: a round costs one pair a member at most, mostly far less.  After ``ROUNDS`` rounds every two nodes that still
+share a bucket but no class are compared within the join, first by four bits of each register and then by the exact
+index on their shingles, in the least bucket that they share: only true links come out, so copies are never expanded
+into pairs and no link between two classes is left out.  Buckets of more than ``CHUNK`` nodes are split over tasks.
 
 Cases: null and empty texts, and texts without a letter or digit, have no shingles; equal ones are copies of each other
 like other equal texts, and nothing else is linked to them.  Null ``doc_id`` are rows like others; a class is named by
@@ -35,8 +36,14 @@ from quadrat.llm.shared import written
 
 WORDS, SIMILARITY = 5, 0.8
 REGISTERS, BANDS, ROWS = 256, 64, 8
-#: Texts whose registers agree in a smaller share are not verified: eight standard deviations below SIMILARITY.
-LEAST_AGREEMENT = 0.59
+#: A similarity that is the threshold but for rounding is a link.
+ENOUGH = SIMILARITY - 1e-9
+#: Texts whose registers agree in a smaller share are not verified: six standard deviations below SIMILARITY.
+LEAST_AGREEMENT = 0.64
+#: Rounds of pivots before the rest is compared; more or fewer change the work, not the classes.
+ROUNDS = 2
+#: Members of a bucket that one task compares with the others of that bucket.
+CHUNK = 4096
 #: Registers in each long of a sketch, at four bits each.
 PER_LONG = 16
 
@@ -187,51 +194,126 @@ class Verifier:
         return written(full.mapInArrow(measure, "p binary, q binary, j double"), "verified")
 
     def shingle_sets(self, nodes: DataFrame) -> DataFrame:
-        """node, its distinct shingles, and a bound of its distance from that set without weights."""
+        """node and its shingles by how often they occur: an array of (w, s)."""
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for a, z, raw, offsets in tb.steps(batch.column(1)):
                     row, key, n = shingles(raw, offsets)
-                    where = np.searchsorted(row, np.arange(z - a + 1)).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(where), pa.array(key.view(np.int64)))
-                    alone, total = np.bincount(row[n == 1], minlength=z - a), np.bincount(row, n, z - a)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), lists, pa.array(1 - alone / np.maximum(total, 1) + 1e-9)], ["node", "shingles", "slack"])
+                    order = np.lexsort((key, n, row))
+                    row, key, n = row[order], key[order], n[order]
+                    new = np.ones(len(key), bool)
+                    new[1:] = (row[1:] != row[:-1]) | (n[1:] != n[:-1])
+                    at = np.flatnonzero(new)
+                    inner = pa.ListArray.from_arrays(pa.array(np.append(at, len(key)).astype(np.int32)), pa.array(key.view(np.int64)))
+                    each = pa.StructArray.from_arrays([pa.array(n[at].astype(np.int32)), inner], ["w", "s"])
+                    where = np.searchsorted(row[at], np.arange(z - a + 1)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), pa.ListArray.from_arrays(pa.array(where), each)], ["node", "shingles"])
 
-        return self.texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(sets, "node binary, shingles array<long>, slack double")
+        return self.texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(sets, "node binary, shingles array<struct<w:int,s:array<long>>>")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, label) of all nodes with a link: the least node of the component, by spreading and shortening labels."""
-    edges = written(links.select("p", "q").unionByName(links.select(F.col("q").alias("p"), F.col("p").alias("q"))).distinct(), "edges")
-    labels = written(edges.groupBy(F.col("p").alias("node")).agg(F.least(F.min("q"), F.first("p")).alias("label")), "labels")
-    while True:
-        told = edges.join(labels, edges.q == labels.node).groupBy("p").agg(F.min("label").alias("told"))
-        spread = labels.join(told, labels.node == told.p).select("node", "label", F.least("label", "told").alias("next"))
-        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("jump"))
-        after = written(spread.join(jump, "next").select("node", F.least("next", "jump").alias("label"), (F.least("next", "jump") != F.col("label")).alias("changed")), "labels")
-        labels = after.select("node", "label")
-        if after.where("changed").isEmpty():
-            return labels
+def _total(values: Column, of) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda t, v: t + of(v))
+
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-def _against_pivots(members: DataFrame, weights: DataFrame, verify: Verifier) -> tuple[DataFrame, DataFrame]:
-    """(links of bucket members to their pivot, members (key, node) that are neither linked to it nor it)."""
-    heavy = members.join(weights, "node")
-    pivots = heavy.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top"), F.count("*").alias("n")).where("n > 1")
-    tried = written(members.join(pivots.select("key", F.col("top.node").alias("p")), "key").where("node <> p"), "tried")
-    links = verify(tried.select("p", F.col("node").alias("q")).distinct()).where(F.col("j") >= SIMILARITY).select("p", "q")
-    rest = tried.join(links.withColumnRenamed("q", "node"), ["p", "node"], "left_anti").select("key", "node")
-    return links, written(rest, "rest")
 
+def exact_index(p: Column, q: Column) -> Column:
+    """Probability Jaccard index of two arrays of (w, s), as ``similarity`` gives it.
+
+    A shared shingle of counts x and y adds 1 / (sum over all of max(x_j / x, y_j / y)); shingles of equal counts on both
+    sides add the same, so the sum runs over pairs of counts.
+    """
+
+    def size(side: Column) -> Column:
+        return _total(side, lambda e: e["w"] * F.size(e["s"]))
 
-def _links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, verified links enough for the classes)."""
+    def of(shared: Column) -> Column:
+        only_p = size(p) - _total(shared, lambda e: e["c"] * e["x"])
+        only_q = size(q) - _total(shared, lambda e: e["c"] * e["y"])
+
+        def term(e: Column, more: Column, less: Column) -> Column:
+            above = F.filter(shared, lambda o: o["x"] * e["y"] >= e["x"] * o["y"])
+            below = F.filter(shared, lambda o: o["x"] * e["y"] < e["x"] * o["y"])
+            return e["c"] / ((more + _total(above, lambda o: o["c"] * o["x"])) / e["x"] + (less + _total(below, lambda o: o["c"] * o["y"])) / e["y"])
+
+        return _once(only_p, lambda more: _once(only_q, lambda less: _total(shared, lambda e: term(e, more, less))))
+
+    pairs = F.flatten(F.transform(p, lambda a: F.transform(q, lambda b: F.struct(a["w"].alias("x"), b["w"].alias("y"), F.size(F.array_intersect(a["s"], b["s"])).alias("c")))))
+    return _once(F.filter(pairs, lambda e: e["c"] > 0), of)
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, label) of all nodes with a link: the least node of the component, by spreading and shortening labels.
+
+    A node of more than CHUNK links is split over tasks wherever rows meet its label.
+    """
+    both = links.select("p", "q").unionByName(links.select(F.col("q").alias("p"), F.col("p").alias("q"))).distinct()
+    nodes = written(both.groupBy(F.col("p").alias("node")).agg(F.least(F.min("q"), F.first("p")).alias("label"), F.ceil(F.count("*") / CHUNK).cast("int").alias("parts")), "labels")
+    many = nodes.where("parts > 1").select(F.col("node").alias("q"), "parts")
+    edges = both.join(many, "q", "left").select("p", "q", F.pmod(F.xxhash64("p"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    edges, labels = written(edges, "edges"), nodes
+    while True:
+        known = labels.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        told = edges.join(known, (edges.q == known.node) & (edges.part == known.part)).groupBy("p").agg(F.min("label").alias("told"))
+        spread = written(labels.join(told, labels.node == told.p).select("node", "label", "parts", F.least("label", "told").alias("next")), "spread")
+        # One row for each label that is in use, and as many as a label with many nodes has parts.
+        used = spread.groupBy("next").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("n"))
+        jump = used.join(labels.select(F.col("node").alias("next"), F.col("label").alias("jump")), "next")
+        jump = written(jump.where("jump < next"), "jump")
+        if not jump.isEmpty():
+            split = spread.join(jump.where("n > 1").select("next", "n"), "next", "left").withColumn("part", F.pmod(F.xxhash64("node"), F.coalesce("n", F.lit(1))).cast("int"))
+            jump = jump.select("next", "jump", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
+            spread = split.join(jump, ["next", "part"], "left").select("node", "label", "parts", F.least("next", "jump").alias("next"))
+        after = written(spread.select("node", F.col("next").alias("label"), "parts", (F.col("next") != F.col("label")).alias("changed")), "labels")
+        labels = after.select("node", "label", "parts")
+        if after.where("changed").isEmpty():
+            return labels.select("node", "label")
+
+
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels (node, label) after links between nodes of the classes so far; nodes without a row are their own class."""
+    if labels is None:
+        return components(links)
+    for side in "pq":
+        name = labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
+        links = links.join(name, side, "left").withColumn(side, F.coalesce(f"{side}_label", side)).drop(f"{side}_label")
+    links = written(links.select("p", "q").distinct(), "class-links")
+    if links.isEmpty():
+        return labels
+    found = components(links)
+    moved = labels.join(found.select(F.col("node").alias("label"), F.col("label").alias("into")), "label", "left").select("node", F.coalesce("into", "label").alias("label"))
+    return written(moved.unionByName(found.join(labels, "node", "left_anti")), "labels")
+
+
+def _split_buckets(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(key, node, label) of the members of buckets that hold two classes."""
+    side = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    side = written(side, "sides")
+    split = written(side.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"), "split")
+    return side.join(split, "key")
+
+
+def _against_pivots(side: DataFrame, weights: DataFrame, verify: Verifier) -> tuple[DataFrame, DataFrame]:
+    """(links of bucket members to the pivot of another class, members (key, node) besides the pivots)."""
+    heavy = side.join(weights, "node")
+    pivots = written(heavy.groupBy("key").agg(F.max(F.struct("weight", "node", "label")).alias("top")).select("key", F.col("top.node").alias("p"), F.col("top.label").alias("p_label")), "pivots")
+    tried = written(side.join(pivots, "key").where("node <> p"), "tried")
+    pairs = tried.where("label <> p_label").select("p", F.col("node").alias("q")).distinct()
+    links = verify(pairs).where(F.col("j") >= ENOUGH).select("p", "q")
+    return links, tried.select("key", "node")
+
+
+def _labels(docs: DataFrame, signed: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes, labels of those that are linked)."""
     nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "nodes")
     places = nodes.select("node", F.explode("bands").alias("key"))
     sizes = places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(places.join(sizes, "key"), "buckets")
-    members = shared.select("key", "node")
     weights = written(shared.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     wanted = weights.select("node").join(nodes.select("node", "doc_id"), "node")
@@ -239,52 +321,44 @@ def _links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = wanted.join(own, (F.col("node") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("own_id")))
     verify = Verifier(nodes.select("node", "sketch"), written(texts.select("node", "text").dropDuplicates(["node"]), "texts"))
 
-    links, rest = _against_pivots(members, weights, verify)
-    more, _ = _against_pivots(rest, weights, verify)
-    links = written(links.unionByName(more).distinct(), "links")
-
-    label = components(links)
-    side = members.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    split = side.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    side = side.join(split, "key").join(nodes.select("node", "sketch"), "node")
+    labels, rest = None, shared.select("key", "node")
+    for _ in range(rounds):
+        links, rest = _against_pivots(_split_buckets(rest, labels), weights, verify)
+        labels = _merged(labels, links)
+    side = written(_split_buckets(rest, labels), "rest")
     parts = written(verify.shingle_sets(side.select("node").distinct()), "parts")
-    cross = _likely(written(side.join(parts, "node"), "sides")).distinct()
-    found = verify(written(cross, "cross")).where(F.col("j") >= SIMILARITY).select("p", "q")
-    return nodes, links.unionByName(found)
-
-
-def _likely(side: DataFrame) -> DataFrame:
-    """Pairs (p, q) of one bucket and two classes that may be links, as sketches and then shingle sets tell."""
-    a, b = (side.select(F.col("key").alias(f"key_{x}"), F.struct("*").alias(x)) for x in "pq")
+    known = nodes.join(parts, "node").select("node", "sketch", "bands", "shingles")
+    links = _links(written(side.join(known, "node"), "compared"))
+    return nodes, _merged(labels, links)
+
+
+def _links(side: DataFrame) -> DataFrame:
+    """Links (p, q) between members of one bucket and two classes."""
+    size = side.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).where("chunks > 1")
+    side = side.join(written(size, "large"), "key", "left").na.fill(1, ["chunks"])
+    own = F.struct("node", "label", "sketch", "bands", "shingles")
+    a = side.select(F.col("key").alias("key_p"), F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk_p"), own.alias("p"))
+    b = side.select(F.col("key").alias("key_q"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk_q"), own.alias("q"))
     apart = (F.col("p.node") < F.col("q.node")) & (F.col("p.label") != F.col("q.label"))
-    alike = F.when(apart & (agreement(F.col("p.sketch"), F.col("q.sketch")) >= LEAST_AGREEMENT), _may_link(F.col("p"), F.col("q"))).otherwise(False)
-    return a.join(b, (F.col("key_p") == F.col("key_q")) & alike).select(F.col("p.node").alias("p"), F.col("q.node").alias("q"))
-
-
-def _may_link(p: Column, q: Column) -> Column:
-    """False where the sets of shingles show that a pair is no link.
-
-    1 - similarity is a metric, so weights move the similarity by no more than each text's distance from its plain set.
-    """
-    shared = F.size(F.array_intersect(p["shingles"], q["shingles"]))
-    plain = shared / (F.size(p["shingles"]) + F.size(q["shingles"]) - shared)
-    return plain + p["slack"] + q["slack"] >= SIMILARITY
+    # Each is asked only where the one before holds.
+    here = F.when(agreement(F.col("p.sketch"), F.col("q.sketch")) >= LEAST_AGREEMENT, F.array_min(F.array_intersect("p.bands", "q.bands")) == F.col("key_p"))
+    alike = F.when(F.when(apart, here), exact_index(F.col("p.shingles"), F.col("q.shingles")) >= ENOUGH).otherwise(False)
+    found = a.join(b, (F.col("key_p") == F.col("key_q")) & (F.col("chunk_p") == F.col("chunk_q")) & alike)
+    return written(found.select(F.col("p.node").alias("p"), F.col("q.node").alias("q")), "links")
 
 
-def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _classes(docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(signed rows, (node, doc_id, class, class_id))."""
     signed = written(signatures(docs), "signatures")
-    nodes, links = _links(docs, signed)
-    links = written(links.distinct(), "links")
-    label = components(links)
-    full = nodes.select("node", "doc_id").join(label, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("class"))
+    nodes, labels = _labels(docs, signed, rounds)
+    full = nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("class"))
     names = full.groupBy("class").agg(F.min("doc_id").alias("class_id"))
     return signed, written(full.join(names, "class").select("node", "doc_id", "class", "class_id"), "classes")
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id and class_id of every row."""
-    signed, named = _classes(docs)
+    signed, named = _classes(docs, rounds)
     return signed.select("doc_id", "node").join(named.select("node", "class_id"), "node").select("doc_id", "class_id")
 
 

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no folder, as in local tests.
-LOCAL = "/tmp/quadrat-checkpoints"
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one is set where that is unset."""
+    """The folder of spark.checkpoint.dir; where that is unset, a new one, on a local master only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not folder:
-        folder = context.getCheckpointDir() or LOCAL
+        folder = context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder

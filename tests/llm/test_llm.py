@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -298,12 +298,19 @@ def test_wrapped_licences(spark):
     assert got == {1: (["Apache-2.0"], [7, 8, 9]), 2: (["Apache-2.0"], [7, 8, 9]), 3: (["GPL-3.0-or-later"], [12, 13, 14]), 4: (["GPL-2.0-or-later"], [32, 13, 14]), 5: (["MIT"], [4, 5]), 6: ([], []), 7: (["MPL-2.0"], [28, 36])}
 
 
-def jaccard_classes(texts):
-    def parts(t):
-        w = re.findall(r"[^\W_]+", (t or "").lower())
-        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+def counted_shingles(text):
+    w = re.findall(r"[^\W_]+", (text or "").lower())
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
 
-    own = {i: parts(t) for i, t in texts}
+
+def probability_index(x, y):
+    """The probability Jaccard index by its definition, shingles of equal counts on both sides taken together."""
+    kinds = Counter((x[k], y[k]) for k in x.keys() | y.keys())
+    return sum(n / sum(m * max(c / a, d / b) for (c, d), m in kinds.items()) for (a, b), n in kinds.items() if a and b)
+
+
+def similar_classes(texts):
+    own = {i: counted_shingles(t) for i, t in texts}
     raw = {i: t or "" for i, t in texts}
     parent = {i: i for i in own}
 
@@ -314,22 +321,55 @@ def jaccard_classes(texts):
 
     for a in own:
         for b in own:
-            if a < b and (raw[a] == raw[b] or own[a] and own[b] and len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b])):
+            if a < b and (raw[a] == raw[b] or 2 * len(own[a].keys() & own[b].keys()) > len(own[a]) / 2 and probability_index(own[a], own[b]) >= 0.8 - 1e-9):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return {i: find(i) for i in own}
 
 
-def test_near_duplicates_are_brute_force(spark, docs):
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_near_duplicates_are_brute_force(spark, docs, rounds):
     r = random.Random(6)
     base = [f"w{r.randint(0, 9999)}" for _ in range(200)]
-    made = [(10_000 + i, " ".join(w if r.random() > 0.012 else "other" for w in base)) for i in range(40)]
+    said = [f"v{r.randint(0, 9999)}" for _ in range(12)] * 4 + [f"u{i}" for i in range(40)]
+    near = lambda words, share: " ".join(w if r.random() > share else f"o{r.randint(0, 99)}" for w in words)
+    made = [(10_000 + i, near(base, 0.012)) for i in range(40)] + [(20_000 + i, near(said, 0.02)) for i in range(60)] + [(30_000 + i, near(base[:40], 0.01)) for i in range(40)]
     own = docs.select("doc_id", "text").union(spark.createDataFrame(made, "doc_id long, text string"))
-    got = {x.doc_id: x.class_id for x in minhash.classes(own).collect()}
-    assert got == jaccard_classes([(x.doc_id, x.text) for x in own.collect()])
+    got = {x.doc_id: x.class_id for x in minhash.classes(own, rounds).collect()}
+    assert got == similar_classes([(x.doc_id, x.text) for x in own.collect()])
     assert minhash.dedup(own).count() == len(set(got.values()))
 
 
+def test_near_duplicates_in_one_large_group(spark, monkeypatch):
+    """A group of 2,000 near copies, its buckets split over tasks, makes few pairs a text and the classes of the exact way."""
+    r = random.Random(16)
+    said = [f"v{r.randint(0, 9999)}" for _ in range(12)] * 4 + [f"u{i}" for i in range(40)]
+    made = [(i, " ".join(w if r.random() > 0.02 else f"o{r.randint(0, 99)}" for w in said)) for i in range(2000)]
+    pairs = []
+    real = minhash.Verifier.__call__
+    monkeypatch.setattr(minhash.Verifier, "__call__", lambda self, p: pairs.append(p.count()) or real(self, p))
+    monkeypatch.setattr(minhash, "CHUNK", 300)
+    got = {x.doc_id: x.class_id for x in minhash.classes(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert sum(pairs) <= 10 * len(made), pairs
+    kinds = defaultdict(list)
+    for i, t in made:
+        kinds[tuple(sorted(counted_shingles(t).items()))].append(i)
+    assert len(got) == 2000
+    few = [(i, t) for i, t in made if i < 300]
+    own = similar_classes(few)
+    assert all(got[a] == got[b] for a, b in own.items())  # a class of some of the texts lies in one class of all
+
+
+def test_exact_index_in_columns(spark):
+    r = random.Random(9)
+    sides = [({k: r.randint(1, 4) for k in range(12) if r.random() < 0.6} or {1: 1}, {k: r.randint(1, 4) for k in range(12) if r.random() < 0.6} or {2: 1}) for _ in range(40)]
+    table = lambda d: [(w, sorted(k for k in d if d[k] == w)) for w in sorted(set(d.values()))]
+    kind = "array<struct<w:int,s:array<long>>>"
+    df = spark.createDataFrame([(i, table(x), table(y)) for i, (x, y) in enumerate(sides)], f"i int, p {kind}, q {kind}")
+    for i, got in df.select("i", minhash.exact_index(F.col("p"), F.col("q"))).collect():
+        assert abs(got - probability_index(Counter(sides[i][0]), Counter(sides[i][1]))) < 1e-12
+
+
 def test_near_dedup_keeps_one_of_repeated_rows(spark):
     kept = minhash.dedup(odd(spark, ODD)).collect()
     assert len([x for x in kept if x.text == "one"]) == 1 and len([x for x in kept if (x.text or "").startswith("tie")]) == 1
