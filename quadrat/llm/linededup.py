@@ -5,13 +5,18 @@ more places is repeated; its weight is the number of its words, an empty line co
 of at least ``min_words`` the copy that comes first (by doc_id, then row, then line) stays, and the lines of later copies
 are deleted.
 
-The work is prefix doubling: the name of the 2^(j+1) lines from a place is made of the names of the 2^j lines there and
-2^j lines on, so that equal names are one interval of the suffix order with a common prefix of that length.  Only lines
-that repeat take part.  A repeated run of enough words is the union of its shortest stretches of enough words, taken
-forwards from each of its lines and backwards from each of its lines, so doubling stops at the longest such stretch
-(``min_words`` lines at most): deeper intervals lie inside these and add no line.  A stretch of k lines is named by the
-two overlapping stretches of 2^j lines that cover it.  Sums by name are combined before each shuffle and large groups
-are split by the join, never gathered; a window only ever holds the repeated lines of one document.
+Ranks: lines that stand twice are numbered in one order; then suffixes are sorted by their first 2, 4, 8, ... lines: the
+rank of 2^(j+1) lines from a place is the place of (rank of 2^j lines there, rank of 2^j lines on) in the sorted table of
+such pairs.  A suffix leaves once its first lines stand nowhere else.  Equal ranks are an interval of the suffix array
+with a common prefix of 2^j lines; an interval with a common prefix of k lines is a pair of ranks that overlap.
+
+Runs: of the intervals only those matter whose common prefix has just ``min_words`` words, read forwards from a line or
+backwards to one: every line of a longer repeated run lies in one of these, and every one of these lies in a repeated
+run.  So doubling ends when 2^(j+1) lines are more than any of them has.  The places of an interval but the first are
+later copies, and the union of their lines is what the maximal repeated runs cover.
+
+Sums by name are combined before each shuffle and written, so that joins with them can be split where a line is very
+common; nothing is gathered by name, and a window only ever holds the repeated lines of one document.
 
 Cases: null and empty texts are one empty line, which is never deleted for itself; null ``doc_id`` come first; repeated
 rows are copies like others (the first row stays); a run within one document may overlap its own copy, and then only its
@@ -23,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrat.llm.shared import written
+from quadrat.llm.shared import doubled, ranks, written
 
 MIN_WORDS = 10
 UID = "__quadrat_row"
@@ -41,67 +46,59 @@ def _lines(base: DataFrame) -> DataFrame:
     return flat.select("doc", "row", "at", words.alias("words"), F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), F.col("line")).alias("b"))
 
 
-def _repeated(places: DataFrame, name: list[str]) -> DataFrame:
-    """Rows of ``places`` whose name stands at two places or more, with ``first``, the first of them."""
-    here = F.struct("doc", "row", "at")
-    groups = places.groupBy(*name).agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return places.join(groups, name)
+def _stretches(live: DataFrame, min_words: int) -> DataFrame:
+    """``live`` with ``run`` of lines next to each other, and the lines of the shortest stretches of enough words.
 
+    ``ahead`` is the number of lines of the one that begins here, ``back`` of the one that ends here, null without.
+    """
+    run = Window.partitionBy("row", "run").orderBy("at")
+    live = live.withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy("row").orderBy("at")))
+    live = live.withColumn("end", F.sum("words").over(run)).withColumn("begin", F.col("end") - F.col("words"))
+    ahead = Window.partitionBy("row", "run").orderBy("begin").rangeBetween(0, min_words - 1)
+    back = Window.partitionBy("row", "run").orderBy("end").rangeBetween(-(min_words - 1), 0)
+    live = live.withColumn("ahead", F.when(F.max("end").over(ahead) - F.col("begin") >= min_words, F.count("*").over(ahead)))
+    live = live.withColumn("back", F.when(F.col("end") - F.min("begin").over(back) >= min_words, F.count("*").over(back)))
+    return live.select("doc", "row", "run", "at", F.col("ahead").cast("int"), F.col("back").cast("int"), F.col("rank").alias("rank0"))
 
-def _chosen(options: list):
-    """The value of the first condition that holds."""
-    out = F
-    for condition, value in options:
-        out = out.when(condition, value)
-    return out
 
+def suffix_ranks(base: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, int]:
+    """(repeated lines with their stretches and rank0, rank1, ... of 1, 2, ... lines from there; number of levels).
+
+    A rank is null where its lines stand nowhere else or end with the run of repeated lines.
+    """
+    lines = _lines(base)
+    live = lines.join(ranks(lines, ["a", "b"]), ["a", "b"])
+    live = written(_stretches(live, min_words), "suffixes")
+    longest = live.agg(F.greatest(F.max("ahead"), F.max("back"))).first()[0] or 1
+    levels = longest.bit_length()
+    return doubled(live, "row", "at", levels), levels
 
-def deleted_lines(base: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(row, at) of every line that a later copy of a repeated run holds."""
-    live = written(_repeated(_lines(base), ["a", "b"]), "lines")
-    later = F.struct("doc", "row", "at") > F.col("first")
-    alone = live.where((F.col("words") >= min_words) & later).select("row", "at")
 
-    by_doc = Window.partitionBy("row").orderBy("at")
+def intervals(base: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Members (doc, row, at, k, first, last) of the intervals whose common prefix, of k lines, has just enough words."""
+    live, levels = suffix_ranks(base, min_words)
     run = Window.partitionBy("row", "run").orderBy("at")
-    live = live.drop("first").withColumn("run", F.col("at") - F.row_number().over(by_doc))
-    live = live.withColumn("end", F.sum("words").over(run)).withColumn("begin", F.col("end") - F.col("words"))
-    ahead = Window.partitionBy("row", "run").orderBy("begin").rangeBetween(0, min_words - 1)
-    back = Window.partitionBy("row", "run").orderBy("end").rangeBetween(-(min_words - 1), 0)
-    live = live.withColumn("ahead", F.count("*").over(ahead)).withColumn("ahead_end", F.max("end").over(ahead))
-    live = live.withColumn("back", F.count("*").over(back)).withColumn("back_begin", F.min("begin").over(back))
-    levels = max(1, min_words).bit_length()  # stretches have min_words lines at most
-    for j in range(1, levels):  # names of 2^j lines from names of 2^(j-1)
-        was, a, b = 1 << (j - 1), ("a" if j == 1 else f"a{j - 1}"), ("b" if j == 1 else f"b{j - 1}")
-        for old, new, seed in ((a, f"a{j}", 2), (b, f"b{j}", 3)):
-            live = live.withColumn(new, F.xxhash64(F.lit(seed), F.col(old), F.lead(old, was).over(run)))
-    deep = range(1, levels)
-    spans = []
-    # Forwards the first part begins here and the second ends the stretch; backwards the stretch ends here.
-    for shift in (0, 1):
-        parts = {}
-        for stem in ("a", "b"):
-            first, second = [], []
-            for j in deep:
-                col = F.col(f"{stem}{j}")
-                for k in range(1 << j, min(2 << j, min_words + 1)):
-                    begin = -(k - 1) if shift else 0
-                    first.append((F.col("k") == k, F.lag(col, -begin).over(run) if begin else col))
-                    move = begin + k - (1 << j)
-                    second.append((F.col("k") == k, F.lead(col, move).over(run) if move > 0 else F.lag(col, -move).over(run) if move < 0 else col))
-            parts[f"{stem}_first"], parts[f"{stem}_second"] = _chosen(first), _chosen(second)
-        # The windows above must see every line of a run, so rows are chosen after them.
-        whole = live.withColumn("k", F.col("back" if shift else "ahead"))
-        enough = (F.col("end") - F.col("back_begin") if shift else F.col("ahead_end") - F.col("begin")) >= min_words
-        named = whole.select("doc", "row", "at", "k", enough.alias("enough"), *[v.alias(n) for n, v in parts.items()]).where("enough and k > 1")
-        start = (F.col("at") - F.col("k") + 1) if shift else F.col("at")
-        spans.append(named.select("doc", "row", start.cast("int").alias("at"), F.col("k").cast("int").alias("k"), F.xxhash64("a_first", "a_second").alias("a"), F.xxhash64(F.lit(5), F.col("b_first"), F.col("b_second")).alias("b")))
-    both = written(spans[0].unionByName(spans[1]).distinct(), "stretches") if deep else None
-    gone = alone
-    if both is not None:
-        copies = _repeated(both, ["k", "a", "b"]).where(later)
-        gone = gone.unionByName(copies.select("row", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("k") - 1)).alias("at")))
-    return gone
+    moved = lambda name, by: F.lead(name, by).over(run) if by > 0 else F.lag(name, -by).over(run) if by < 0 else F.col(name)
+    parts = []
+    for side in ("ahead", "back"):
+        first = second = F.lit(None).cast("long")
+        for k in range(1, min((1 << levels) - 1, max(1, min_words)) + 1):
+            j = k.bit_length() - 1
+            begin = 0 if side == "ahead" else 1 - k
+            first = F.when(F.col(side) == k, moved(f"rank{j}", begin)).otherwise(first)
+            second = F.when(F.col(side) == k, moved(f"rank{j}", begin + k - (1 << j))).otherwise(second)
+        parts.append(F.struct(F.col(side).alias("k"), (F.col("at") - (F.col(side) - 1 if side == "back" else 0)).cast("int").alias("at"), first.alias("r"), second.alias("s")))
+    each = live.select("doc", "row", *[p.alias(f"e{i}") for i, p in enumerate(parts)]).select("doc", "row", F.explode(F.array("e0", "e1")).alias("e")).select("doc", "row", "e.*")
+    each = written(each.where("k is not null and r is not null and s is not null"), "intervals")
+    here = F.struct("doc", "row", "at")
+    groups = each.groupBy("k", "r", "s").agg(F.min(here).alias("first"), F.max(here).alias("last")).where(F.col("first") < F.col("last"))
+    return each.join(written(groups, "groups"), ["k", "r", "s"]).select("doc", "row", "at", "k", "first", "last")
+
+
+def deleted_lines(base: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(row, at) of every line that a later copy of a repeated run holds; a line may stand in several."""
+    later = intervals(base, min_words).where(F.struct("doc", "row", "at") > F.col("first"))
+    return later.select("row", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("k") - 1)).alias("at"))
 
 
 def _cleaned(docs: DataFrame, min_words: int) -> DataFrame:
@@ -130,7 +127,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, drop_empty: bool = True)
 def report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_removed, n_runs (maximal deleted runs) and the digest and length of the text left, for every row."""
     own = docs.select("doc_id", "text")
-    runs = F.size(F.filter(GONE, lambda i: ~F.array_contains(GONE, i - 1)))
+    runs = F.size(F.filter(GONE, lambda x, i: (i == 0) | (F.get(GONE, i - 1) != x - 1)))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return _cleaned(own, min_words).select(
         F.col("doc_id").cast("long").alias("doc_id"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,32 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ranks(places: DataFrame, name: list[str], rank: str = "rank") -> DataFrame:
+    """``name`` and ``rank`` of the names that stand at two places or more, written; ranks rise with the name.
+
+    Names are counted before the shuffle and sorted by ranges; a join with the written table can be split where one name
+    is very common.
+    """
+    groups = places.groupBy(*name).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return written(groups.orderBy(*name).withColumn(rank, F.monotonically_increasing_id()), "ranks")
+
+
+def doubled(live: DataFrame, row: str, at: str, levels: int) -> DataFrame:
+    """Prefix doubling: ``live`` (``row``, ``at``, rank0, ...) with rank1, rank2, ... of 2, 4, ... places from there.
+
+    rank0 names what stands at a place more than once.  A rank is null where its places stand nowhere else, or where one
+    of them has no rank0.  Needs a column ``run`` that numbers the stretches of places next to each other in a row.
+    """
+    run = Window.partitionBy(row, "run").orderBy(at)
+    for j in range(1, levels):
+        old, new = f"rank{j - 1}", f"rank{j}"
+        live = written(live.withColumn("next", F.lead(old, 1 << (j - 1)).over(run)), "suffixes")
+        both = live.where(F.col(old).isNotNull() & F.col("next").isNotNull())
+        rest = live.where(F.col(old).isNull() | F.col("next").isNull()).withColumn(new, F.lit(None).cast("long"))
+        live = both.join(ranks(both, [old, "next"], new), [old, "next"], "left").select(*rest.columns).unionByName(rest).drop("next")
+    return live
+
+
 def keyed(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with a long column ``key`` that names each row: doc_id where that is one, else a number.
 
