@@ -37,6 +37,14 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Remove written tables that only fed tables which are written themselves by now."""
+    for table in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ranks(places: DataFrame, name: list[str], rank: str = "rank") -> DataFrame:
     """``name`` and ``rank`` of the names that stand at two places or more, written; ranks rise with the name.
 
