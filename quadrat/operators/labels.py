@@ -6,19 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def dense_index(values: DataFrame, value: str, index: str, parts: int = 64) -> DataFrame:
+def dense_index(values: DataFrame, value: str, index: str) -> DataFrame:
     """Distinct values with their place, from 0, in sorted order.
 
-    Values are numbered within ranges and every range is moved on by the sizes of those before it, so no task sorts all.
+    Values are sorted by ranges and written with the number of their range; rows are numbered within a range, and every
+    range is moved on by the sizes of those before it, so no task sorts all and the ranges follow the table's size.
     """
-    own = values.select(value).na.drop().distinct()
-    ranged = own.repartitionByRange(parts, value).withColumn("_part", F.spark_partition_id())
-    bounds = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.min(value).alias("_low"), F.max(value).alias("_high"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bounds = bounds.select("_part", "_low", "_high", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    placed = own.join(F.broadcast(bounds), (F.col(value) >= F.col("_low")) & (F.col(value) <= F.col("_high")))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(value)) - 1
-    return placed.withColumn(index, (F.col("_before") + inside).cast("long")).select(value, index)
+    from quadrat.sources.shared import written
+
+    ranged = values.select(value).na.drop().distinct().orderBy(value).withColumn("_part", F.shiftright(F.monotonically_increasing_id(), 33))
+    ranged = written(ranged.withColumn("_inside", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "ranges")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return ranged.join(F.broadcast(sizes), "_part").select(value, (F.col("_before") + F.col("_inside")).cast("long").alias(index))
 
 
 def first_rows(rows: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:

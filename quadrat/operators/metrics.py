@@ -79,11 +79,14 @@ def oracle_counts(ranked: DataFrame, low: int, high: int) -> DataFrame:
 def block_bootstrap(blocks: DataFrame, iterations: int, seed: int) -> DataFrame:
     """Mean gain and its 95 % interval, drawing blocks (block, total, n) with replacement by a hash of draw and place.
 
-    ``blocks`` is an aggregate with a row for each block; what grows is draws x blocks, summed before anything is gathered.
+    ``blocks`` is an aggregate with a row for each block, written once; what grows is draws x blocks, summed before
+    anything is gathered.
     """
     from quadrat.operators.labels import dense_index
+    from quadrat.sources.shared import written
 
-    placed = blocks.join(dense_index(blocks, "block", "place"), "block")
+    blocks = written(blocks, "blocks")
+    placed = written(blocks.join(dense_index(blocks, "block", "place"), "block"), "placed")
     size = blocks.agg(F.count("*").alias("size"))
     slots = placed.select("place").join(F.broadcast(size), F.lit(True)).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
     mixed = (F.col("draw") * 7919 + F.col("place") * 104729 + seed * 15485863) * 2654435761 % 4294967296

@@ -15,6 +15,11 @@ def ranked(scored: DataFrame, score: str = "score", most: int | None = None) ->
     return out if most is None else out.where(F.col("rank") <= most)
 
 
+def ranked_by(scored: DataFrame, *scores: str) -> DataFrame:
+    """``scored`` with ``rank_<score>`` for each score: several rankings of a survey over one partitioning."""
+    return scored.withColumns({f"rank_{c}": F.row_number().over(Window.partitionBy("survey").orderBy(F.desc(c), "species")) for c in scores})
+
+
 def compact(scored: DataFrame, score: str, most: int) -> DataFrame:
     """One row a survey: arrays of species and of scores, best first."""
     best = ranked(scored, score, most)
@@ -62,6 +67,15 @@ def fused(rankings: list[tuple[DataFrame, float]], decay: float) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).groupBy("survey", "species").agg(F.sum("score").alias("score"))
 
 
+def fused_ranks(ranks: DataFrame, weights: dict[str, float], decay: float, most: int) -> DataFrame:
+    """survey, species, score of rows whose rank columns are known: the sum of weight / (decay + rank) over ranks up to ``most``."""
+    from functools import reduce
+    from operator import add
+
+    part = [F.when(F.col(c) <= most, w / (decay + F.col(c))).otherwise(0.0) for c, w in weights.items() if w]
+    return ranks.where(reduce(lambda a, b: a | b, [F.col(c) <= most for c, w in weights.items() if w])).withColumn("score", reduce(add, part))
+
+
 def with_quotas(ranking: DataFrame, quotas: dict[str, int], new: str) -> DataFrame:
     """The ranking without new candidates of a class (column -> quota) beyond the class's quota, ranked again.
 

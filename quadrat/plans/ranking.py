@@ -10,6 +10,7 @@ from quadrat.operators import metrics as M
 from quadrat.operators import ranking as R
 from quadrat.registry import register
 from quadrat.sources import tables as T
+from quadrat.sources.shared import written
 from quadrat.sources.tables import sql
 
 _T = "t AS (SELECT survey, species, p, q, row_number() OVER (PARTITION BY survey ORDER BY p DESC, species) AS rank FROM scores)"
@@ -117,8 +118,8 @@ _FUSED = f"{_T}, {_U}, s AS (SELECT survey, species, 0.7 / (10 + rank) AS score
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
-    s = T.scores(spark, d)
-    both = R.fused([(R.ranked(s, "p", 20), 0.7), (R.ranked(s, "q", 20), 0.3)], 10)
+    """Fused ranking of both members, with their own ranks: three windows over one partitioning."""
+    both = R.fused_ranks(R.ranked_by(T.scores(spark, d), "p", "q"), {"rank_p": 0.7, "rank_q": 0.3}, 10, 20)
     return R.ranked(both.withColumn("score", F.round("score", 9)))
 
 
@@ -134,8 +135,7 @@ def rank_fusion(spark: SparkSession, d: str) -> DataFrame:
     c AS (SELECT survey, species, row_number() OVER (PARTITION BY survey ORDER BY rank) AS rank FROM b WHERE NOT (zero AND fresh) OR nz <= 2)
     SELECT survey, species, rank::INT AS rank FROM c WHERE rank <= 16""".replace("y.*, coalesce", "y.survey, y.species, y.rank, coalesce"), "scores", "prevalence"))
 def quota_composer(spark: SparkSession, d: str) -> DataFrame:
-    first = _p(spark, d).select("survey", "species", (F.col("rank") > 12).alias("fresh"))
-    z = _fused(spark, d).join(first, ["survey", "species"]).join(T.prevalence(spark, d), "species", "left").na.fill(0, ["n"])
+    z = _fused(spark, d).withColumn("fresh", F.col("rank_p") > 12).join(T.prevalence(spark, d), "species", "left").na.fill(0, ["n"])
     z = z.select("survey", "species", "rank", "fresh", (F.col("n") <= 25).alias("rare"), (F.col("n") <= 18).alias("zero"))
     return R.with_quotas(z, {"rare": 4, "zero": 2}, "fresh").where("rank <= 16").select("survey", "species", "rank")
 
@@ -151,9 +151,9 @@ _EDIT = f"""{_T}, {_U}, base AS (SELECT survey, species, t.rank, u.q AS score FR
     l AS (SELECT b.survey, b.species, 0 AS turn, b.rank AS place FROM base b LEFT JOIN s ON s.survey = b.survey AND s.out = b.species WHERE s.survey IS NULL UNION ALL SELECT survey, into_, 1, i FROM s)
     SELECT survey, species, row_number() OVER (PARTITION BY survey ORDER BY turn, place)::INT AS rank FROM l""", "scores"))
 def residual_edit(spark: SparkSession, d: str) -> DataFrame:
-    p = _p(spark, d)
-    base = p.where("rank <= 12").select("survey", "species", "rank", F.col("q").alias("score"))
-    return R.residual_edit(base, p.select("survey", "species", F.col("q").alias("score")), 0.6, 4)
+    p = written(_p(spark, d).select("survey", "species", "rank", F.col("q").alias("score")), "ranked")  # read by both sides
+    base = p.where("rank <= 12")
+    return R.residual_edit(base, p.where("rank > 12").select("survey", "species", "score"), 0.6, 4)
 
 
 @register("bounded_tail_swap", sql(f"""
@@ -163,10 +163,10 @@ def residual_edit(spark: SparkSession, d: str) -> DataFrame:
     SELECT o.survey, o.i::INT AS i, out, into_ AS "into" FROM o JOIN c ON o.survey = c.survey AND o.i = c.i JOIN r ON r.survey = o.survey
     WHERE o.i <= greatest(1, ceil(4 * risk)) AND c.score - o.score >= 0.05""", "scores", "surveys"))
 def bounded_tail_swap(spark: SparkSession, d: str) -> DataFrame:
-    p = _p(spark, d)
-    base = p.where("rank <= 12").select("survey", "species", "rank", F.col("q").alias("score"))
+    p = written(_p(spark, d).select("survey", "species", "rank", F.col("q").alias("score")), "ranked")
+    base = p.where("rank <= 12")
     risk = T.surveys(spark, d).select("survey", R.log_ramp(F.abs(F.col("lat") - 48) * 111, 201.0).alias("risk"))
-    return R.tail_swap(base, p.select("survey", "species", F.col("q").alias("score")), risk, 4, 0.05)
+    return R.tail_swap(base, p.where("rank > 12").select("survey", "species", "score"), risk, 4, 0.05)
 
 
 @register("single_edit_utility", sql(f"""
