@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -82,6 +82,45 @@ def permuted(values: Column, shape: tuple[int, ...], axes: tuple[int, ...]) -> C
     return F.transform(F.sequence(F.lit(0), F.lit(math.prod(shape) - 1)), lambda i: F.get(values, source(i)))
 
 
+def flipped(image: Column, width: int, rows: bool, columns: bool) -> Column:
+    """A flat square image with its rows, its columns or both in the other order."""
+
+    def source(i: Column) -> Column:
+        y, x = F.floor(i / width).cast("int"), (i % width).cast("int")
+        return (width - 1 - y if rows else y) * width + (width - 1 - x if columns else x)
+
+    return F.transform(image, lambda v, i: F.get(image, source(i)))
+
+
+def quarter_turn(image: Column, width: int) -> Column:
+    """A flat square image turned by a quarter: cell (y, x) is (x, width - 1 - y) of the first."""
+    return F.transform(image, lambda v, i: F.get(image, (i % width).cast("int") * width + (width - 1 - F.floor(i / width).cast("int"))))
+
+
+def with_flag(always: Column, sometimes: Column, there: Column) -> Column:
+    """Two vectors and a flag in one; where the second is not there its values are 0."""
+    masked = F.transform(sometimes, lambda x: F.when(there & x.isNotNull() & ~F.isnan(x), x).otherwise(0.0))
+    return F.concat(always, masked, F.array(there.cast("double")))
+
+
+def edit_columns(ranks: DataFrame, size: int, depth: int) -> DataFrame:
+    """Columns of the candidates of an edit from survey, species, p, q and their ranks, and ``rank_b`` of the list itself."""
+    mine = Window.partitionBy("survey")
+    inside = F.col("rank_b") <= size
+    own = {c: F.col(f"rank_{c}") <= depth for c in "pq"}
+    part = lambda c, k, f: f(F.when(F.col(f"rank_{c}") <= k, F.col(c))).over(mine)
+    full = ranks.withColumns({f"{n}_{c}": part(c, k, f) for c in "pq" for n, k, f in (("total", depth, F.sum), ("head", 10, F.sum), ("last", depth, F.min))}).withColumn("_n", F.count_if(inside).over(mine))
+    few = full.where(inside | own["p"] | own["q"]).withColumns({f"v{c}": F.when(own[c], F.col(c)).otherwise(F.col(f"last_{c}") * 0.5) for c in "pq"})
+    few = few.withColumns({f"inside_{c}": F.sum(F.when(inside, F.col(f"v{c}")).otherwise(0.0)).over(mine) for c in "pq"})
+    r = lambda c, n: F.round(c, 6).alias(n)
+    return few.select(
+        "survey", "species", inside.cast("int").alias("inside"), r(F.when(inside, F.col("rank_b") - 1).otherwise(40) / F.lit(40.0), "place"), r(F.col("_n") / F.lit(40.0), "size"), r("vp", "vp"), r("vq", "vq"),
+        *[r(F.least(F.col(f"rank_{c}") - 1, F.lit(depth)) / F.lit(128.0), f"k{c}") for c in "pq"], *[(~own[c]).cast("int").alias(f"m{c}") for c in "pq"],
+        r(F.col("vp") * F.col("vq"), "product"), r(F.col("vp") - F.col("vq"), "difference"),
+        *[r(F.col(f"{n}_{c}") / 40, f"{n}_{c}") for n in ("inside", "total", "head") for c in "pq"], *[r(f"last_{c}", f"last_{c}") for c in "pq"],
+    )
+
+
 def pooled(rows: DataFrame, key: str, values: str, width: int, by: int) -> DataFrame:
     """key, cell, mean of blocks by x by of a flat image of the given width."""
     flat = rows.select(key, F.posexplode(values).alias("_i", "_v"))
