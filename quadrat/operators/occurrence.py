@@ -30,35 +30,25 @@ def inverse_weights(groups: DataFrame, cells_a_degree: int) -> DataFrame:
     return joined.withColumn("weight", 1 / (F.col("publishers") * F.col("strata") * F.sqrt("cells")))
 
 
-def capped_shares(masses: dict, cap: float) -> dict:
-    """Multipliers that bring every share of the mass to ``cap`` at most (or 1/n), keeping the other ratios.
+def cap_publishers(weighted: DataFrame, cap: float) -> DataFrame:
+    """``weighted`` with weights scaled so that no publisher holds more than ``cap`` of the mass (or 1/n), the other ratios kept.
 
-    One number a publisher: the loop pins shares above the cap and renormalises the rest.
+    A round pins the publishers whose share is above the cap and gives the rest the room that is left; the pinned ones are
+    the heaviest, so a round is two sums over the masses and its state is two numbers.  The number of publishers is free.
     """
-    cap, total = max(cap, 1 / max(1, len(masses))), sum(masses.values())
-    pinned: set = set()
-    while True:
-        free = sum(m for k, m in masses.items() if k not in pinned)
-        room = 1 - cap * len(pinned)
-        share = {k: cap if k in pinned else (m / free * room if free else 0.0) for k, m in masses.items()}
-        over = {k for k, s in share.items() if k not in pinned and s > cap + 1e-12}
-        if not over:
-            return {k: share[k] * total / m if m else 1.0 for k, m in masses.items()}
-        pinned |= over
-
-
-#: Publishers that ``cap_publishers`` takes to the driver, one number each.
-MOST_PUBLISHERS = 100_000
-
-
-def cap_publishers(weighted: DataFrame, cap: float) -> DataFrame:
-    """``weighted`` with weights scaled so that no publisher holds more than ``cap`` of the mass."""
-    masses = weighted.groupBy("publisher").agg(F.sum("weight").alias("mass"))
-    if masses.count() > MOST_PUBLISHERS:
-        raise ValueError(f"more than {MOST_PUBLISHERS} publishers")
-    factors = capped_shares({r["publisher"]: r["mass"] for r in masses.collect()}, cap)
-    table = weighted.sparkSession.createDataFrame(list(factors.items()), "publisher long, factor double")
-    return weighted.join(F.broadcast(table), "publisher").withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
+    from quadrat.sources.shared import written
+
+    masses = written(weighted.groupBy("publisher").agg(F.sum("weight").alias("mass")), "masses")
+    n, total = masses.agg(F.count("*"), F.coalesce(F.sum("mass"), F.lit(0.0))).first()
+    cap, pinned, free = max(cap, 1 / max(1, n)), 0, total
+    share = lambda: F.col("mass") * (1 - cap * pinned) / free
+    while free > 0:
+        over, held = masses.where(share() > cap + 1e-12).agg(F.count("*"), F.sum("mass")).first()
+        if over <= pinned:
+            break
+        pinned, free = over, total - held
+    factor = F.when(share() > cap + 1e-12, cap * total / F.col("mass")).otherwise((1 - cap * pinned) * total / free) if free > 0 else F.lit(1.0)
+    return weighted.join(masses.select("publisher", factor.alias("factor")), "publisher").withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
 
 
 def damped_scores(counts: DataFrame, cell: list[str], power: float, most: int) -> DataFrame:

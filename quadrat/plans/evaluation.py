@@ -177,7 +177,10 @@ def id_digests(spark: SparkSession, d: str) -> DataFrame:
     return g.select("site", F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), ","), 256).alias("text_digest"), F.size("ids").cast("long").alias("n"))
 
 
-@register("binary_id_digests")
+_LITTLE = " || ".join(f"substr(lpad(to_hex(o_orderkey), 16, '0'), {i}, 2)" for i in range(15, 0, -2))
+
+
+@register("binary_id_digests", f"SELECT o_custkey AS site, sha256(unhex(string_agg({_LITTLE}, '' ORDER BY o_orderkey))) AS digest FROM orders GROUP BY 1")
 def binary_id_digests(spark: SparkSession, d: str) -> DataFrame:
     g = T.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("site")).agg(F.sort_array(F.collect_list("o_orderkey")).alias("ids"))
     return g.select("site", id_digest(F.col("ids")).alias("digest"))

@@ -47,10 +47,16 @@ def publisher_shares(spark: SparkSession, d: str) -> DataFrame:
     return by.join(F.broadcast(total), F.lit(True)).select("publisher", F.round(F.col("mass") / F.col("total"), 6).alias("share"))
 
 
-@register("capped_publisher_shares")
+@register("capped_publisher_shares", sql(f"""
+    WITH {_WEIGHTS}, masses AS MATERIALIZED (SELECT publisher, sum(weight) AS mass FROM w GROUP BY 1), t AS (SELECT count(*) AS n, sum(mass) AS total, greatest(1.02 / count(*), 0.01)::DOUBLE AS cap FROM masses),
+    ordered AS (SELECT publisher, mass, row_number() OVER (ORDER BY mass DESC, publisher) AS i, sum(mass) OVER (ORDER BY mass DESC, publisher) AS upto FROM masses),
+    level AS (SELECT coalesce(max(i), 0) AS pinned, coalesce(max(upto), 0) AS held FROM ordered CROSS JOIN t WHERE mass * (1 - cap * (i - 1)) / (total - (upto - mass)) > cap + 1e-12)
+    SELECT publisher, round(CASE WHEN i <= pinned THEN cap ELSE mass / (total - held) * (1 - cap * pinned) END, 6) AS share FROM ordered CROSS JOIN t CROSS JOIN level""", "occurrences"))
 def capped_publisher_shares(spark: SparkSession, d: str) -> DataFrame:
-    w = O.inverse_weights(O.pseudo_surveys(_kept(spark, d)), 20).withColumn("publisher", F.when(F.col("publisher") % 3 == 0, 0).otherwise(F.col("publisher") % 5))
-    by = O.cap_publishers(w, 0.3).groupBy("publisher").agg(F.sum("weight").alias("mass"))
+    """Shares of all publishers once none holds more than 2 % above the even share."""
+    w = O.inverse_weights(O.pseudo_surveys(_kept(spark, d)), 20)
+    cap = max(1.02 / max(1, w.select("publisher").distinct().count()), 0.01)
+    by = O.cap_publishers(w, cap).groupBy("publisher").agg(F.sum("weight").alias("mass"))
     total = by.agg(F.sum("mass").alias("total"))
     return by.join(F.broadcast(total), F.lit(True)).select("publisher", F.round(F.col("mass") / F.col("total"), 6).alias("share"))
 

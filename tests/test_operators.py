@@ -94,11 +94,94 @@ def test_alignment_refuses(spark):
             L.aligned(ids, spark.createDataFrame(bad, "k long, v long"), "k")
 
 
-def test_capped_shares():
-    factors = O.capped_shares({0: 90, 1: 3, 2: 3, 3: 2, 4: 2}, 0.3)
-    new = {k: m * factors[k] for k, m in {0: 90, 1: 3, 2: 3, 3: 2, 4: 2}.items()}
-    total = sum(new.values())
-    assert max(new.values()) / total <= 0.3 + 1e-9 and abs(new[1] / new[3] - 1.5) < 1e-9
+def test_capped_shares(spark):
+    def shares(masses, cap):
+        rows = spark.createDataFrame([(k, float(m)) for k, m in masses.items()], "publisher long, weight double")
+        out = {r.publisher: r.weight for r in O.cap_publishers(rows, cap).collect()}
+        assert abs(sum(out.values()) - sum(masses.values())) < 1e-9
+        return {k: w / sum(masses.values()) for k, w in out.items()}
+
+    got = shares({0: 90, 1: 3, 2: 3, 3: 2, 4: 2}, 0.3)
+    assert abs(got[0] - 0.3) < 1e-9 and abs(got[1] - 0.21) < 1e-9 and abs(got[3] - 0.14) < 1e-9
+    got = shares({0: 50, 1: 40, 2: 5, 3: 5}, 0.3)  # a second publisher passes the cap, at 1/n none is free to fall
+    assert all(abs(got[k] - v) < 1e-9 for k, v in {0: 0.3, 1: 0.3, 2: 0.2, 3: 0.2}.items())
+    assert all(abs(x - 0.5) < 1e-9 for x in shares({0: 99, 1: 1}, 0.1).values())
+
+
+def test_greedy_roles_are_sequential(spark):
+    import hashlib
+    import random
+
+    r = random.Random(3)
+    blocks = {f"+{i:03d}:+{i:03d}": r.randint(1, 9) for i in range(40)}
+    wanted = {0: 0.5, 1: 0.3, 2: 0.2}
+    total, want = dict.fromkeys(wanted, 0), {}
+    for b in sorted(blocks, key=lambda b: (-blocks[b], hashlib.sha256(b.encode()).hexdigest())):
+        role = min(wanted, key=lambda k: ((total[k] + blocks[b]) / wanted[k], k))
+        want[b] = role
+        total[role] += blocks[b]
+    got = S.greedy_roles(spark.createDataFrame(list(blocks.items()), "block string, n long"), wanted)
+    assert {x.block: x.role for x in got.collect()} == want
+
+
+def test_latent_space_is_numpy(spark):
+    """Distances in the whitened space of leading components are those of a plain decomposition."""
+    import numpy as np
+
+    from quadrat.operators import vectors as V
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 5)) @ rng.normal(size=(5, 5))
+    x[3, 1], x[7, 0] = np.nan, np.inf
+    rows = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, e array<double>")
+    fit = np.arange(60) % 5 != 0
+    own = np.where(np.isfinite(x), x, np.nan)
+    mean = np.nanmean(own[fit], 0)
+    own = np.where(np.isfinite(own), own, mean)
+    z = np.clip((own - mean) / np.maximum(own[fit].std(0), 0.01), -6, 6)
+    values, axes = np.linalg.eigh(np.cov(z[fit].T))
+    y = (z - z[fit].mean(0)) @ axes[:, ::-1][:, :3] / np.maximum(values[::-1][:3], 0.05) ** 0.25
+    got = {r.id: np.array(r.v) for r in V.latent(rows, "id", "e", F.col("id") % 5 != 0, 3).collect()}
+    for a, b in ((0, 1), (3, 7), (10, 59), (4, 30)):
+        assert abs(np.linalg.norm(got[a] - got[b]) - np.linalg.norm(y[a] - y[b])) < 1e-6
+
+
+def test_nearest_vectors_are_brute_force(spark):
+    import numpy as np
+
+    from quadrat.operators import vectors as V
+
+    x = np.random.default_rng(4).integers(0, 4, (50, 3)).astype(float)  # many ties
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    q, r = rows.where("id % 5 = 0").withColumnRenamed("id", "query"), rows.where("id % 5 <> 0").withColumnRenamed("id", "ref")
+    got = sorted((a.query, a.rank, a.ref) for a in V.nearest(q, r, 6, block=7).collect())
+    want = []
+    for i in range(0, 50, 5):
+        near = sorted((round(float(np.linalg.norm(x[i] - x[j])), 6), j) for j in range(50) if j % 5)[:6]
+        want += [(i, k + 1, j) for k, (_, j) in enumerate(near)]
+    assert got == sorted(want)
+
+
+def test_rows_without_coordinates_have_no_neighbours(spark):
+    left = spark.createDataFrame([(1, 48.0, 2.0), (2, None, 2.0), (3, float("nan"), 1.0)], "site long, lat double, lon double")
+    right = spark.createDataFrame([(9, 48.1, 2.0), (8, 48.0, None)], "ref long, rlat double, rlon double")
+    assert [(r.site, r.ref) for r in P.nearest(left, right, 3, "site", "ref").collect()] == [(1, 9)]
+
+
+def test_set_editor_follows_the_list(spark):
+    """Swaps are paired and stop at the margin, one-sided edits go one way, the first three fifths stay."""
+    from quadrat.operators import compose as C
+
+    base = spark.createDataFrame([(1, 100 + i, i + 1) for i in range(10)], "survey long, species long, rank int")
+    gains = {109: 0.4, 108: -0.1, 107: -0.2, 100: 0.9, 200: 0.5, 201: 0.3, 202: 0.01, 203: -0.3}
+    table = spark.createDataFrame([(1, k, v) for k, v in gains.items()], "survey long, species long, gain double")
+    run = lambda *a, **k: [r.species for r in C.edited(base, table, *a, **k).orderBy("rank").collect()]
+    own = [100 + i for i in range(10)]
+    assert run(2, 0, 0.0) == [x for x in own if x not in (109, 108)] + [200, 201]  # the third pair would lose
+    assert run(1, 0, 1.0) == own
+    assert run(0, 2, 0.0) == own + [200, 201] and run(0, 2, 0.0, high=11) == own + [200] and run(0, 2, 0.35) == own + [200]
+    assert run(0, 2, 0.0, high=10) == [x for x in own if x != 109]
+    assert all(all(r[1:]) for r in C.contract(base, C.edited(base, table, 2, 2, 0.0), 2, 2, 8, 40).collect())
 
 
 def test_pseudo_surveys_ignore_density(spark):
@@ -224,12 +307,12 @@ def test_submission(spark, tmp_path):
 
 
 def test_files(spark, tmp_path):
-    (tmp_path / "GLC-train-soil.csv").write_text("surveyId,value,other\n2,20,x\n1,10,y\n")
-    (tmp_path / "GLC-test-soil.csv").write_text("surveyId,value,other\n3,30,x\n")
-    got = files.scan_csv(spark, str(tmp_path / "GLC-train-soil.csv"), "surveyId long, value double, other string", ["surveyId", "value"])
+    (tmp_path / "plots-train-soil.csv").write_text("surveyId,value,other\n2,20,x\n1,10,y\n")
+    (tmp_path / "plots-test-soil.csv").write_text("surveyId,value,other\n3,30,x\n")
+    got = files.scan_csv(spark, str(tmp_path / "plots-train-soil.csv"), "surveyId long, value double, other string", ["surveyId", "value"])
     assert sorted(map(tuple, got.collect())) == [(1, 10.0), (2, 20.0)] and files.describe(got) == {"surveyId": "bigint", "value": "double"}
     with pytest.raises(ValueError):
-        files.require(spark, str(tmp_path / "GLC-test-soil.csv"), ["lat"])
+        files.require(spark, str(tmp_path / "plots-test-soil.csv"), ["lat"])
     assert files.pair_by_name(files.inventory(spark, str(tmp_path))).count() == 1
     assert files.band_order(["blue", "green", "red", "nir"]) == [2, 1, 0, 3]
 
