@@ -5,12 +5,15 @@ regression over dense features that SQL expressions compute from the text.  Ever
 domains, and a nonnegative rate is fitted to every document so that the expected tokens of each domain, sums of rate x
 tokens x posterior, match the targets in the least-squares sense.
 
-The fit is projected gradient descent from rate 1.  The gradient of a document is its posterior times one multiplier a
-domain, so an iteration is one aggregate over a narrow table of (tokens, posterior), and what comes to the driver is one
-sum for each domain and pair of domains.  Distances are measured per token and the misfit in the metric of the
-Gram matrix of the domains over documents whose rate is not 0; a step that would raise the misfit is halved.  After t steps a document's rate is a fold over t multiplier vectors, so no state is
-carried from row to row or step to step.  Whole copies are drawn from rates by a hash of the row: a rate r gives floor(r)
-copies and one more with the chance of the rest.
+Targets are token totals by domain, given as such or as shares of the tokens that are there.  The fit is projected
+gradient descent from rate 1.  The gradient of a document is its posterior times one multiplier a domain, so an iteration
+is one aggregate over a narrow table of (tokens, posterior), and what comes to the driver is one sum for each domain and
+pair of domains.  Distances are measured per token; a step first takes the misfit in the metric of the Gram matrix of the
+domains over documents whose rate is not 0; once that does not lower it, the plain gradient over the largest row sum of the
+Gram matrix over all documents, twice as far after each step that lowers it and half as far after one that does not.  After t steps a document's
+rate is a fold over t multiplier vectors, so no state is carried from row to row or step to step.  The misfit that is left
+is part of the result.  Whole copies are drawn from rates by a hash of the row: a rate r gives floor(r) copies and one more
+with the chance of the rest.  Tokens and posteriors are computed once and written.
 
 Cases: null and empty texts have no tokens, rate 1 and stay; null ``doc_id`` and repeated rows are rows like others, and
 equal rows get equal rates; without labels, or with labels of one domain, all posteriors are equal for all documents; a
@@ -28,12 +31,11 @@ from quadrat.llm.shared import written
 
 LABEL_ROWS = 20_000
 DOMAINS = ("clean", "junk", "toxic")
-#: Wanted weight of what most likely is of a domain; targets are the expected tokens at rate 1 with those documents'
-#: share at this weight, so that the small chances of clean documents are no reason to drop them.
+#: Factors of ``reduced``, for callers that name no weights.
 TARGETS = {"clean": 1.0, "junk": 0.5, "toxic": 0.5}
 #: Wanted shares of tokens, whatever is present; the query and the pipeline use these.
 WEIGHTS = {"clean": 0.94, "junk": 0.02, "toxic": 0.04}
-STEPS = 25
+STEPS = 30
 
 # Words of abuse whose rate is a feature.
 ABUSE = ("idiot", "stupid", "moron", "loser", "trash", "scum", "pathetic", "worthless", "disgusting", "clown", "hate", "dumb", "ugly", "fool", "liar")
@@ -109,8 +111,9 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...] =
     ids = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.array_position(F.array(*map(F.lit, domains)), F.col("domain")).cast("double").alias("label"))
     ids = ids.where("doc_id is not null and label > 0").groupBy("doc_id").agg((F.max("label") - 1).alias("label"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(label_rows)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), measures(F.col("text")).alias("x"))
-    sample = written(own.join(F.broadcast(ids), "doc_id").select("label", array_to_vector("x").alias("features")), "mixing-sample")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    few = written(own.join(F.broadcast(ids), "doc_id").select("label", "text"), "mixing-texts")  # so that only these are measured
+    sample = written(few.select("label", array_to_vector(measures(F.col("text"))).alias("features")), "mixing-sample")
     counts = {int(r[0]): r[1] for r in sample.groupBy("label").count().collect()}
     n = sum(counts.values())
     if len(counts) < 2:
@@ -170,12 +173,25 @@ def rate(chance: Column, multipliers: list[list[float]]) -> Column:
     return F.aggregate(steps, start, step)
 
 
-def fit_rates(narrow: DataFrame, factors: list[float], steps: int = STEPS, weights: list[float] | None = None) -> tuple[list[list[float]], list[float], list[float]]:
-    """(multipliers of all steps, targets, expected tokens at the end) for a table of ``tokens`` and ``chance``.
+def totals(narrow: DataFrame, shares: list[float]) -> list[float]:
+    """Token totals that are the given shares of the tokens of ``narrow``."""
+    return [w * float(narrow.agg(F.sum("tokens")).first()[0] or 0) for w in shares]
 
-    Targets are the shares ``weights`` of the present tokens, or without them follow from ``factors``.
+
+def reduced(narrow: DataFrame, factors: list[float]) -> list[float]:
+    """Token totals that follow from what is there: documents that most likely are of a domain count by its factor."""
+    p = [F.get("chance", F.lit(i)) for i in range(len(factors))]
+    row = narrow.agg(*[F.sum(F.col("tokens") * x) for x in p], *[F.sum(F.when(x > 0.5, F.col("tokens") * x)) for x in p]).first()
+    row = [float(x or 0) for x in row]
+    return [x - (1 - f) * c for f, x, c in zip(factors, row, row[len(factors) :])]
+
+
+def fit_rates(narrow: DataFrame, targets: list[float], steps: int = STEPS, close: float = 1e-4) -> tuple[list[list[float]], list[float]]:
+    """(multipliers of all steps, expected tokens by domain at the end) for a table of ``tokens`` and ``chance``.
+
+    Ends when every domain is within ``close`` of all tokens, or after ``steps`` trials.
     """
-    n = len(factors)
+    n = len(targets)
     p = [F.get("chance", F.lit(i)) for i in range(n)]
 
     def sums(multipliers: list[list[float]]) -> tuple[list[float], list[list[float]]]:
@@ -186,40 +202,52 @@ def fit_rates(narrow: DataFrame, factors: list[float], steps: int = STEPS, weigh
         got = [float(x or 0) for x in got]
         return got[:n], [got[n + i * n : 2 * n + i * n] for i in range(n)]
 
+    def misfit(got: list[float]) -> float:
+        return sum((t - x) ** 2 for t, x in zip(targets, got))
+
     multipliers: list[list[float]] = []
     now, gram = sums(multipliers)
-    budget = sum(now)
-    if weights:
-        targets = [w * budget for w in weights]
-    else:
-        sure = narrow.agg(*[F.sum(F.when(x > 0.5, F.col("tokens") * x)) for x in p]).first()
-        targets = [x - (1 - f) * float(c or 0) for f, x, c in zip(factors, now, sure)]
-    pace = 1.0
+    budget = max(sum(now), 1.0)
+    widest = max((sum(map(abs, row)) for row in gram), default=0.0) or 1.0
+    whole, pace = True, 1.0
     for _ in range(steps):
         gap = [t - x for t, x in zip(targets, now)]
-        if max(map(abs, gap)) <= 1e-4 * max(budget, 1.0):
+        if max(map(abs, gap)) <= close * budget or pace < 1 / 64:
             break
-        trial = [*multipliers, [pace * m for m in solve(gram, gap)]]
+        trial = [*multipliers, solve(gram, gap) if whole else [pace * g / widest for g in gap]]
         then, then_gram = sums(trial)
-        if sum((t - x) ** 2 for t, x in zip(targets, then)) < sum(g * g for g in gap):
+        if misfit(then) < misfit(now):
             multipliers, now, gram = trial, then, then_gram
+            pace *= 1 if whole else 2
+        elif whole:
+            whole = False
         else:
             pace /= 2
-            if pace < 1 / 32:
-                break
-    return multipliers, targets, now
+    return multipliers, now
 
 
-def _plan(docs: DataFrame, labels: DataFrame, targets: dict[str, float], steps: int, weights: dict[str, float] | None = None):
-    domains = tuple(targets)
+def _plan(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...], wanted, steps: int, keep: list[str]):
+    """(columns ``keep`` of ``docs`` with tokens, chance and draw, written; multipliers; misfit as a share of all tokens)."""
     chances = posteriors(docs, labels.select("doc_id", label_domain().alias("domain")), domains)
-    text = F.col("text")
     # Measures and tokens are read off one column, which is used twice and so stays a projection of its own.
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), measured(text).alias("x"), _draw().alias("draw"))
-    narrow = narrow.select("doc_id", F.get("x", F.lit(MEASURES)).alias("tokens"), chances(F.slice("x", 1, MEASURES)).alias("chance"), "draw")
-    narrow = written(narrow, "mixing")
-    multipliers, _, _ = fit_rates(narrow, list(targets.values()), steps, [weights[d] for d in domains] if weights else None)
-    return narrow, chances, multipliers
+    x, tokens, chance, draw = (f"__quadrat_{n}" for n in ("measures", "tokens", "chance", "draw"))
+    full = docs.select(*keep, measured(F.col("text")).alias(x), _draw().alias(draw))
+    full = full.select(*keep, F.get(x, F.lit(MEASURES)).alias(tokens), chances(F.slice(x, 1, MEASURES)).alias(chance), draw)
+    full = written(full, "mixing")
+    narrow = full.select(F.col(tokens).alias("tokens"), F.col(chance).alias("chance"))
+    targets = wanted(narrow)
+    multipliers, got = fit_rates(narrow, targets, steps)
+    left = sum((t - g) ** 2 for t, g in zip(targets, got)) ** 0.5
+    return full, multipliers, left / max(1.0, sum(targets))
+
+
+def _wanted(factors: dict[str, float] | None, weights: dict[str, float] | None, tokens: dict[str, float] | None):
+    """(domains, a function from the narrow table to their targets)."""
+    given = tokens or weights or factors or TARGETS
+    values = list(given.values())
+    if tokens:
+        return tuple(given), lambda narrow: values
+    return tuple(given), (lambda narrow: totals(narrow, values)) if weights else (lambda narrow: reduced(narrow, values))
 
 
 def _draw(seed: int = 13) -> Column:
@@ -231,20 +259,24 @@ def copies(rates: Column, draw: Column) -> Column:
     return F.floor(rates + draw).cast("int")
 
 
-def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, steps: int = STEPS, weights: dict[str, float] | None = None) -> DataFrame:
-    """doc_id, tokens, a posterior column for each domain, rate and copies of every document."""
-    targets = targets or (dict.fromkeys(weights, 1.0) if weights else TARGETS)
-    narrow, _, multipliers = _plan(docs, labels, targets, steps, weights)
-    out = narrow.withColumn("rate", rate(F.col("chance"), multipliers))
-    each = [F.get("chance", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(targets)]
-    return out.select("doc_id", "tokens", *each, "rate", copies(F.col("rate"), F.col("draw")).alias("copies"))
+def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, steps: int = STEPS, weights: dict[str, float] | None = None, tokens: dict[str, float] | None = None) -> DataFrame:
+    """doc_id, tokens, a posterior column for each domain, rate, copies and misfit of every document.
+
+    The output's token totals are to be ``tokens``, or the shares ``weights`` of what is there, or what is there reduced by
+    ``targets``.  ``misfit``, the same in all rows, is the distance of the expected totals from them over their sum.
+    """
+    domains, wanted = _wanted(targets, weights, tokens)
+    full, multipliers, misfit = _plan(docs, labels, domains, wanted, steps, ["doc_id"])
+    chance = F.col("__quadrat_chance")
+    out = full.withColumn("rate", rate(chance, multipliers))
+    each = [F.get(chance, F.lit(i)).alias(f"p_{d}") for i, d in enumerate(domains)]
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__quadrat_tokens").alias("tokens"), *each, "rate", copies(F.col("rate"), F.col("__quadrat_draw")).alias("copies"), F.lit(float(misfit)).alias("misfit"))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, steps: int = STEPS, weights: dict[str, float] | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, steps: int = STEPS, weights: dict[str, float] | None = None, tokens: dict[str, float] | None = None) -> DataFrame:
     """Rows of ``docs`` as often as their rates say, with their own columns."""
-    targets = targets or (dict.fromkeys(weights, 1.0) if weights else TARGETS)
-    _, chances, multipliers = _plan(docs, labels, targets, steps, weights)
-    x, p, n = "__quadrat_measures", "__quadrat_chance", "__quadrat_copies"
-    out = docs.withColumn(x, measures(F.col("text"))).withColumn(p, chances(F.col(x)))
-    out = out.withColumn(n, copies(rate(F.col(p), multipliers), _draw())).where(F.col(n) > 0)
+    domains, wanted = _wanted(targets, weights, tokens)
+    full, multipliers, _ = _plan(docs, labels, domains, wanted, steps, docs.columns)
+    n = "__quadrat_copies"
+    out = full.withColumn(n, copies(rate(F.col("__quadrat_chance"), multipliers), F.col("__quadrat_draw"))).where(F.col(n) > 0)
     return out.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
