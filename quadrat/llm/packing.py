@@ -11,6 +11,7 @@ packed row by row; an empty table gives no rows; columns besides ``doc_id`` and
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -32,7 +33,8 @@ class WordTable:
     """Token ids of words, kept by a worker from task to task; emptied when it holds ``most`` words.
 
     The tokenizer cuts a text into words, encodes each word for itself and joins the ids, so a word met before need
-    not be encoded again.  Keys are 64-bit hashes in an open-addressing table.
+    not be encoded again.  Keys are 64-bit hashes in an open-addressing table of at most a million words, of which two
+    share a hash with a chance of 3e-8.
     """
 
     def __init__(self, encode, bits: int = 21):
@@ -87,13 +89,33 @@ class WordTable:
             at[rest] = (at[rest] + 1) & self.mask
 
 
+# The rules of a tokenizer file under which ``token_ids`` may cut words itself.
+NORMALIZERS = ("NFC", "Replace", "Lowercase")
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def cuts_words(spec: dict) -> bool:
+    """True if a tokenizer's normaliser and splitter are the ones that ``token_ids`` knows; else it encodes whole texts."""
+    steps = (spec.get("normalizer") or {}).get("normalizers") or []
+    splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    first = splits[0] if splits else {}
+    special = all(t["content"].startswith("<") and not t["lstrip"] and not t["rstrip"] for t in spec.get("added_tokens") or [])
+    return (
+        tuple(n["type"] for n in steps) == NORMALIZERS and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
+        and first.get("type") == "Split" and first["pattern"] == {"Regex": WORDS} and first["behavior"] == "Removed" and first["invert"] is True
+        and [(p["type"], p.get("use_regex"), p.get("add_prefix_space")) for p in splits[1:]] == [("ByteLevel", False, False)] and special
+    )
+
+
 @lru_cache(maxsize=2)
 def _tools(tokenizer_path: str):
-    """The tokenizer and the word table of this worker process."""
+    """The tokenizer of this worker process, and its word table or None where its rules are others."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
+    if not cuts_words(json.loads(tokenizer.to_str())):
+        return tokenizer, None
     return tokenizer, WordTable(lambda words: tokenizer.encode_batch_fast(words, add_special_tokens=False))
 
 
@@ -118,9 +140,12 @@ def _plain(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] == total[offsets[:-1]]
 
 
-def token_ids(tokenizer, table: WordTable, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def token_ids(tokenizer, table: WordTable | None, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows, one after the other, and how many each row has; equal to the tokenizer's own ids."""
     rows = len(offsets) - 1
+    if table is None:
+        whole = [np.asarray(tokenizer.encode(raw[a:z].tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids, np.int32) for a, z in zip(offsets[:-1], offsets[1:])]
+        return np.concatenate([np.zeros(0, np.int32), *whole]), np.array([len(x) for x in whole], np.int64)
     plain = _plain(raw, offsets)
     low = tb.lowered(raw)
     kind = tb.CLASS[raw]
