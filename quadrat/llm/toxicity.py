@@ -82,13 +82,12 @@ def features_of(raw: np.ndarray, offsets: np.ndarray, listed: np.ndarray, learnt
     at, stop, of = starts[letters], ends[letters], row[letters]
     key = tb.span_hash(low, at, stop)
     hit, own, second = np.isin(key, listed), np.isin(key, learnt), np.isin(key, you)
-    place = np.arange(len(key))
     near = np.zeros(len(key), bool)
     if second.any():
-        seats = place[second]
-        for i in np.flatnonzero(hit | own):
-            j = np.searchsorted(seats, i)
-            near[i] = any(0 <= s < len(seats) and abs(seats[s] - i) <= NEAR_WORDS and of[seats[s]] == of[i] for s in (j - 1, j))
+        seats, hits = np.flatnonzero(second), np.flatnonzero(hit | own)
+        j = np.searchsorted(seats, hits)
+        for s in (np.maximum(j - 1, 0), np.minimum(j, len(seats) - 1)):  # the second-person words before and after
+            near[hits] |= (np.abs(seats[s] - hits) <= NEAR_WORDS) & (of[seats[s]] == of[hits])
     upper = (raw >= 65) & (raw <= 90)
     upto = np.concatenate([[0], np.cumsum(upper)])
     caps = upto[stop] - upto[at]
@@ -197,8 +196,9 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", trees: int =
     """doc_id, held_out, score and predicted of every document."""
     shared_folder(docs.sparkSession)
     sample = written(labelled_sample(docs, labels.where(~held_out(F.col("doc_id"))), label, label_rows), "toxic-sample")
-    learnt = learnt_words(sample)
-    rows = sample.select("label", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)).alias("fold"), array_to_vector(features("text", learnt)).alias("features"))
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4))
+    learnt = learnt_words(sample.where(fold != 0))  # the calibration's fold must not know its own labels
+    rows = sample.select("label", fold.alias("fold"), array_to_vector(features("text", learnt)).alias("features"))
     rows = written(rows.withColumn("label", F.col("label").cast("double")), "toxic-rows")
     kinds = {(r[0], r[1]): r[2] for r in rows.groupBy("label", (F.col("fold") == 0).alias("own")).count().collect()}
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
