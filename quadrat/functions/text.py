@@ -31,6 +31,11 @@ def id_digest(ids: Column) -> Column:
     return F.sha2(F.unhex(F.array_join(F.transform(ids, little_endian), "")), 256)
 
 
-def redact(text: Column) -> Column:
-    """Values of key, token, password and secret assignments are hidden."""
-    return F.regexp_replace(text, r"(?i)\b(key|token|password|secret)\s*[=:]\s*\S+", "$1=***")
+def redact(text: Column, names: tuple[str, ...] = ("key", "token", "password", "secret")) -> Column:
+    """Values that are assigned to any of the names are hidden, up to a space or the next assignment of a query string."""
+    return F.regexp_replace(text, rf"(?i)\b({'|'.join(names)})\s*[=:]\s*[^&\s]+", "$1=***")
+
+
+def climbs(path: Column) -> Column:
+    """True for paths with a step up."""
+    return path.rlike(r"(^|/)\.\.(/|$)")

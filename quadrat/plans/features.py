@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrat.functions import features as E
+from quadrat.functions import text as X
 from quadrat.registry import register
 from quadrat.sources import tables as T
 from quadrat.sources.tables import sql
@@ -112,14 +113,19 @@ def score_parsing(spark: SparkSession, d: str) -> DataFrame:
     return T.table(spark, d, "events").select("event_id", E.parsed(text).alias("score"))
 
 
-@register("json_fields", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+@register("json_fields", """
+    SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE WHEN json_extract(props, '$.k') IS NOT NULL THEN '{"event":' || event_id || ',"k":' || CAST(json_extract(props, '$.k') AS BIGINT) || '}' END AS encoded FROM events""")
 def json_fields(spark: SparkSession, d: str) -> DataFrame:
-    return T.table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+    """A field read from a JSON text, and a record written as one."""
+    e = T.table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+    record = F.to_json(F.struct(F.col("event_id").alias("event"), "k"))
+    return e.select("event_id", "k", F.when(F.col("k").isNotNull(), record).alias("encoded"))
 
 
-@register("redacted_urls", "SELECT page_id, regexp_replace(url, '(?i)\\b(ref|page)\\s*=\\s*[^&\\s]+', '\\1=***', 'g') AS url FROM pages")
+@register("redacted_urls", "SELECT page_id, regexp_replace(url, '(?i)\\b(ref|page)\\s*[=:]\\s*[^&\\s]+', '\\1=***', 'g') AS url, regexp_matches(url, '(^|/)\\.\\.(/|$)') AS climbs FROM pages")
 def redacted_urls(spark: SparkSession, d: str) -> DataFrame:
-    return T.table(spark, d, "pages").select("page_id", F.regexp_replace("url", r"(?i)\b(ref|page)\s*=\s*[^&\s]+", "$1=***").alias("url"))
+    """Addresses without the values of some names, and whether they step up."""
+    return T.table(spark, d, "pages").select("page_id", X.redact(F.col("url"), ("ref", "page")).alias("url"), X.climbs(F.col("url")).alias("climbs"))
 
 
 @register("moments", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS dev FROM events GROUP BY 1")

@@ -33,11 +33,26 @@ def check_submission(rows: DataFrame, template: DataFrame, vocabulary: DataFrame
 
 
 def write_submission(rows: DataFrame, path: str, order: str) -> None:
-    """One CSV file with CRLF line ends in the order of a template column; its rows are one line for each survey asked."""
-    rows.orderBy(order).select("survey", "predictions").coalesce(1).write.option("header", True).option("lineSep", "\r\n").csv(path)
+    """CSV with CRLF line ends in the order of a template column: files in the order of their names, each a range of rows."""
+    rows.orderBy(order).select("survey", "predictions").write.option("header", True).option("lineSep", "\r\n").csv(path)
+
+
+def write_assessment(frame: DataFrame, path: str) -> None:
+    """The scores of every survey as CSV, in the order of surveys."""
+    frame.orderBy("survey").write.option("header", True).csv(path)
+
+
+def diagnostics(ranking: DataFrame, truth: DataFrame, surveys: DataFrame, score: str, most: int = 64) -> DataFrame:
+    """One compact row a survey of ``surveys`` (survey, weight and further columns): its first ``most`` species and scores,
+    the mass of all scores, and its labels.  Arrays are bounded by ``most`` and by a survey's own labels."""
+    best = F.sort_array(F.collect_list(F.when(F.col("rank") <= most, F.struct("rank", "species", F.col(score).alias("score")))))
+    lists = ranking.groupBy("survey").agg(best.alias("_b"), F.sum(score).alias("mass")).select("survey", F.col("_b.species").alias("species"), F.col("_b.score").alias("scores"), "mass")
+    labels = truth.groupBy("survey").agg(F.sort_array(F.collect_set("species")).alias("truth"))
+    return surveys.join(lists, "survey").join(labels, "survey", "left").withColumn("truth", F.coalesce("truth", F.array().cast("array<bigint>")))
 
 
 def write_diagnostics(rows: DataFrame, path: str, by: str) -> None:
+    """Diagnostics as Parquet, one folder for each value of ``by`` (such as the fold)."""
     rows.write.partitionBy(by).parquet(path)
 
 

@@ -306,6 +306,27 @@ def test_submission(spark, tmp_path):
     assert sinks.publish(rows, None, gate, str(tmp_path / "no"), "place") == "NO_SUBMISSION"
 
 
+def test_sinks_publish_and_report(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "10 30", 1), (2, "20 30", 0)], "survey long, predictions string, place int")
+    gate = spark.createDataFrame([(True, True)], "a boolean, b boolean")
+    digest = sinks.publish(rows, None, gate, str(tmp_path / "yes"), "place")
+    assert digest != "NO_SUBMISSION" and spark.read.option("header", True).csv(str(tmp_path / "yes")).count() == 2
+    assert sinks.publish(rows, digest, gate, str(tmp_path / "again"), "place") == "NO_SUBMISSION"  # nothing new
+    assert sinks.report(gate) == '{"a": true, "b": true}'
+    frame = spark.createDataFrame([(2, 0.5), (1, 0.25)], "survey long, f1 double")
+    sinks.write_assessment(frame, str(tmp_path / "frame"))
+    assert [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "frame")).collect()] == [("1", "0.25"), ("2", "0.5")]
+
+
+def test_diagnostics_are_compact(spark, tmp_path):
+    scored = spark.createDataFrame([(1, 7, 0.5), (1, 8, 0.25), (1, 9, 0.25), (2, 7, 1.0)], "survey long, species long, p double")
+    surveys = spark.createDataFrame([(1, 0, 2.0), (2, 1, 1.0)], "survey long, fold int, weight double")
+    truth = spark.createDataFrame([(1, 9), (1, 5)], "survey long, species long")
+    sinks.write_diagnostics(sinks.diagnostics(R.ranked(scored, "p"), truth, surveys, "p", 2), str(tmp_path / "d"), "fold")
+    got = {r.survey: (r.fold, r.weight, r.species, r.scores, r.mass, r.truth) for r in spark.read.parquet(str(tmp_path / "d")).collect()}
+    assert got == {1: (0, 2.0, [7, 8], [0.5, 0.25], 1.0, [5, 9]), 2: (1, 1.0, [7], [1.0], 1.0, [])}
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "plots-train-soil.csv").write_text("surveyId,value,other\n2,20,x\n1,10,y\n")
     (tmp_path / "plots-test-soil.csv").write_text("surveyId,value,other\n3,30,x\n")
