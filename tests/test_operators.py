@@ -348,3 +348,27 @@ def test_stream_ignores_batches_and_repeats(spark, tmp_path):
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = cells.run(spark, source, str(tmp_path / "shared"))
     assert sorted(got.collect()) == sorted(cells.counts(spark.createDataFrame(rows, schema)).collect())
+
+
+def test_edit_targets_are_single_edits(spark):
+    from quadrat.operators import regress as G
+
+    rows = spark.createDataFrame([(1, 5, 1), (1, 6, 1), (1, 7, 0), (1, 8, 0)], "survey long, species long, inside int")
+    truth = spark.createDataFrame([(1, 5), (1, 7), (1, 9)], "survey long, species long")
+    f1 = lambda said: 2 * len(said & {5, 7, 9}) / (len(said) + 3)
+    for r in G.edit_targets(rows, "inside", truth).collect():
+        after = {5, 6} ^ {r.species}
+        assert abs(r.target - 100 * (f1(after) - f1({5, 6}))) < 1e-9 and r.share == 0.25
+
+
+def test_regressions_beat_the_mean(spark):
+    from compare import DATA
+
+    from quadrat.plans import ranking, regressions
+
+    best = M.oracle_counts(ranking._hits(spark, DATA), 4, 20).select("survey", F.col("k").alias("best"))
+    rows = regressions.count_regression(spark, DATA).join(best, "survey").where("survey % 5 = 0").collect()
+    mean = sum(r.best for r in rows) / len(rows)
+    assert sum((r.k - r.best) ** 2 for r in rows) <= 1.1 * sum((mean - r.best) ** 2 for r in rows)
+    gains = regressions.edit_regression(spark, DATA)
+    assert gains.groupBy("survey", "species").count().where("count > 1").isEmpty() and gains.where("gain is null").isEmpty()
