@@ -165,7 +165,9 @@ def ensemble_disagreement(spark: SparkSession, d: str) -> DataFrame:
 
 @register("quantile_descriptors", sql("SELECT country, round(quantile_cont(lat, 0.0), 6) AS q0, round(quantile_cont(lat, 0.25), 6) AS q25, round(quantile_cont(lat, 0.5), 6) AS q50, round(quantile_cont(lat, 0.75), 6) AS q75, round(quantile_cont(lat, 1.0), 6) AS q100 FROM sites GROUP BY 1", "sites"))
 def quantile_descriptors(spark: SparkSession, d: str) -> DataFrame:
-    q = T.sites(spark, d).groupBy("country").agg(F.percentile("lat", F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("q"))
+    # Values are counted first, so that a group's percentile sees each value once.
+    own = T.sites(spark, d).groupBy("country", "lat").agg(F.count("*").alias("n"))
+    q = own.groupBy("country").agg(F.percentile("lat", F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]), F.col("n")).alias("q"))
     return q.select("country", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("q0", "q25", "q50", "q75", "q100"))])
 
 
@@ -253,7 +255,8 @@ def country_weights(spark: SparkSession, d: str) -> DataFrame:
     SELECT species, round(least(greatest(sqrt((SELECT median(n) FROM prevalence) / n), 1), 6), 6) AS median_weight, round(least(greatest(pow(20 / n::DOUBLE, 0.25), 1), 3), 6) AS floor_weight FROM prevalence""", "prevalence"))
 def class_weights(spark: SparkSession, d: str) -> DataFrame:
     p = T.prevalence(spark, d)
-    p = p.join(F.broadcast(p.agg(F.median("n").alias("m"))), F.lit(True))
+    sizes = p.groupBy("n").agg(F.count("*").alias("times"))  # few sizes, whatever the number of species
+    p = p.join(F.broadcast(sizes.agg(F.percentile("n", F.lit(0.5), F.col("times")).alias("m"))), F.lit(True))
     clip = lambda x, z: F.round(F.least(F.greatest(x, F.lit(1.0)), F.lit(z)), 6)
     return p.select("species", clip(F.sqrt(F.col("m") / F.col("n")), 6.0).alias("median_weight"), clip(F.pow(20 / F.col("n"), 0.25), 3.0).alias("floor_weight"))
 
