@@ -142,11 +142,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", label_rows:
     return ratio, best_cut(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], bool)) if rows else -np.inf
 
 
-def threshold(docs: DataFrame, ratio: np.ndarray, cut: float, k: int | None = None, seed: int = 7) -> int | None:
-    """Steps of the k-th largest noisy weight over all documents; None where every row stays."""
-    weight = weight_of(ratio)(F.col("text").cast("string"))
-    keys = written(docs.select(weight.alias("w"), gumbel(seed).alias("g")).select(stepped(F.col("w") + F.col("g")).alias("key"), (F.col("w") >= F.lit(cut)).alias("above")), "quality-keys")
-    rows, above = keys.select(F.count("*"), F.count_if("above")).first()
+def weighed(docs: DataFrame, ratio: np.ndarray, seed: int) -> DataFrame:
+    """doc_id, log_weight, noisy_weight and its steps (``key``) of every row, written."""
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), weight_of(ratio)(F.col("text").cast("string")).alias("log_weight"), gumbel(seed).alias("noise"))
+    noisy = F.col("log_weight") + F.col("noise")
+    return written(out.select("doc_id", "log_weight", noisy.alias("noisy_weight"), stepped(noisy).alias("key")), "quality-keys")
+
+
+def threshold(keys: DataFrame, cut: float, k: int | None = None) -> int | None:
+    """Steps of the k-th largest noisy weight over all rows of ``weighed``; None where every row stays."""
+    rows, above = keys.select(F.count("*"), F.count_if(F.col("log_weight") >= F.lit(cut))).first()
     k = above if k is None else k
     if k >= rows:
         return None
@@ -156,17 +161,15 @@ def threshold(docs: DataFrame, ratio: np.ndarray, cut: float, k: int | None = No
 def scores(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 7, label_rows: int = LABEL_ROWS) -> DataFrame:
     """doc_id, log_weight, noisy_weight and selected of every document."""
     ratio, cut = fit(docs, labels, label_rows=label_rows)
-    least = threshold(docs, ratio, cut, k, seed)
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), weight_of(ratio)(F.col("text").cast("string")).alias("log_weight"), gumbel(seed).alias("noise"))
-    noisy = F.col("log_weight") + F.col("noise")
-    chosen = F.lit(True) if least is None else stepped(noisy) >= least
-    return out.select("doc_id", "log_weight", noisy.alias("noisy_weight"), chosen.alias("selected"))
+    keys = weighed(docs, ratio, seed)
+    least = threshold(keys, cut, k)
+    return keys.select("doc_id", "log_weight", "noisy_weight", (F.lit(True) if least is None else F.col("key") >= least).alias("selected"))
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 7, label_rows: int = LABEL_ROWS) -> DataFrame:
     """The sampled rows of ``docs`` with all their columns."""
     ratio, cut = fit(docs, labels, label_rows=label_rows)
-    least = threshold(docs, ratio, cut, k, seed)
+    least = threshold(weighed(docs, ratio, seed), cut, k)
     if least is None:
         return docs
     return docs.where(stepped(weight_of(ratio)(F.col("text").cast("string")) + gumbel(seed)) >= least)
