@@ -5,9 +5,9 @@ normalised (lower case, everything but a-z and 0-9 to single spaces) and looked
 A known sentence may also run over line ends, with or without comment marks and empty lines at them: it has to begin after
 a break and to end before one, and of several that begin at one place the longest counts.  ``n_sentences`` counts the
 pieces between breaks.
-What is left is the row's sequence of known identifiers.  From its start, the first rule of the ordered rules whose
-identifiers stand there next to each other is a match and its sentences are used up; where no rule matches, one
-identifier is passed.  All of it happens within a row: no shuffle, no state.  The tables of sentences and rules are
+What is left is the row's sequence of known identifiers; unknown sentences between two of them do not part them.  From its
+start, the first rule of the ordered rules whose identifiers come next in that sequence is a match and its sentences are
+used up; where no rule matches, one identifier is passed.  All of it happens within a row: no shuffle, no state.  The tables of sentences and rules are
 literals of fixed size.
 
 Cases: null and empty texts have no sentences and no match; texts of any length are scanned whole; repeated rows and

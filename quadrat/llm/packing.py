@@ -33,11 +33,11 @@ class WordTable:
     """Token ids of words, kept by a worker from task to task; emptied when it holds ``most`` words.
 
     The tokenizer cuts a text into words, encodes each word for itself and joins the ids, so a word met before need
-    not be encoded again.  Keys are 64-bit hashes in an open-addressing table of at most a million words, of which two
-    share a hash with a chance of 3e-8.
+    not be encoded again.  Keys are 64-bit hashes in an open-addressing table of at most half a million words, of
+    which two share a hash with a chance of 7e-9.
     """
 
-    def __init__(self, encode, bits: int = 21):
+    def __init__(self, encode, bits: int = 20):
         self.encode, self.mask = encode, np.int64((1 << bits) - 1)
         self.most = 1 << (bits - 1)
         self.clear()
