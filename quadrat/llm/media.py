@@ -1,13 +1,13 @@
 """Media columns: a Spark data source over archives of stored payloads.
 
-Writing: each task puts its payloads, as 8-bit greyscale PNG images of width 576, into an archive file of its own
+Writing: each task takes Arrow batches and puts their payloads, as 8-bit greyscale PNG images of width 576, into an archive file of its own
 and closes it with a directory (one fixed-size record a member: offset, length, key).  The driver gets one file name a
 task and commits them in a manifest, so files of lost or repeated attempts are never read.
 
 Reading: partitions are byte ranges over the committed archives, planned from file sizes alone.  A task reads the
-records of its archive's directory that begin in its range, fetches members by offset through ``pyarrow.fs`` and
-streams them as Arrow batches of bounded bytes.  A member that fails (short read, checksum) is fetched again from its
-own offset on a new handle; other members are not read twice.
+records of its archive's directory that begin in its range, fetches neighbouring members in one read of bounded bytes
+through ``pyarrow.fs`` and streams them as Arrow batches.  A member that fails (short read, checksum) is fetched again from
+its own offset on a new handle, after a pause; other members are not read twice.
 
 Cases: a null or empty text is stored as one row of padding; any bytes are stored whole; equal payloads give equal
 stored bytes; null or repeated ``doc_id`` are kept row by row; an empty table makes a manifest without archives.
@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
+import time
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 WIDTH = 576
 PAD = b"\xff"
@@ -39,6 +40,8 @@ NULL_KEY = -(1 << 63)
 TAIL = struct.Struct("<qq8s")  # where the directory begins, number of records, mark
 MARK = b"QDRARCH1"
 BATCH_BYTES = 4 << 20
+#: Bytes of neighbouring members that one read fetches, records of a directory that one read fetches, and the first pause in seconds.
+READ_BYTES, RECORDS, PAUSE = 1 << 20, 1024, 0.1
 
 
 def padded(data: bytes) -> bytes:
@@ -104,7 +107,7 @@ class Written(WriterCommitMessage):
     members: int
 
 
-class ArchiveWriter(DataSourceWriter):
+class ArchiveWriter(DataSourceArrowWriter):
     def __init__(self, path: str):
         self.path = path
 
@@ -114,13 +117,13 @@ class ArchiveWriter(DataSourceWriter):
         name = f"part-{uuid.uuid4().hex}.arc"
         at, records = 0, []
         with store.open_output_stream(f"{root}/{name}") as out:
-            for row in iterator:
-                text = bytes(row[1]) if row[1] is not None else b""
-                media = encode(padded(text))
-                out.write(media)
-                key = NULL_KEY if row[0] is None else row[0]
-                records.append(RECORD.pack(at, len(media), len(text), key, zlib.crc32(media)))
-                at += len(media)
+            for batch in iterator:
+                for key, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    text = data.as_py() or b""
+                    media = encode(padded(text))
+                    out.write(media)
+                    records.append(RECORD.pack(at, len(media), len(text), NULL_KEY if key is None else key, zlib.crc32(media)))
+                    at += len(media)
             out.write(b"".join(records))
             out.write(TAIL.pack(at, len(records), MARK))
         return Written(name, at + len(records) * RECORD.size + TAIL.size, len(records))
@@ -161,34 +164,59 @@ class ArchiveReader(DataSourceReader):
             return
         store, root = _open(self.path)
         place = f"{root}/{partition.name}"
-        handle = store.open_input_file(place)
-        begin, n, mark = TAIL.unpack(handle.read_at(TAIL.size, handle.size() - TAIL.size))
-        if mark != MARK:
-            raise OSError(f"{place} has no directory")
-        rows, held = [], 0
-        for i in range(self._first(handle, begin, n, partition.begin), n):
-            at, size, plain, key, crc = RECORD.unpack(handle.read_at(RECORD.size, begin + i * RECORD.size))
-            if at >= partition.end:
-                break
-            for trial in range(self.tries):
-                try:
-                    media = handle.read_at(size, at)
-                    if len(media) != size or zlib.crc32(media) != crc:
-                        raise OSError(f"member at {at} of {place}")
-                    payload = decode(media)
-                    break
-                except (OSError, ValueError, zlib.error, struct.error):
-                    if trial + 1 == self.tries:
-                        raise
-                    handle = store.open_input_file(place)
-            rows.append((None if key == NULL_KEY else key, plain, payload, media))
-            held += len(payload) + len(media)
-            if held > BATCH_BYTES:
-                yield _batch(rows)
-                rows, held = [], 0
+        with store.open_input_file(place) as handle:
+            begin, n, mark = TAIL.unpack(handle.read_at(TAIL.size, handle.size() - TAIL.size))
+            if mark != MARK:
+                raise OSError(f"{place} has no directory")
+            rows, held = [], 0
+            for near in self._runs(handle, begin, n, partition):
+                first, size = near[0][0], near[-1][0] + near[-1][1] - near[0][0]
+                block = memoryview(handle.read_at(size, first))
+                for at, length, plain, key, crc in near:
+                    media = bytes(block[at - first : at - first + length])
+                    payload, media = self._checked(store, place, media, at, length, crc)
+                    rows.append((None if key == NULL_KEY else key, plain, payload, media))
+                    held += len(payload) + len(media)
+                    if held > BATCH_BYTES:
+                        yield _batch(rows)
+                        rows, held = [], 0
         if rows:
             yield _batch(rows)
 
+    def _runs(self, handle, begin: int, n: int, partition: Range) -> Iterator[list[tuple]]:
+        """Records of members that begin in the partition, in runs of about READ_BYTES; the directory is read in blocks."""
+        near, held = [], 0
+        for i in range(self._first(handle, begin, n, partition.begin), n, RECORDS):
+            block = handle.read_at(min(RECORDS, n - i) * RECORD.size, begin + i * RECORD.size)
+            for record in RECORD.iter_unpack(block):
+                if record[0] >= partition.end:
+                    if near:
+                        yield near
+                    return
+                near.append(record)
+                held += record[1]
+                if held > READ_BYTES:
+                    yield near
+                    near, held = [], 0
+        if near:
+            yield near
+
+    def _checked(self, store, place: str, media: bytes, at: int, size: int, crc: int) -> tuple[bytes, bytes]:
+        """(payload, stored bytes) of a member, fetched again on its own where what was read does not hold."""
+        for trial in range(self.tries):
+            try:
+                if trial:
+                    time.sleep(PAUSE * 2 ** (trial - 1))
+                    with store.open_input_file(place) as again:
+                        media = again.read_at(size, at)
+                if len(media) != size or zlib.crc32(media) != crc:
+                    raise OSError(f"member at {at} of {place}")
+                return decode(media), media
+            except (OSError, ValueError, zlib.error, struct.error):
+                if trial + 1 == self.tries:
+                    raise
+        raise ValueError("tries must be 1 or more")
+
     @staticmethod
     def _first(handle, begin: int, n: int, offset: int) -> int:
         """The first record whose member begins at ``offset`` or later, by bisection over the directory."""
