@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import licenses, linededup, media, minhash, mixing, packing, quality, repeats, shared, toxicity, vptree
+from quadrat.llm import licenses, linededup, media, merkle, minhash, mixing, packing, quality, repeats, shared, toxicity, vptree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,12 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return merkle.verify(merkle.manifest(docs, now={"n_chars": F.when(hit, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}))
+
+
 QUERIES = {
     "op1_quality_resampling": op1_quality_resampling,
     "op2_toxicity": op2_toxicity,
@@ -73,11 +79,13 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_licenses": op9_licenses,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLES = {
     "op4_line_dedup": linededup.oracle(),
     "op9_licenses": licenses.oracle(),
+    "op11_merkle_manifest": merkle.oracle(),
     "op7_nearest": """
         WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL

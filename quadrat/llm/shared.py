@@ -71,6 +71,19 @@ def doubled(live: DataFrame, row: str, at: str, levels: int) -> DataFrame:
     return live
 
 
+def numbered(df: DataFrame, tree: str, order: list[str]) -> DataFrame:
+    """``df`` with ``place`` (from 0 in its tree, in the given order, nulls first) and ``n``, the rows of the tree.
+
+    Rows are sorted by ranges and written; a window sees one row a range and tree, so no tree needs to fit a task.
+    """
+    table = written(df.orderBy(tree, *order).withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)), "ordered")
+    parts = table.groupBy(tree, "part").agg(F.min("at").alias("first"), F.count("*").alias("here"))
+    all_parts = Window.partitionBy(tree)
+    before = F.sum("here").over(all_parts.orderBy("part")) - F.col("here")
+    parts = parts.select(tree, "part", "first", before.alias("before"), F.sum("here").over(all_parts).alias("n"))
+    return table.join(parts, [tree, "part"]).withColumn("place", F.col("at") - F.col("first") + F.col("before")).drop("at", "part", "first", "before")
+
+
 def keyed(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with a long column ``key`` that names each row: doc_id where that is one, else a number.
 
