@@ -26,46 +26,51 @@ from pyspark.sql import functions as F
 from quadrat.llm import textbytes as tb
 
 CLOSING_ID = 1
+#: Seed of the second hash of a word.
+SECOND = 0x5851F42D4C957F2D
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, offset long, ids array<int>"
 
 
 class WordTable:
-    """Token ids of words, kept by a worker from task to task; emptied when it holds ``most`` words.
+    """Token ids of words, kept by a worker from task to task.
 
     The tokenizer cuts a text into words, encodes each word for itself and joins the ids, so a word met before need
-    not be encoded again.  Keys are 64-bit hashes in an open-addressing table of at most half a million words, of
-    which two share a hash with a chance of 7e-9.
+    not be encoded again.  Keys are two independent 64-bit hashes of a word in an open-addressing table, so that two words
+    share both with a chance of 1e-27 or less.  The table is emptied before it would hold more than ``most`` words or
+    ``most_ids`` ids (about 20 MB in all); one step's own words always fit.
     """
 
-    def __init__(self, encode, bits: int = 20):
-        self.encode, self.mask = encode, np.int64((1 << bits) - 1)
-        self.most = 1 << (bits - 1)
+    def __init__(self, encode, bits: int = 18):
+        self.encode, self.bits = encode, bits
+        self.most, self.most_ids = 1 << (bits - 1), 1 << (bits + 1)
         self.clear()
 
-    def clear(self) -> None:
-        self.keys = np.zeros(int(self.mask) + 1, np.uint64)
-        self.slot = np.full(int(self.mask) + 1, -1, np.int64)
-        self.first = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int64)
-        self.ids = np.zeros(1 << 18, np.int32)
+    def clear(self, words: int = 0) -> None:
+        """Empty the table; room for ``words`` words at least, more than the usual only where one step has them."""
+        size = 1 << max(self.bits, (2 * words).bit_length())
+        self.mask = np.int64(size - 1)
+        self.keys, self.seconds = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
+        self.slot = np.full(size, -1, np.int32)
+        self.first, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.ids = np.zeros(1 << 16, np.int32)
         self.n = self.n_ids = 0
 
-    def find(self, key: np.ndarray) -> np.ndarray:
-        """Entry of each key, -1 for those that are not there."""
+    def find(self, key: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Entry of each pair of hashes, -1 for those that are not there."""
         at = (key & np.uint64(self.mask)).astype(np.int64)
-        out = np.where(self.keys[at] == key, self.slot[at], -1)
+        out = np.where((self.keys[at] == key) & (self.seconds[at] == second), self.slot[at], -1)
         rest = np.flatnonzero((out < 0) & (self.slot[at] >= 0))
         while len(rest):
             at[rest] = (at[rest] + 1) & self.mask
             here = at[rest]
-            hit = (self.keys[here] == key[rest]) & (self.slot[here] >= 0)
+            hit = (self.keys[here] == key[rest]) & (self.seconds[here] == second[rest]) & (self.slot[here] >= 0)
             out[rest[hit]] = self.slot[here[hit]]
             rest = rest[~hit & (self.slot[here] >= 0)]
         return out
 
-    def add(self, keys: np.ndarray, words: list[str]) -> None:
+    def add(self, keys: np.ndarray, seconds: np.ndarray, words: list[str]) -> None:
         got = [x.ids for x in self.encode(words)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        sizes = np.fromiter(map(len, got), np.int32, len(got))
         flat = np.array(list(chain.from_iterable(got)), np.int32)
         while self.n + len(keys) > len(self.first):
             self.first, self.size = np.resize(self.first, 2 * len(self.first)), np.resize(self.size, 2 * len(self.size))
@@ -82,13 +87,20 @@ class WordTable:
             free = self.slot[at[rest]] < 0
             place, who = np.unique(at[rest[free]], return_index=True)
             took = rest[free][who]
-            self.slot[place], self.keys[place] = entry[took], keys[took]
+            self.slot[place], self.keys[place], self.seconds[place] = entry[took], keys[took], seconds[took]
             left = np.ones(len(keys), bool)
             left[took] = False
             rest = rest[left[rest]]
             at[rest] = (at[rest] + 1) & self.mask
 
 
+def _distinct(key: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The first place of each distinct pair."""
+    order = np.lexsort((second, key))
+    k, s = key[order], second[order]
+    return order[np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (s[1:] != s[:-1])))]
+
+
 # The rules of a tokenizer file under which ``token_ids`` may cut words itself.
 NORMALIZERS = ("NFC", "Replace", "Lowercase")
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -108,7 +120,7 @@ def cuts_words(spec: dict) -> bool:
 
 
 @lru_cache(maxsize=2)
-def _tools(tokenizer_path: str):
+def tools(tokenizer_path: str):
     """The tokenizer of this worker process, and its word table or None where its rules are others."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -144,7 +156,7 @@ def token_ids(tokenizer, table: WordTable | None, raw: np.ndarray, offsets: np.n
     """Ids of all rows, one after the other, and how many each row has; equal to the tokenizer's own ids."""
     rows = len(offsets) - 1
     if table is None:
-        whole = [np.asarray(tokenizer.encode(raw[a:z].tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids, np.int32) for a, z in zip(offsets[:-1], offsets[1:])]
+        whole = _encoded(tokenizer, raw, offsets, np.arange(rows))
         return np.concatenate([np.zeros(0, np.int32), *whole]), np.array([len(x) for x in whole], np.int64)
     plain = _plain(raw, offsets)
     low = tb.lowered(raw)
@@ -159,34 +171,45 @@ def token_ids(tokenizer, table: WordTable | None, raw: np.ndarray, offsets: np.n
         first = tb.ragged(starts, sizes)
         ends = np.where(np.repeat(digits, sizes), first + 1, np.repeat(ends, sizes))
         row, starts = np.repeat(row, sizes), first
-    key = tb.span_hash(low, starts, ends)
-    entry = table.find(key)
+    key, second = tb.span_hash(low, starts, ends), tb.span_hash(low, starts, ends, SECOND)
+    entry = table.find(key, second)
     new = np.flatnonzero(entry < 0)
     if len(new):
-        if table.n + len(new) > table.most:
-            table.clear()
+        if table.n_ids > table.most_ids or table.n + len(new) > table.most:
             new = np.arange(len(key))
-        fresh, which = np.unique(key[new], return_index=True)
+            table.clear(len(new))
+        new = new[_distinct(key[new], second[new])]
         text = low.tobytes()
-        table.add(fresh, [text[starts[i] : ends[i]].decode() for i in new[which]])
-        entry = table.find(key)
-    sizes = table.size[entry]
+        table.add(key[new], second[new], [text[starts[i] : ends[i]].decode() for i in new])
+        entry = table.find(key, second)
+    sizes = table.size[entry].astype(np.int64)
     flat = table.ids[tb.ragged(table.first[entry], sizes)]
     counts = np.bincount(row, sizes, rows).astype(np.int64)
     if plain.all():
         return flat, counts
     ends_of = np.cumsum(counts)
-    parts = []
-    for i in range(rows):
-        if plain[i]:
-            parts.append(flat[ends_of[i] - counts[i] : ends_of[i]])
-        else:
-            text = raw[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")
-            parts.append(np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, np.int32))
-            counts[i] = len(parts[-1])
+    parts = [flat[b - n : b] for b, n in zip(ends_of, counts)]
+    others = np.flatnonzero(~plain)
+    for i, ids in zip(others, _encoded(tokenizer, raw, offsets, others)):
+        parts[i], counts[i] = ids, len(ids)
     return np.concatenate(parts), counts
 
 
+def _encoded(tokenizer, raw: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    """The tokenizer's own ids of some rows, encoded together."""
+    texts = [raw[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace") for i in rows]
+    return [np.asarray(x.ids, np.int32) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def closed(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and counts with the closing id behind each row's."""
+    out = np.full(len(flat) + len(counts), CLOSING_ID, np.int32)
+    body = np.ones(len(out), bool)
+    body[np.cumsum(counts + 1) - 1] = False
+    out[body] = flat
+    return out, counts + 1
+
+
 def pieces_of(length: int, most: int) -> list[int]:
     """Powers of two that add up to ``length``: the longest allowed as often as it fits, then the binary form."""
     whole, rest = divmod(length, most)
@@ -203,7 +226,7 @@ def decompose(docs: DataFrame, tokenizer_path: str, max_length: int = 2048, with
         raise ValueError("max_length must be a power of two up to 32768")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, table = _tools(tokenizer_path)
+        tokenizer, table = tools(tokenizer_path)
         for batch in batches:
             names = batch.column(0)
             for a, z, raw, offsets in tb.steps(batch.column(1)):
