@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import licenses, linededup, media, merkle, minhash, mixing, packing, quality, repeats, shared, toxicity, vptree
+from quadrat.llm import frames, licenses, linededup, media, merkle, minhash, mixing, packing, quality, repeats, shared, toxicity, vptree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(merkle.manifest(docs, now={"n_chars": F.when(hit, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}))
 
 
+def op13_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared.new_path(spark, "ids")
+    frames.write(_table(spark, sf_dir, "documents"), path, tokenizer_path())
+    return frames.read(spark, path, with_ids=False)
+
+
 QUERIES = {
     "op1_quality_resampling": op1_quality_resampling,
     "op2_toxicity": op2_toxicity,
@@ -80,6 +86,7 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_near_duplicates": op10_near_duplicates,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_token_frames": op13_token_frames,
 }
 
 ORACLES = {

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,11 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def opened(path: str) -> tuple[pafs.FileSystem, str]:
+    """The store of a path and the path within it."""
+    return pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}" if path.startswith("/") else path.replace(":/", ":///", 1))
+
+
 def written(df: DataFrame, kind: str) -> DataFrame:
     """``df`` as a written table in the shared folder: computed once, safe against lost executors."""
     spark = df.sparkSession
