@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import frames, licenses, linededup, media, merkle, minhash, mixing, packing, quality, repeats, shared, toxicity, vptree
+from quadrat.llm import conversation, frames, licenses, linededup, media, merkle, minhash, mixing, packing, quality, repeats, shared, toxicity, vptree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(merkle.manifest(docs, now={"n_chars": F.when(hit, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return conversation.repair(conversation.damaged(rows), rows)
+
+
 def op13_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared.new_path(spark, "ids")
     frames.write(_table(spark, sf_dir, "documents"), path, tokenizer_path())
@@ -86,6 +91,7 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_near_duplicates": op10_near_duplicates,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_token_frames": op13_token_frames,
 }
 
@@ -93,6 +99,7 @@ ORACLES = {
     "op4_line_dedup": linededup.oracle(),
     "op9_licenses": licenses.oracle(),
     "op11_merkle_manifest": merkle.oracle(),
+    "op12_conversation_repair": conversation.oracle(),
     "op7_nearest": """
         WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
