@@ -13,21 +13,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrat.functions.geo import EARTH_KM, haversine_km
+from quadrat.sources.shared import written
 
 _HALF_WAY = math.pi * EARTH_KM
 
 
-def _cells_of_band(band: Column, radius_km: float) -> Column:
+def _height(radius_km: Column) -> Column:
+    """Degrees that a band of cells is high."""
+    return F.degrees(radius_km / EARTH_KM) * (1 + 1e-9)
+
+
+def _cells_of_band(band: Column, radius_km: Column) -> Column:
     """How many cells a band has: as many as are each wide enough for the radius from any neighbouring band."""
-    height = math.degrees(radius_km / EARTH_KM) * (1 + 1e-9)
+    height = _height(radius_km)
     edge = F.least(F.greatest(F.abs((band - 1) * height - 90), F.abs((band + 2) * height - 90)), F.lit(90.0))
-    reach = F.lit(math.sin(min(radius_km / EARTH_KM, math.pi) / 2)) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-12))
+    reach = F.sin(F.least(radius_km / EARTH_KM, F.lit(math.pi)) / 2) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-12))
     width = F.degrees(2 * F.asin(F.least(reach, F.lit(1.0)))) * (1 + 1e-9)
     return F.greatest(F.floor(F.lit(360.0) / width), F.lit(1)).cast("long")
 
 
-def _band(lat: Column, radius_km: float) -> Column:
-    return F.floor((lat + 90) / (math.degrees(radius_km / EARTH_KM) * (1 + 1e-9))).cast("long")
+def _band(lat: Column, radius_km: Column) -> Column:
+    return F.floor((lat + 90) / _height(radius_km)).cast("long")
 
 
 def _column(lon: Column, cells: Column) -> Column:
@@ -39,39 +45,81 @@ def usable(lat: str, lon: str) -> Column:
     return (F.abs(F.col(lat)) <= 90) & (F.abs(F.col(lon)) < float("inf"))
 
 
-def within_km(left: DataFrame, right: DataFrame, radius_km: float) -> DataFrame:
-    """All pairs within ``radius_km`` with their ``km``.  Left has lat, lon; right has rlat, rlon; names must differ."""
-    bands = left.withColumn("_band", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: _band(F.col("lat"), radius_km) + d)))
-    bands = bands.withColumn("_cells", _cells_of_band(F.col("_band"), radius_km)).withColumn("_at", _column(F.col("lon"), F.col("_cells")))
+def within_km(left: DataFrame, right: DataFrame, radius_km: float | str, by: tuple[str, ...] = ()) -> DataFrame:
+    """All pairs within ``radius_km`` with their ``km``.  Left has lat, lon; right has rlat, rlon; names must differ.
+
+    The radius may be a column of both sides, which is then a key like those of ``by``: a row meets the rows of the other
+    side that have its radius and keys.
+    """
+    keys = [*by, *([radius_km] if isinstance(radius_km, str) else [])]
+    radius = F.col(radius_km) if isinstance(radius_km, str) else F.lit(float(radius_km))
+    bands = left.withColumn("_band", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: _band(F.col("lat"), radius) + d)))
+    bands = bands.withColumn("_cells", _cells_of_band(F.col("_band"), radius)).withColumn("_at", _column(F.col("lon"), F.col("_cells")))
     near = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(F.col("_at") + d, F.col("_cells"))))
     asked = bands.withColumn("_cell", F.explode(near)).drop("_cells", "_at")
-    there = right.withColumn("_band", _band(F.col("rlat"), radius_km))
-    there = there.withColumn("_cell", _column(F.col("rlon"), _cells_of_band(F.col("_band"), radius_km)))
+    there = right.withColumn("_band", _band(F.col("rlat"), radius))
+    there = there.withColumn("_cell", _column(F.col("rlon"), _cells_of_band(F.col("_band"), radius)))
     km = F.round(haversine_km(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon")), 6)
-    return asked.join(there, ["_band", "_cell"]).withColumn("km", km).where(F.col("km") <= radius_km).drop("_band", "_cell")
+    return asked.join(there, [*keys, "_band", "_cell"]).withColumn("km", km).where(F.col("km") <= radius).drop("_band", "_cell")
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str, start_km: float = 50.0) -> DataFrame:
-    """The k nearest of ``right`` for each row of ``left`` by (km, id), with ``rank``.
+#: Levels of the pyramid below the globe (the last one's cells are 76 m high) and the least radius of a class, in km.
+LEVELS, LEAST_KM = 18, 0.0625
+
+
+def _place(lat: str, lon: str) -> list[Column]:
+    """The finest cell of the pyramid that a row lies in; at level l it is that cell's number over 2^(LEVELS - l)."""
+    n = 1 << LEVELS
+    y = F.least(F.floor((F.col(lat) + 90) / 180 * n), F.lit(n - 1)).cast("long")
+    x = F.least(F.floor(F.pmod(F.col(lon) + 180, F.lit(360.0)) / 360 * n), F.lit(n - 1)).cast("long")
+    return [y.alias("_y"), x.alias("_x")]
 
-    Rows that have fewer than k within the radius go on with four times the radius, until it spans the globe.  Rows
-    without finite coordinates take no part on either side: they would drive the radius up for nothing.
-    """
-    from functools import reduce
 
+def _at_levels(cells: DataFrame) -> DataFrame:
+    """Cells (_y, _x) once for each level, with the number there, _ly and _lx."""
+    each = cells.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
+    up = lambda c: F.call_function("shiftright", c, F.lit(LEVELS) - F.col("_level"))
+    return each.withColumn("_ly", up(F.col("_y"))).withColumn("_lx", up(F.col("_x")))
+
+
+def _cell_km(level: Column, y: Column) -> Column:
+    """A bound of the distance of any two points of a cell: its height, and its width at the latitude where it is widest."""
+    height = F.lit(180.0) / F.pow(F.lit(2.0), level)
+    low = F.call_function("shiftright", y, F.lit(LEVELS) - level) * height - 90
+    edge = F.when((low < 0) & (low + height > 0), 0.0).otherwise(F.least(F.abs(low), F.abs(low + height)))
+    return F.least((F.radians(height) + F.cos(F.radians(edge)) * F.radians(2 * height)) * EARTH_KM, F.lit(_HALF_WAY)) + 1e-5
+
+
+def nearest(left: DataFrame, right: DataFrame, k: int, right_id: str | list[str], by: tuple[str, ...] = (), most_km: float | None = None) -> DataFrame:
+    """The k nearest of ``right`` for each row of ``left`` by (km, id), with ``km`` and ``rank``; within ``most_km`` if given.
+
+    Rows meet references with the same ``by`` keys.  The references are counted by cells of several levels, a quadtree kept as
+    a table; each place asked reads off the smallest cell around it that holds k, and so its own radius, rounded up to a
+    power of two.  One join then serves all radii: a reference stands once in the cells of each radius that occurs (at
+    most 20).  Each distinct place is searched once, and of references at one place only the k first by id take part.
+
+    Rows without finite coordinates take no part on either side.  Where a key has fewer than k references, all are given.
+    """
+    ids = [right_id] if isinstance(right_id, str) else list(right_id)
     left, right = left.where(usable("lat", "lon")), right.where(usable("rlat", "rlon"))
-    parts, rest, radius = [], left, start_km
-    there = right.count()
-    order = Window.partitionBy(left_id).orderBy("km", right_id)
-    while True:
-        last = radius >= _HALF_WAY
-        found = within_km(rest, right, min(radius, _HALF_WAY + 1)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        full = found.groupBy(left_id).count().where(F.col("count") >= min(k, there)).select(left_id)
-        parts.append(found if last else found.join(full, left_id, "left_semi"))
-        rest = rest.join(full, left_id, "left_anti")
-        if last or not there or rest.isEmpty():
-            return reduce(DataFrame.unionByName, parts)
-        radius *= 4
+    here = Window.partitionBy(*by, "rlat", "rlon").orderBy(*ids)
+    refs = right.withColumn("_copy", F.row_number().over(here)).where(F.col("_copy") <= k).drop("_copy")
+    counts = right.groupBy(*by, *_place("rlat", "rlon")).agg(F.count("*").alias("_n"))
+    holding = _at_levels(counts).groupBy(*by, "_level", "_ly", "_lx").agg(F.sum("_n").alias("_n")).where(F.col("_n") >= k).drop("_n")
+    places = left.select(*by, "lat", "lon").distinct().select(*by, "lat", "lon", *_place("lat", "lon"))
+    levels = _at_levels(places.select(*by, "_y", "_x").distinct()).join(holding, [*by, "_level", "_ly", "_lx"]).groupBy(*by, "_y", "_x").agg(F.max("_level").alias("_level"))
+    reach = F.coalesce(_cell_km(F.col("_level"), F.col("_y")), F.lit(_HALF_WAY))
+    reach = F.least(reach, F.lit(float(most_km))) if most_km is not None else reach
+    steps = F.greatest(F.ceil(F.log2(reach / LEAST_KM)), F.lit(0))
+    radius = F.least(LEAST_KM * F.pow(F.lit(2.0), steps), F.lit(_HALF_WAY + 1))
+    asked = written(places.join(levels, [*by, "_y", "_x"], "left").select(*by, "lat", "lon", radius.alias("_radius")), "radii")
+    radii = asked.agg(F.collect_set("_radius").alias("_radii"))  # one row
+    there = refs.join(F.broadcast(radii), F.lit(True)).withColumn("_radius", F.explode("_radii")).drop("_radii")
+    order = Window.partitionBy(*by, "lat", "lon").orderBy("km", *ids)
+    found = within_km(asked, there, "_radius", by).drop("_radius")
+    found = found if most_km is None else found.where(F.col("km") <= most_km)
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return left.join(best, [*by, "lat", "lon"])
 
 
 def counts_within(left: DataFrame, right: DataFrame, radii: dict[str, float], left_id: str) -> DataFrame:

@@ -237,21 +237,26 @@ def archived_replay(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("kernel_counts", sql("""
-    WITH q AS (SELECT site, floor(lat * 20)::BIGINT AS x, floor(lon * 20)::BIGINT AS y, lat, lon FROM sites),
-    o AS (SELECT species, lat, lon FROM occurrences), m AS (SELECT site, species, round(2 * 6371.0088 * asin(sqrt(least(sin(radians(o.lat - q.lat) / 2) ^ 2 + cos(radians(q.lat)) * cos(radians(o.lat)) * sin(radians(o.lon - q.lon) / 2) ^ 2, 1))), 6) AS km FROM q JOIN o ON abs(o.lat - q.lat) < 0.1 AND abs(o.lon - q.lon) < 0.2),
-    k AS (SELECT site, species, count(*) AS n, round(sum(exp(-km / 10)), 9) AS s FROM m WHERE km <= 8 GROUP BY ALL),
+    WITH m AS (SELECT site, species, survey, line, round(2 * 6371.0088 * asin(sqrt(least(sin(radians(o.lat - q.lat) / 2) ^ 2 + cos(radians(q.lat)) * cos(radians(o.lat)) * sin(radians(o.lon - q.lon) / 2) ^ 2, 1))), 6) AS km
+        FROM sites q JOIN occurrences o ON abs(o.lat - q.lat) < 0.32 AND abs(o.lon - q.lon) < 0.6),
+    near AS (SELECT * FROM m WHERE km <= 35 QUALIFY row_number() OVER (PARTITION BY site ORDER BY km, species, survey, line) <= 96),
+    k AS (SELECT site, species, count(*) AS n, round(sum(exp(-km / 10)), 9) AS s FROM near GROUP BY ALL),
     b AS (SELECT *, max(n) OVER (PARTITION BY site) AS most, row_number() OVER (PARTITION BY site ORDER BY s DESC, species) AS r FROM k),
     c AS (SELECT site, species, s FROM b WHERE n >= 2 OR (most < 2 AND r = 1)),
     r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY s DESC, species) AS rank FROM c)
     SELECT site, species, round(s / max(s) OVER (PARTITION BY site), 6) AS score, rank::INT AS rank FROM r WHERE rank <= 32""", "sites", "occurrences"))
 def kernel_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Sums of exp(-d / 10) of the species within reach of a site, seen twice at least (else the best alone), 32 at most."""
-    from quadrat.operators.spatial import within_km
+    """Sums of exp(-d / 10) of the species among a site's 96 nearest occurrences within 35 km, seen twice at least (else the best alone), 32 at most.
+
+    Occurrences at one place count as often as they occur; of those at the distance of the 96th the first by species,
+    survey and line are taken.
+    """
+    from quadrat.operators.spatial import nearest
 
     q = T.sites(spark, d).select("site", "lat", "lon")
-    o = T.occurrences(spark, d).select("species", F.col("lat").alias("rlat"), F.col("lon").alias("rlon")).groupBy("species", "rlat", "rlon").agg(F.count("*").alias("times"))
+    o = T.occurrences(spark, d).select("species", "survey", "line", F.col("lat").alias("rlat"), F.col("lon").alias("rlon"))
     mine = Window.partitionBy("site")
-    k = within_km(q, o, 8).groupBy("site", "species").agg(F.sum("times").alias("n"), F.round(F.sum(F.col("times") * F.exp(-F.col("km") / 10)), 9).alias("s"))
+    k = nearest(q, o, 96, ["species", "survey", "line"], most_km=35).groupBy("site", "species").agg(F.count("*").alias("n"), F.round(F.sum(F.exp(-F.col("km") / 10)), 9).alias("s"))
     order = mine.orderBy(F.desc("s"), "species")
     kept = k.withColumn("most", F.max("n").over(mine)).withColumn("r", F.row_number().over(order)).where("n >= 2 or (most < 2 and r = 1)")
     best = kept.withColumn("rank", F.row_number().over(order)).where("rank <= 32")

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from quadrat.functions import geo as G
 from quadrat.operators import spatial as P
+from quadrat.operators import splits as S
 from quadrat.operators.occurrence import coarser, damped_scores
 from quadrat.plans.occurrences import FINE, cell_counts
-from quadrat.plans.splits import KM
+from quadrat.plans.splits import _ROLE, KM
 from quadrat.registry import register
 from quadrat.sources import tables as T
+from quadrat.sources.shared import written
 from quadrat.sources.tables import sql
 
 _ODD = "q AS (SELECT site, lat, lon FROM sites WHERE site % 2 = 1), r AS (SELECT site AS ref, lat, lon, country FROM sites WHERE site % 2 = 0)"
@@ -25,12 +27,12 @@ def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @register("nearest_reference", sql(f"WITH {_ODD}, {_NEAR} SELECT site, ref, km FROM k WHERE rank = 1", "sites"))
 def nearest_reference(spark: SparkSession, d: str) -> DataFrame:
-    return P.nearest(*_sides(spark, d), 1, "site", "ref").select("site", "ref", "km")
+    return P.nearest(*_sides(spark, d), 1, "ref").select("site", "ref", "km")
 
 
 @register("knn_join", sql(f"WITH {_ODD}, {_NEAR} SELECT site, ref, km, rank::INT AS rank FROM k WHERE rank <= 8", "sites"))
 def knn_join(spark: SparkSession, d: str) -> DataFrame:
-    return P.nearest(*_sides(spark, d), 8, "site", "ref", 100).select("site", "ref", "km", "rank")
+    return P.nearest(*_sides(spark, d), 8, "ref").select("site", "ref", "km", "rank")
 
 
 @register("radius_counts", sql(f"WITH {_ODD}, {_NEAR} SELECT site, count(*) FILTER (km <= 20) AS within20, count(*) FILTER (km <= 50) AS within50 FROM n GROUP BY 1", "sites"))
@@ -122,10 +124,9 @@ _VOTES = f"""WITH {_ODD}, {_NEAR}, f AS (SELECT * FROM k WHERE rank <= 8),
     labels AS (SELECT DISTINCT site AS ref, species FROM pairs JOIN surveys USING (survey)),"""
 
 
-def _neighbour_labels(spark: SparkSession, d: str) -> DataFrame:
-    near = P.nearest(*_sides(spark, d), 8, "site", "ref", 100)
-    labels = T.pairs(spark, d).join(T.surveys(spark, d).select("survey", F.col("site").alias("ref")), "survey").select("ref", "species").distinct()
-    return near.join(labels, "ref")
+def _site_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct (ref, species) of the sites' surveys."""
+    return T.pairs(spark, d).join(T.surveys(spark, d).select("survey", F.col("site").alias("ref")), "survey").select("ref", "species").distinct()
 
 
 @register("kernel_label_vote", sql(_VOTES + """
@@ -134,7 +135,8 @@ def _neighbour_labels(spark: SparkSession, d: str) -> DataFrame:
     x AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY score DESC, species) AS rank FROM w)
     SELECT site, species, score, rank::INT AS rank FROM x WHERE rank <= 28""", "sites", "surveys", "pairs"))
 def kernel_label_vote(spark: SparkSession, d: str) -> DataFrame:
-    v = _neighbour_labels(spark, d).groupBy("site", "species").agg(F.sum(F.exp(-F.col("km") / 12)).alias("s"), F.count("*").alias("n"), F.min("km").alias("d"))
+    near = P.nearest(*_sides(spark, d), 8, "ref").join(_site_labels(spark, d), "ref")
+    v = near.groupBy("site", "species").agg(F.sum(F.exp(-F.col("km") / 12)).alias("s"), F.count("*").alias("n"), F.min("km").alias("d"))
     w = v.where("n >= 2 or d <= 2").withColumn("score", F.round(F.col("s") / F.max("s").over(Window.partitionBy("site")), 6))
     rank = F.row_number().over(Window.partitionBy("site").orderBy(F.desc("score"), "species"))
     return w.withColumn("rank", rank).where("rank <= 28").select("site", "species", "score", "rank")
@@ -145,14 +147,58 @@ def kernel_label_vote(spark: SparkSession, d: str) -> DataFrame:
     SELECT site, species, count(*) AS votes, neighbours FROM f JOIN labels USING (ref) JOIN n2 USING (site) WHERE km <= 60
     GROUP BY site, species, neighbours HAVING count(*) >= ceil(0.5 * neighbours)""", "sites", "surveys", "pairs"))
 def consensus_vote(spark: SparkSession, d: str) -> DataFrame:
-    near = P.nearest(*_sides(spark, d), 8, "site", "ref", 100).where("km <= 60")
-    n = near.groupBy("site").agg(F.count("*").alias("neighbours")).where("neighbours >= 3")
-    votes = _neighbour_labels(spark, d).where("km <= 60").groupBy("site", "species").agg(F.count("*").alias("votes"))
-    return votes.join(n, "site").where(F.col("votes") >= F.ceil(F.col("neighbours") * 0.5)).select("site", "species", "votes", "neighbours")
+    near = P.nearest(*_sides(spark, d), 8, "ref").where("km <= 60").withColumn("neighbours", F.count("*").over(Window.partitionBy("site"))).where("neighbours >= 3")
+    votes = near.join(_site_labels(spark, d), "ref").groupBy("site", "species", "neighbours").agg(F.count("*").alias("votes"))
+    return votes.where(F.col("votes") >= F.ceil(F.col("neighbours") * 0.5)).select("site", "species", "votes", "neighbours")
 
 
 @register("local_support", sql(f"WITH {_ODD}, {_NEAR}, u AS (SELECT site AS ref, count(*) AS support FROM surveys GROUP BY 1) SELECT site, round(sum(support / (1 + km)), 6) AS support FROM k JOIN u USING (ref) WHERE rank <= 8 GROUP BY 1", "sites", "surveys"))
 def local_support(spark: SparkSession, d: str) -> DataFrame:
     support = T.surveys(spark, d).groupBy(F.col("site").alias("ref")).agg(F.count("*").alias("support"))
-    near = P.nearest(*_sides(spark, d), 8, "site", "ref", 100).join(support, "ref")
+    near = P.nearest(*_sides(spark, d), 8, "ref").join(support, "ref")
     return near.groupBy("site").agg(F.round(F.sum(F.col("support") / (1 + F.col("km"))), 6).alias("support"))
+
+
+#: Roles by the salted split: 0 fits, 1 to 3 are calibration, a second calibration and assessment; 4 stands for production.
+_SEES = [(1, 0), (2, 0), (3, 0), (4, 0), (4, 1), (4, 2)]
+_PA = """
+    a AS (SELECT site, lat, lon, role FROM r WHERE role IN (1, 2, 3) UNION ALL SELECT site, lat, lon, 4 FROM r WHERE role = 3),
+    sees(role, seen) AS (VALUES """ + ", ".join(map(str, _SEES)) + f"""),
+    refs AS (SELECT sees.role, r.site AS ref, lat, lon FROM r JOIN sees ON seen = r.role),
+    n AS (SELECT a.site, a.role, refs.ref, {KM.format(a='a.', b='refs.')} AS km FROM a JOIN refs USING (role)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY site, role ORDER BY km, ref) AS rank FROM n), near AS (SELECT * FROM k WHERE rank <= 8),
+    d AS (SELECT site, role, min(km) AS km FROM near GROUP BY ALL),
+    labels AS (SELECT DISTINCT site AS ref, species FROM pairs JOIN surveys USING (survey)),
+    v AS (SELECT site, role, species, round(sum(exp(-km / 12)), 9) AS s, count(*) AS n FROM near JOIN labels USING (ref) WHERE km <= 30 GROUP BY ALL),
+    w AS (SELECT v.*, row_number() OVER (PARTITION BY site, role ORDER BY s DESC, species) AS rank FROM v JOIN d USING (site, role) WHERE n >= 2 OR km <= 2),
+    pa AS (SELECT site, role, species, rank, round(s / max(s) OVER (PARTITION BY site, role), 6) AS score FROM w WHERE rank <= 28)"""
+
+
+@register("role_components", sql(f"""
+    WITH {FINE}, r AS (SELECT site, lat, lon, {_ROLE} AS role FROM sites), {_PA}, {_QUERY_CELLS}, m AS ({_stencil_sql("fine", "q")}),
+    mk AS (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY score DESC, species) AS rank FROM m),
+    b AS (SELECT x, y, species, rank, score / max(score) OVER (PARTITION BY x, y) AS score, sum(score) OVER (PARTITION BY x, y) AS coverage FROM mk WHERE rank <= 28),
+    po AS (SELECT site, role, species, rank, round(score, 6) AS score, round(coverage, 5) AS coverage FROM a JOIN b ON floor(a.lat * 10)::BIGINT = b.x AND floor(a.lon * 10)::BIGINT = b.y)
+    SELECT a.site, a.role, round(d.km, 6) AS pa_km, c.source, c.species, c.rank::INT AS rank, c.score, c.coverage FROM a LEFT JOIN d USING (site, role)
+    LEFT JOIN (SELECT site, role, 'pa' AS source, species, rank, score, NULL::DOUBLE AS coverage FROM pa UNION ALL SELECT site, role, 'po', species, rank, score, coverage FROM po) c USING (site, role)""", "occurrences", "sites", "surveys", "pairs"))
+def role_components(spark: SparkSession, d: str) -> DataFrame:
+    """Spatial and occurrence candidates of every role in one search: distance to what the role may see, and coverage.
+
+    The role is a key of the spatial join: calibration and assessment see the fitting sites, production sees calibration too.
+    A site without any candidate has one row without species.
+    """
+    role = S.by_bucket(G.xor_partition(F.col("lat"), F.col("lon"), 1, 77, 100), [(70, 0), (80, 1), (90, 2), (100, 3)])
+    r = T.sites(spark, d).select("site", "lat", "lon", role.alias("role"))
+    asked = r.where("role > 0").withColumn("role", F.explode(F.when(F.col("role") == 3, F.array(F.lit(3), F.lit(4))).otherwise(F.array("role"))))
+    seen = F.array(*[F.struct(F.lit(b).alias("seen"), F.lit(a).alias("by")) for a, b in _SEES])
+    refs = r.select(F.col("site").alias("ref"), F.col("lat").alias("rlat"), F.col("lon").alias("rlon"), F.explode(F.transform(F.filter(seen, lambda s: s["seen"] == F.col("role")), lambda s: s["by"])).alias("role"))
+    near = written(P.nearest(asked, refs, 8, "ref", by=("role",)).select("site", "role", "ref", "km"), "near")
+    first = near.groupBy("site", "role").agg(F.min("km").alias("pa_km"))
+    votes = near.where("km <= 30").join(_site_labels(spark, d), "ref").groupBy("site", "role", "species").agg(F.round(F.sum(F.exp(-F.col("km") / 12)), 9).alias("s"), F.count("*").alias("n"))
+    mine = Window.partitionBy("site", "role")
+    pa = votes.join(first, ["site", "role"]).where("n >= 2 or pa_km <= 2").withColumn("rank", F.row_number().over(mine.orderBy(F.desc("s"), "species"))).where("rank <= 28")
+    pa = pa.select("site", "role", F.lit("pa").alias("source"), "species", "rank", F.round(F.col("s") / F.max("s").over(mine), 6).alias("score"), F.lit(None).cast("double").alias("coverage"))
+    cells = asked.select("site", "role", F.floor(F.col("lat") * 10).alias("x"), F.floor(F.col("lon") * 10).alias("y"))
+    best = P.best_of_cells(P.stencil(cells.select("x", "y").distinct(), _fine(spark, d)), 28)
+    po = cells.join(best, ["x", "y"]).select("site", "role", F.lit("po").alias("source"), "species", "rank", F.round("score", 6).alias("score"), F.round("coverage", 5).alias("coverage"))
+    return asked.select("site", "role").join(first, ["site", "role"], "left").join(pa.unionByName(po), ["site", "role"], "left")

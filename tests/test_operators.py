@@ -47,7 +47,7 @@ def test_nearest_is_brute_force(spark):
     left = spark.createDataFrame([(i, *p) for i, p in enumerate(a)], "l long, lat double, lon double")
     right = spark.createDataFrame([(i, *p) for i, p in enumerate(b)], "r long, rlat double, rlon double")
     got = {}
-    for x in P.nearest(left, right, 3, "l", "r").collect():
+    for x in P.nearest(left, right, 3, "r").collect():
         got.setdefault(x.l, []).append((x.km, x.r))
     for i, p in enumerate(a):
         assert sorted(got[i]) == sorted((km(p, q), j) for j, q in enumerate(b))[:3]
@@ -165,7 +165,7 @@ def test_nearest_vectors_are_brute_force(spark):
 def test_rows_without_coordinates_have_no_neighbours(spark):
     left = spark.createDataFrame([(1, 48.0, 2.0), (2, None, 2.0), (3, float("nan"), 1.0)], "site long, lat double, lon double")
     right = spark.createDataFrame([(9, 48.1, 2.0), (8, 48.0, None)], "ref long, rlat double, rlon double")
-    assert [(r.site, r.ref) for r in P.nearest(left, right, 3, "site", "ref").collect()] == [(1, 9)]
+    assert [(r.site, r.ref) for r in P.nearest(left, right, 3, "ref").collect()] == [(1, 9)]
 
 
 def test_set_editor_follows_the_list(spark):
