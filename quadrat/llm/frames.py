@@ -204,7 +204,8 @@ def read(spark: SparkSession, path: str, doc_ids: list[int] | None = None, with_
         asked = F.array(*[F.lit(int(i)) for i in wanted]) if len(wanted) else F.array().cast("array<bigint>")
         units = units.where(F.exists(asked, lambda i: (i >= F.col("first_id")) & (i <= F.col("last_id"))))
     units = units.select("name", "before", F.explode(F.sequence(F.lit(0), F.col("frames") - 1, F.lit(GROUP))).alias("frame"))
-    units = units.repartition(F.col("name"), F.col("frame"))
+    # A number of partitions, since the rows are few and small but not the work that each of them stands for.
+    units = units.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("name"), F.col("frame"))
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

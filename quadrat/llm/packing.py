@@ -37,12 +37,12 @@ class WordTable:
     The tokenizer cuts a text into words, encodes each word for itself and joins the ids, so a word met before need
     not be encoded again.  Keys are two independent 64-bit hashes of a word in an open-addressing table, so that two words
     share both with a chance of 1e-27 or less.  The table is emptied before it would hold more than ``most`` words or
-    ``most_ids`` ids (about 20 MB in all); one step's own words always fit.
+    ``most_ids`` ids (about 45 MB in all); one step's own words always fit.
     """
 
-    def __init__(self, encode, bits: int = 18):
+    def __init__(self, encode, bits: int = 20):
         self.encode, self.bits = encode, bits
-        self.most, self.most_ids = 1 << (bits - 1), 1 << (bits + 1)
+        self.most, self.most_ids = 1 << (bits - 1), 1 << (bits + 2)
         self.clear()
 
     def clear(self, words: int = 0) -> None:
