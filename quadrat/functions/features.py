@@ -62,7 +62,9 @@ def enhanced_vegetation(nir: Column, red: Column, blue: Column) -> Column:
 
 def stretched(rows: DataFrame, group: str, value: str, low: float, high: float) -> DataFrame:
     """The value between two percentiles of its group, as 0 to 1."""
-    q = rows.groupBy(group).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_q"))
+    from quadrat.operators.stats import quantiles
+
+    q = quantiles(rows.select(group, value), [group], value, [low, high]).withColumnRenamed("q", "_q")
     part = (F.col(value) - F.col("_q")[0]) / F.greatest(F.col("_q")[1] - F.col("_q")[0], F.lit(1e-6))
     return rows.join(q, group).withColumn(value, F.least(F.greatest(part, F.lit(0.0)), F.lit(1.0))).drop("_q")
 

@@ -7,32 +7,91 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrat.sources.shared import written
 
-def running_share(rows: DataFrame, key: str, weight: str, parts: int = 64) -> DataFrame:
-    """``rows`` with ``low`` and ``high``, the bounds of each key's share of the weight in key order.
 
-    Sums run within hash parts of keys; each part is moved on by the parts before it.
+#: Rows of a range.
+RANGE_ROWS = 1 << 20
+
+
+def ranged(rows: DataFrame, by: list[str], order: list[str], size: int | None = None) -> DataFrame:
+    """``rows`` sorted by ``by`` and ``order``, written in ranges of about ``size`` rows, with the range's number ``_part``.
+
+    The number of ranges follows the rows.  Rows that are equal in all these columns lie in one range: aggregate first.
     """
-    own = rows.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)))
-    inside = Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    sums = own.groupBy("_part").agg(F.sum(weight).alias("_mass"))
-    every = Window.orderBy("_part")  # one row a part
-    sums = sums.select("_part", (F.sum("_mass").over(every) - F.col("_mass")).alias("_before"), F.sum("_mass").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"))
-    out = own.withColumn("_upto", F.sum(weight).over(inside)).join(F.broadcast(sums), "_part")
-    high = (F.col("_before") + F.col("_upto")) / F.col("_all")
-    return out.withColumn("high", high).withColumn("low", high - F.col(weight) / F.col("_all")).drop("_part", "_upto", "_before", "_all")
+    own = written(rows, "rows")
+    parts = max(1, -(-own.count() // (size or RANGE_ROWS)))
+    keys = [F.col(c) for c in (*by, *order)]
+    return written(own.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()), "ranges")
+
+
+def running_sums(rows: DataFrame, by: list[str], order: list[str], weight: str, size: int | None = None) -> DataFrame:
+    """``rows`` with ``upto``, the sum of the weight of its ``by`` keys up to and with the row, and ``total``.
+
+    Two passes: sums within the ranges of ``ranged``, each moved on by the ranges before it, so no task sees a whole key.
+    """
+    table = ranged(rows, by, order, size)
+    inside = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    mine = Window.partitionBy(*by)  # one row a range
+    sums = table.groupBy(*by, "_part").agg(F.sum(weight).alias("_here"))
+    before = F.coalesce(F.sum("_here").over(mine.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*by, "_part", before.alias("_before"), F.sum("_here").over(mine).alias("total"))
+    own = table.withColumn("_upto", F.sum(weight).over(inside)).join(sums, [*by, "_part"])
+    return own.withColumn("upto", F.col("_before") + F.col("_upto")).drop("_part", "_upto", "_before")
+
+
+def numbered(rows: DataFrame, by: list[str], order: list[str], size: int | None = None) -> DataFrame:
+    """``rows`` with ``place``, from 0 in the order of its keys, and ``total``, the rows of these keys."""
+    return running_sums(rows.withColumn("_one", F.lit(1).cast("long")), by, order, "_one", size).withColumn("place", F.col("upto") - 1).drop("upto", "_one")
+
+
+def with_previous(rows: DataFrame, by: list[str], value: str, size: int | None = None) -> DataFrame:
+    """``rows`` with ``previous``, the value before it in the order of values of its keys, null for the first."""
+    table = ranged(rows, by, [value], size)
+    ends = table.groupBy(*by, "_part").agg(F.max(value).alias("_end"))
+    ends = ends.select(*by, "_part", F.lag("_end").over(Window.partitionBy(*by).orderBy("_part")).alias("_end"))  # one row a range
+    inside = F.lag(value).over(Window.partitionBy(*by, "_part").orderBy(value))
+    return table.withColumn("_lag", inside).join(ends, [*by, "_part"]).withColumn("previous", F.coalesce("_lag", "_end")).drop("_part", "_lag", "_end")
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, probabilities: list[float], size: int | None = None) -> DataFrame:
+    """by, q: exact quantiles of the values that are not null, linear between the two nearest in order.
+
+    Values are counted, and the running counts of their ranges tell which two values each quantile lies between; nothing
+    is gathered by key.  A key without values has no row.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    sums = running_sums(counts, by, [value], "_n", size)
+    covers = lambda rank: (rank >= F.col("upto") - F.col("_n")) & (rank < F.col("upto"))
+    places = [F.lit(float(p)) * (F.col("total") - 1) for p in probabilities]
+    picks = [f(F.when(covers(r(x)), F.col(value))).alias(f"_{n}{i}") for i, x in enumerate(places) for n, r, f in (("low", F.floor, F.max), ("high", F.ceil, F.max))]
+    found = sums.groupBy(*by).agg(F.any_value("total").alias("total"), *picks)
+    between = [F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * (x - F.floor(x)) for i, x in enumerate(places)]
+    exact = [F.when(F.col(f"_low{i}") == F.col(f"_high{i}"), F.col(f"_low{i}")).otherwise(x) for i, x in enumerate(between)]
+    return found.select(*by, F.array(*[x.cast("double") for x in exact]).alias("q"))
+
+
+def running_share(rows: DataFrame, key: str, weight: str, size: int | None = None) -> DataFrame:
+    """``rows`` with ``low`` and ``high``, the bounds of each key's share of the weight in key order; keys must differ."""
+    own = running_sums(rows, [], [key], weight, size)
+    return own.withColumn("high", F.col("upto") / F.col("total")).withColumn("low", (F.col("upto") - F.col(weight)) / F.col("total")).drop("upto", "total")
 
 
-def draw_weighted(rows: DataFrame, key: str, weight: str, draws: int, seed: int, parts: int = 1024) -> DataFrame:
+def draw_weighted(rows: DataFrame, key: str, weight: str, draws: int, seed: int, size: int | None = None) -> DataFrame:
     """``draws`` keys with replacement in proportion to weight, as (draw, key).
 
-    Uniforms are hashes of the draw; draws and shares meet in equal slices of [0, 1).
+    Uniforms are hashes of the draw; draws and shares meet in equal slices of [0, 1), of which there are as many as rows and
+    draws ask for, so that a slice holds a few hundred of either.
     """
-    shares = running_share(rows, key, weight)
-    wide = shares.withColumn("_slice", F.explode(F.sequence(F.floor(F.col("low") * parts).cast("int"), F.least(F.floor(F.col("high") * parts), F.lit(parts - 1)).cast("int"))))
+    shares = written(running_share(rows, key, weight, size), "shares")
+    parts = max(16, (shares.count() + draws) >> 8)
+    at = lambda x: F.least(F.floor(x * parts), F.lit(parts - 1)).cast("long")
+    wide = shares.withColumn("_slice", F.explode(F.sequence(at(F.col("low")), at(F.col("high")))))
     asked = rows.sparkSession.range(draws).select(F.col("id").alias("draw"), (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11) / float(1 << 53)).alias("u"))
-    asked = asked.withColumn("_slice", F.floor(F.col("u") * parts).cast("int"))
-    return asked.join(wide, "_slice").where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).select("draw", key)
+    asked = asked.withColumn("_slice", at(F.col("u")))
+    # The last share ends at 1, whatever the rounding of its sum.
+    inside = (F.col("u") >= F.col("low")) & ((F.col("u") < F.col("high")) | (F.col("high") >= 1))
+    return asked.join(wide, "_slice").where(inside).select("draw", key)
 
 
 def logit(p: Column) -> Column:

@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadrat.functions import geo as G
-from quadrat.functions.text import id_digest
+from quadrat.functions.text import little_endian
 from quadrat.operators import metrics as M
 from quadrat.operators import policy as Y
 from quadrat.operators import ranking as R
 from quadrat.operators import stats as Z
+from quadrat.operators.digests import ordered_digests
 from quadrat.plans.splits import BLOCK1
 from quadrat.registry import register
 from quadrat.sources import tables as T
+from quadrat.sources.shared import written
 from quadrat.sources.tables import sql
 
 _T = "t AS (SELECT survey, species, p, q, row_number() OVER (PARTITION BY survey ORDER BY p DESC, species) AS rank FROM scores)"
@@ -165,27 +167,32 @@ def ensemble_disagreement(spark: SparkSession, d: str) -> DataFrame:
 
 @register("quantile_descriptors", sql("SELECT country, round(quantile_cont(lat, 0.0), 6) AS q0, round(quantile_cont(lat, 0.25), 6) AS q25, round(quantile_cont(lat, 0.5), 6) AS q50, round(quantile_cont(lat, 0.75), 6) AS q75, round(quantile_cont(lat, 1.0), 6) AS q100 FROM sites GROUP BY 1", "sites"))
 def quantile_descriptors(spark: SparkSession, d: str) -> DataFrame:
-    # Values are counted first, so that a group's percentile sees each value once.
-    own = T.sites(spark, d).groupBy("country", "lat").agg(F.count("*").alias("n"))
-    q = own.groupBy("country").agg(F.percentile("lat", F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]), F.col("n")).alias("q"))
+    q = Z.quantiles(T.sites(spark, d), ["country"], "lat", [0.0, 0.25, 0.5, 0.75, 1.0])
     return q.select("country", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("q0", "q25", "q50", "q75", "q100"))])
 
 
-@register("id_digests", """
-    SELECT o_custkey AS site, sha256(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey)) AS text_digest, count(*) AS n FROM orders GROUP BY 1""")
+def _digest_sql(text: str, by: str, rows: str, order: str) -> str:
+    """SQL of digests of blocks of 1024 texts, and of the digests of 1024 blocks: enough for a million rows a key."""
+    return f"""a AS (SELECT {by} AS key, {text} AS t, row_number() OVER (PARTITION BY {by} ORDER BY {order}) - 1 AS place FROM {rows}),
+    b AS (SELECT key, place // 1024 AS place, sha256(string_agg(t, ',' ORDER BY place)) AS t, count(*) AS n FROM a GROUP BY key, place // 1024),
+    c AS (SELECT key, CASE WHEN count(*) = 1 THEN any_value(t) ELSE sha256(string_agg(t, ',' ORDER BY place)) END AS digest, sum(n)::BIGINT AS n FROM b GROUP BY key)"""
+
+
+@register("id_digests", f"WITH {_digest_sql('o_orderkey::VARCHAR', 'o_custkey', 'orders', 'o_orderkey')} SELECT key AS site, digest AS text_digest, n FROM c")
 def id_digests(spark: SparkSession, d: str) -> DataFrame:
-    ids = F.sort_array(F.collect_list("o_orderkey"))
-    g = T.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("site")).agg(ids.alias("ids"))
-    return g.select("site", F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), ","), 256).alias("text_digest"), F.size("ids").cast("long").alias("n"))
+    """Digest of each site's surveys in order, by blocks."""
+    o = T.table(spark, d, "orders").select(F.col("o_custkey").alias("site"), F.col("o_orderkey").alias("survey"))
+    return ordered_digests(o, ["site"], ["survey"], F.col("survey").cast("string")).select("site", F.col("digest").alias("text_digest"), "n")
 
 
 _LITTLE = " || ".join(f"substr(lpad(to_hex(o_orderkey), 16, '0'), {i}, 2)" for i in range(15, 0, -2))
 
 
-@register("binary_id_digests", f"SELECT o_custkey AS site, sha256(unhex(string_agg({_LITTLE}, '' ORDER BY o_orderkey))) AS digest FROM orders GROUP BY 1")
+@register("binary_id_digests", f"WITH {_digest_sql(_LITTLE, 'NULL', 'orders', 'o_orderkey')} SELECT digest, n FROM c")
 def binary_id_digests(spark: SparkSession, d: str) -> DataFrame:
-    g = T.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("site")).agg(F.sort_array(F.collect_list("o_orderkey")).alias("ids"))
-    return g.select("site", id_digest(F.col("ids")).alias("digest"))
+    """Digest of all surveys in order, as little-endian 64-bit numbers in hex, by blocks."""
+    o = T.table(spark, d, "orders").select(F.col("o_orderkey").alias("survey"))
+    return ordered_digests(o, [], ["survey"], little_endian(F.col("survey"))).select("digest", "n")
 
 
 _GAIN = f"""{_PER}, b6 AS (SELECT s.survey, {BLOCK1} AS block, f1 FROM per s), other AS (
@@ -237,8 +244,8 @@ def submission_validation(spark: SparkSession, d: str) -> DataFrame:
     WITH m AS (SELECT survey, avg(1 / sqrt(n)) AS m FROM pairs JOIN prevalence USING (species) GROUP BY 1), q AS (SELECT quantile_cont(m, 0.75) AS q FROM m), w AS (SELECT survey, 1 + least(greatest(m / q, 0), 4) AS w FROM m CROSS JOIN q)
     SELECT survey, round(w / (SELECT avg(w) FROM w), 6) AS weight FROM w""", "pairs", "prevalence"))
 def rarity_weights(spark: SparkSession, d: str) -> DataFrame:
-    m = T.pairs(spark, d).join(T.prevalence(spark, d), "species").groupBy("survey").agg(F.avg(1 / F.sqrt("n")).alias("m"))
-    w = m.join(F.broadcast(m.agg(F.percentile("m", 0.75).alias("q"))), F.lit(True)).select("survey", (1 + F.least(F.greatest(F.col("m") / F.col("q"), F.lit(0.0)), F.lit(4.0))).alias("w"))
+    m = written(T.pairs(spark, d).join(T.prevalence(spark, d), "species").groupBy("survey").agg(F.avg(1 / F.sqrt("n")).alias("m")), "means")
+    w = m.join(F.broadcast(Z.quantiles(m, [], "m", [0.75]).select(F.col("q")[0].alias("q"))), F.lit(True)).select("survey", (1 + F.least(F.greatest(F.col("m") / F.col("q"), F.lit(0.0)), F.lit(4.0))).alias("w"))
     return w.join(F.broadcast(w.agg(F.avg("w").alias("mean"))), F.lit(True)).select("survey", F.round(F.col("w") / F.col("mean"), 6).alias("weight"))
 
 
@@ -255,8 +262,7 @@ def country_weights(spark: SparkSession, d: str) -> DataFrame:
     SELECT species, round(least(greatest(sqrt((SELECT median(n) FROM prevalence) / n), 1), 6), 6) AS median_weight, round(least(greatest(pow(20 / n::DOUBLE, 0.25), 1), 3), 6) AS floor_weight FROM prevalence""", "prevalence"))
 def class_weights(spark: SparkSession, d: str) -> DataFrame:
     p = T.prevalence(spark, d)
-    sizes = p.groupBy("n").agg(F.count("*").alias("times"))  # few sizes, whatever the number of species
-    p = p.join(F.broadcast(sizes.agg(F.percentile("n", F.lit(0.5), F.col("times")).alias("m"))), F.lit(True))
+    p = p.join(F.broadcast(Z.quantiles(p, [], "n", [0.5]).select(F.col("q")[0].alias("m"))), F.lit(True))
     clip = lambda x, z: F.round(F.least(F.greatest(x, F.lit(1.0)), F.lit(z)), 6)
     return p.select("species", clip(F.sqrt(F.col("m") / F.col("n")), 6.0).alias("median_weight"), clip(F.pow(20 / F.col("n"), 0.25), 3.0).alias("floor_weight"))
 

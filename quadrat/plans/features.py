@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quadrat.functions import features as E
 from quadrat.functions import text as X
+from quadrat.operators.stats import quantiles
 from quadrat.registry import register
 from quadrat.sources import tables as T
 from quadrat.sources.tables import sql
@@ -54,9 +55,9 @@ def _series(spark: SparkSession, d: str) -> DataFrame:
     SELECT user_id, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS dev, min(value) AS low, max(value) AS high,
            round(quantile_cont(value, 0.1), 4) AS q10, round(quantile_cont(value, 0.5), 4) AS q50, round(quantile_cont(value, 0.9), 4) AS q90 FROM events GROUP BY 1""")
 def channel_summary(spark: SparkSession, d: str) -> DataFrame:
-    q = F.percentile("value", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    g = T.table(spark, d, "events").groupBy("user_id").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("dev"), F.min("value").alias("low"), F.max("value").alias("high"), q.alias("q"))
-    return g.select("user_id", F.round("mean", 4).alias("mean"), F.round("dev", 4).alias("dev"), "low", "high", *[F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("q10", "q50", "q90"))])
+    e = T.table(spark, d, "events").select("user_id", "value")
+    g = e.groupBy("user_id").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("dev"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return g.join(quantiles(e, ["user_id"], "value", [0.1, 0.5, 0.9]), "user_id").select("user_id", F.round("mean", 4).alias("mean"), F.round("dev", 4).alias("dev"), "low", "high", *[F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("q10", "q50", "q90"))])
 
 
 @register("binned_means", f"""

@@ -136,14 +136,15 @@ def rare_species_sets(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("delta_ids", """
-    WITH o AS (SELECT o_orderkey AS survey, o_custkey % 16 AS part FROM orders),
-    e AS (SELECT part, survey, survey - coalesce(lag(survey) OVER w, 0) AS delta FROM o WINDOW w AS (PARTITION BY part ORDER BY survey))
-    SELECT part, survey, delta, sum(delta) OVER (PARTITION BY part ORDER BY survey)::BIGINT AS decoded FROM e""")
+    WITH o AS (SELECT o_orderkey AS survey FROM orders), e AS (SELECT survey, survey - coalesce(lag(survey) OVER (ORDER BY survey), 0) AS delta FROM o)
+    SELECT survey, delta, sum(delta) OVER (ORDER BY survey)::BIGINT AS decoded FROM e""")
 def delta_ids(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("part").orderBy("survey")
-    o = T.table(spark, d, "orders").select(F.col("o_orderkey").alias("survey"), (F.col("o_custkey") % 16).alias("part"))
-    e = o.withColumn("delta", F.col("survey") - F.coalesce(F.lag("survey").over(w), F.lit(0)))
-    return e.select("part", "survey", "delta", F.sum("delta").over(w).alias("decoded"))
+    """The sorted ids as differences, and the ids that running sums of these give back."""
+    from quadrat.operators.stats import running_sums, with_previous
+
+    o = T.table(spark, d, "orders").select(F.col("o_orderkey").alias("survey"))
+    e = with_previous(o, [], "survey").withColumn("delta", F.col("survey") - F.coalesce("previous", F.lit(0)))
+    return running_sums(e.select("survey", "delta"), [], ["survey"], "delta").select("survey", "delta", F.col("upto").alias("decoded"))
 
 
 @register("raster_paths", """

@@ -66,8 +66,11 @@ def publish(candidate: DataFrame, current_digest: str | None, gate: DataFrame, p
     state = gate.first()
     if state is None or not all(v is True for v in state.asDict().values()):
         return "NO_SUBMISSION"
-    total, n = candidate.agg(F.sum(F.xxhash64("survey", "predictions").cast("decimal(38,0)")), F.count("*")).first()
-    digest = f"{total}:{n}"
+    from quadrat.operators.digests import ordered_digests
+
+    text = F.concat_ws(":", F.col("survey").cast("string"), F.coalesce(F.col("predictions").cast("string"), F.lit("")))
+    row = ordered_digests(candidate.select("survey", "predictions", *([order] if order not in ("survey", "predictions") else [])), [], list(dict.fromkeys([order, "survey", "predictions"])), text).first()
+    digest = f"{row['digest']}:{row['n']}" if row else ""
     if digest == current_digest:
         return "NO_SUBMISSION"
     write_submission(candidate, path, order)
