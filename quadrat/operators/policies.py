@@ -1,40 +1,10 @@
-"""Registered policy grids as tables, the application of a policy, and the robust choice among policies."""
+"""The application of cut policies, the robust choice among policies, checkpoints."""
 
 from __future__ import annotations
 
-from itertools import product
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The registered grids, as the fields over which each is a product.  A grid may begin with a control row.
-TOP_K = (1, 2, 4, 8, 10, 12, 14, 16, 18, 20, 22, 25, 30)
-THRESHOLDS = (0.05, 0.08, 0.10, 0.12, 0.15, 0.18, 0.22, 0.26, 0.30)
-MINIMUM_K = (1, 2, 4, 8, 12, 14, 16)
-GATES = ("uniform", "pa_distance", "pa_po", "pa_po_disagreement")
-ALPHAS = (0.0, 0.05, 0.1, 0.2, 0.3, 0.5)
-NEAR_FAR = ((20, 20), (18, 22), (20, 24), (22, 18), (16, 20))
-
-FIELDS = "grid string, place int, kind string, alpha double, gate string, k int, k_far int, threshold double, minimum_k int, maximum_k int, scale double, po_weight double, pa_weight double, swaps int, delta int, margin double"
-_ORDER = [f.split()[0] for f in FIELDS.split(", ")]
-
-
-def _rows(grid: str, rows: list[dict]) -> list[tuple]:
-    return [tuple({"grid": grid, "place": i, **r}.get(c) for c in _ORDER) for i, r in enumerate(rows)]
-
-
-def grids(spark: SparkSession) -> DataFrame:
-    """Every registered policy: grid, place within it, and its fields (null where a grid has no such field)."""
-    cut = [{"kind": "top_k", "k": k} for k in TOP_K] + [{"kind": "threshold_min_k", "threshold": t, "minimum_k": m, "maximum_k": 50} for t, m in product(THRESHOLDS, MINIMUM_K)]
-    blend = [{"kind": "blend", "scale": c, "po_weight": po, "pa_weight": pa} for c, po, pa in product((0.75, 0.9, 1.0, 1.15, 1.3), (0.0, 0.2, 0.4, 0.6), (0.0, 0.4, 0.8))]
-    gated = [{"kind": "gated", "alpha": a, "gate": g, "k": 20} for a, g in product(ALPHAS, ("uniform", "pa_distance"))]
-    transition = [{"kind": "gated", "alpha": a, "gate": g, "k": n, "k_far": f} for a, g, (n, f) in product(ALPHAS, GATES, NEAR_FAR) if g != "uniform" or n == f]
-    decode = [{"kind": "control", "alpha": 0.0}] + [{"kind": "decode", "alpha": a, "scale": c} for a, c in product((0.25, 0.5, 0.75, 1.0), (0.6, 0.8, 1.0))]
-    edits = [{"kind": "control", "swaps": 0, "delta": 0, "margin": 0.0}] + [{"kind": "edit", "swaps": s, "delta": c, "margin": m} for (s, c), m in product(((2, 0), (4, 0), (0, 1), (0, 2), (2, 2)), (0.0, 0.0005))]
-    every = [("cut", cut), ("blend", blend), ("gated", gated), ("transition", transition), ("decode", decode), ("edits", edits)]
-    return spark.createDataFrame([r for name, rows in every for r in _rows(name, rows)], FIELDS)
-
-
 def applied(ranking: DataFrame, policies: DataFrame, p: str = "p", most: int = 50) -> DataFrame:
     """survey, species, rank and the policy's columns: rankings (survey, species, rank, p) cut by each policy of ``policies``.
 
@@ -83,9 +53,13 @@ def robust_choice(each: DataFrame, control: int, fold: str, group: str, block: s
     return full.withColumn("robust", robust).withColumn("allowed", allowed).withColumn("choice", F.row_number().over(order))
 
 
-def checkpoint_score(each: DataFrame, group: str, outside: Column, least: int = 20) -> DataFrame:
-    """One row: .5 mean f1 + .25 mean over groups of at least ``least`` + .25 mean of the surveys ``outside``."""
-    pooled = each.agg(F.avg("f1").alias("pooled"), F.coalesce(F.avg(F.when(outside, F.col("f1"))), F.lit(0.0)).alias("outside"))
-    macro = each.groupBy(group).agg(F.avg("f1").alias("f1"), F.count("*").alias("n")).where(F.col("n") >= least).agg(F.coalesce(F.avg("f1"), F.lit(0.0)).alias("macro"))
+def checkpoint_score(each: DataFrame, group: str, outside: Column, least: int = 30) -> DataFrame:
+    """One row: .5 mean f1 + .25 mean over groups of at least ``least`` + .25 mean of the surveys ``outside``.
+
+    A part without groups or surveys is the mean of all.
+    """
+    pooled = each.agg(F.avg("f1").alias("pooled"), F.avg(F.when(outside, F.col("f1"))).alias("outside"))
+    macro = each.groupBy(group).agg(F.avg("f1").alias("f1"), F.count("*").alias("n")).where(F.col("n") >= least).agg(F.avg("f1").alias("macro"))
+    full = pooled.join(F.broadcast(macro), F.lit(True)).select("pooled", *[F.coalesce(c, "pooled").alias(c) for c in ("macro", "outside")])
     score = 0.5 * F.col("pooled") + 0.25 * F.col("macro") + 0.25 * F.col("outside")
-    return pooled.join(F.broadcast(macro), F.lit(True)).select("pooled", "macro", "outside", score.alias("score"))
+    return full.select("pooled", "macro", "outside", score.alias("score"))

@@ -52,6 +52,27 @@ def gate(state: DataFrame, conditions: dict[str, Column]) -> DataFrame:
     return state.select(*[c.alias(n) for n, c in safe.items()], every.alias("promoted"))
 
 
+def judged(metrics: DataFrame, rules: DataFrame) -> DataFrame:
+    """gate_set, gate, holds and promoted: every gate of the rules over a long table of metrics (level, name, metric, value).
+
+    A rule meets the rows of its metric and level in one join.  It holds if there are as many rows as it asks for (one at
+    least), all are numbers and all compare as it says; of a ``count >`` rule at least ``least`` rows do.  A metric that is
+    absent holds nothing.  A set promotes if all its gates hold.
+    """
+    value, bound = F.col("value"), F.col("bound")
+    number = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+    kinds = {">": value > bound, "count >": value > bound, ">=": value >= bound, "<=": value <= bound, "==": value == bound}
+    right = F.lit(False)
+    for kind, test in kinds.items():
+        right = F.when(F.col("comparison") == kind, number & test).otherwise(right)
+    met = F.broadcast(rules).join(metrics, ["metric", "level"], "left").withColumn("_right", F.coalesce(right, F.lit(False)))
+    sums = met.groupBy("gate_set", "gate", "comparison", "least").agg(F.count_if("_right").alias("_yes"), F.count_if(F.col("name").isNotNull()).alias("_rows"))
+    some = F.coalesce("least", F.lit(1))
+    holds = F.when(F.col("comparison") == "count >", F.col("_yes") >= some).otherwise((F.col("_yes") == F.col("_rows")) & (F.col("_rows") >= some))
+    own = Window.partitionBy("gate_set")  # a row a gate
+    return sums.select("gate_set", "gate", holds.alias("holds")).withColumn("promoted", F.min("holds").over(own))
+
+
 def registered(policies: DataFrame, grid: DataFrame, columns: list[str]) -> DataFrame:
     """``policies`` if all of them stand in the grid, else an error."""
     foreign = policies.join(grid, columns, "left_anti").count()

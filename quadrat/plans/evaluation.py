@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quadrat.functions import geo as G
 from quadrat.functions.text import little_endian
+from quadrat.operators import grids
 from quadrat.operators import metrics as M
 from quadrat.operators import policy as Y
 from quadrat.operators import ranking as R
@@ -280,3 +281,49 @@ def tie_parity(spark: SparkSession, d: str) -> DataFrame:
 def epoch_transfer(spark: SparkSession, d: str) -> DataFrame:
     n = T.table(spark, d, "nation").join(T.table(spark, d, "customer"), F.col("c_nationkey") == F.col("n_nationkey"))
     return n.groupBy(F.col("n_regionkey").alias("region")).agg(F.rint(F.median("n_nationkey")).cast("int").alias("epoch"))
+
+
+_CORE = "('NATION_0', 'NATION_1', 'NATION_2')"
+_LONG = f"""{_GAIN}, gains AS (SELECT s.survey, s.country, s.survey % 2 AS fold, o.f1 - b.f1 AS gain FROM per b JOIN surveys s USING (survey) JOIN other o ON o.survey = s.survey),
+    b500 AS (SELECT *, row_number() OVER (ORDER BY block) - 1 AS place, count(*) OVER () AS size FROM blocks),
+    d500 AS (SELECT i, ((i * 7919 + place * 104729 + 5 * 15485863) * 2654435761 % 4294967296) % size AS place FROM b500 CROSS JOIN generate_series(0, 499) AS g(i)),
+    low AS (SELECT round(quantile_cont(mean, 0.025), 6) AS low FROM (SELECT i, sum(total) / sum(n) AS mean FROM d500 d JOIN b500 p ON p.place = d.place GROUP BY 1)),
+    countries AS (SELECT country, count(*) AS n, avg(gain) AS gain FROM gains GROUP BY 1),
+    swaps AS (SELECT survey, count(*) AS n FROM (SELECT survey, species FROM (SELECT survey, species, row_number() OVER (PARTITION BY survey ORDER BY q DESC, species) AS r FROM scores) WHERE r <= 6) ANTI JOIN pred USING (survey, species) GROUP BY 1),
+    metrics(level, name, metric, value) AS (
+        SELECT 'all', 'all', 'gain', avg(gain) FROM gains UNION ALL SELECT 'all', 'all', 'ci_low', low FROM low UNION ALL SELECT 'all', 'all', 'blocks', count(*) FROM blocks
+        UNION ALL SELECT 'all', 'all', 'iterations', 500 UNION ALL SELECT 'fold', fold::VARCHAR, 'gain', avg(gain) FROM gains GROUP BY fold
+        UNION ALL SELECT 'country_' || k, country, 'gain', gain FROM countries, (VALUES (100), (200)) AS t(k) WHERE n >= k UNION ALL SELECT 'country_30', 'all', 'macro_gain', avg(gain) FROM countries WHERE n >= 30
+        UNION ALL SELECT 'outside', 'all', 'gain', avg(gain) FROM gains WHERE country NOT IN {_CORE} UNION ALL SELECT 'outside', 'all', 'rows', count(*) FROM gains WHERE country NOT IN {_CORE}
+        UNION ALL SELECT 'all', 'all', 'length_changed', 0 UNION ALL SELECT 'all', 'all', 'most_swaps', max(n) FROM swaps)"""
+_RULE_ROWS = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else repr(v) for v in r) + ")" for r in grids.gate_rows())
+
+
+@register("gate_sets", sql(f"""
+    WITH {_LONG}, rules(gate_set, gate, metric, level, comparison, bound, least) AS (VALUES {_RULE_ROWS}),
+    met AS (SELECT r.*, m.name, coalesce(isfinite(value) AND CASE comparison WHEN '>=' THEN value >= bound WHEN '<=' THEN value <= bound WHEN '==' THEN value = bound ELSE value > bound END, false) AS yes FROM rules r LEFT JOIN (SELECT level, name, metric, value::DOUBLE AS value FROM metrics) m USING (metric, level)),
+    held AS (SELECT gate_set, gate, CASE WHEN any_value(comparison) = 'count >' THEN count_if(yes) >= coalesce(any_value(least), 1) ELSE count_if(yes) = count(name) AND count(name) >= coalesce(any_value(least), 1) END AS holds FROM met GROUP BY ALL)
+    SELECT gate_set, gate, holds, bool_and(holds) OVER (PARTITION BY gate_set) AS promoted FROM held""", "scores", "pairs", "surveys"))
+def gate_sets(spark: SparkSession, d: str) -> DataFrame:
+    """The seven registered gate sets over one long table of metrics; what the frame does not have (such as buffers) fails."""
+    blocks = written(_block_gains(spark, d), "gains")
+    mine = _per(spark, d).select("survey", "country", (F.col("survey") % 2).alias("fold"), "f1")
+    other = M.survey_f1(T.surveys(spark, d), T.pairs(spark, d), _pred(spark, d, "q")).select("survey", F.col("f1").alias("other"))
+    gains = written(mine.join(other, "survey").withColumn("gain", F.col("other") - F.col("f1")), "gains")
+    row = lambda level, name, metric, value: F.struct(F.lit(level).alias("level"), name.cast("string").alias("name"), F.lit(metric).alias("metric"), value.cast("double").alias("value"))
+    one, outside = F.lit("all"), ~F.col("country").isin("NATION_0", "NATION_1", "NATION_2")
+    countries = gains.groupBy("country").agg(F.avg("gain").alias("gain"), F.count("*").alias("n"))
+    new = _pred(spark, d, "q").join(_pred(spark, d, "p"), ["survey", "species"], "left_anti").groupBy("survey").agg(F.count("*").alias("n"))
+    parts = [
+        gains.agg(F.avg("gain").alias("g"), F.avg(F.when(outside, F.col("gain"))).alias("o"), F.count_if(outside).alias("n")).select(F.explode(F.array(row("all", one, "gain", F.col("g")), row("outside", one, "gain", F.col("o")), row("outside", one, "rows", F.col("n")), row("all", one, "iterations", F.lit(500)), row("all", one, "length_changed", F.lit(0)))).alias("m")),
+        M.block_bootstrap(blocks, 500, 5).select(row("all", one, "ci_low", F.col("low")).alias("m")),
+        blocks.agg(F.count("*").alias("n")).select(row("all", one, "blocks", F.col("n")).alias("m")),
+        gains.groupBy("fold").agg(F.avg("gain").alias("gain")).select(row("fold", F.col("fold"), "gain", F.col("gain")).alias("m")),
+        *[countries.where(F.col("n") >= k).select(row(f"country_{k}", F.col("country"), "gain", F.col("gain")).alias("m")) for k in (100, 200)],
+        countries.where("n >= 30").agg(F.avg("gain").alias("gain")).select(row("country_30", one, "macro_gain", F.col("gain")).alias("m")),
+        new.agg(F.max("n").alias("n")).select(row("all", one, "most_swaps", F.col("n")).alias("m")),
+    ]
+    metrics = parts[0]
+    for p in parts[1:]:
+        metrics = metrics.unionByName(p)
+    return Y.judged(metrics.select("m.*"), grids.gate_table(spark))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadrat.functions import geo as G
+from quadrat.operators import grids
 from quadrat.operators import metrics as M
 from quadrat.operators import policies as Y
 from quadrat.operators import ranking as R
@@ -17,8 +18,8 @@ from quadrat.sources import tables as T
 from quadrat.sources.shared import written
 from quadrat.sources.tables import sql
 
-_CUTS = f"""cuts AS (SELECT i - 1 AS place, 'top_k' AS kind, k, NULL::DOUBLE AS threshold, NULL::INT AS minimum_k FROM (SELECT unnest({list(Y.TOP_K)}) AS k, generate_subscripts({list(Y.TOP_K)}, 1) AS i)
-    UNION ALL SELECT 12 + (i - 1) * 7 + j, 'threshold_min_k', NULL, t, m FROM (SELECT unnest({list(Y.THRESHOLDS)}::DOUBLE[]) AS t, generate_subscripts({list(Y.THRESHOLDS)}, 1) AS i) CROSS JOIN (SELECT unnest({list(Y.MINIMUM_K)}) AS m, generate_subscripts({list(Y.MINIMUM_K)}, 1) AS j))"""
+_CUTS = f"""cuts AS (SELECT i - 1 AS place, 'top_k' AS kind, k, NULL::DOUBLE AS threshold, NULL::INT AS minimum_k FROM (SELECT unnest({list(grids.TOP_K)}) AS k, generate_subscripts({list(grids.TOP_K)}, 1) AS i)
+    UNION ALL SELECT 12 + (i - 1) * 7 + j, 'threshold_min_k', NULL, t, m FROM (SELECT unnest({list(grids.THRESHOLDS)}::DOUBLE[]) AS t, generate_subscripts({list(grids.THRESHOLDS)}, 1) AS i) CROSS JOIN (SELECT unnest({list(grids.MINIMUM_K)}) AS m, generate_subscripts({list(grids.MINIMUM_K)}, 1) AS j))"""
 _EACH = f"""{_T}, {_CUTS}, l AS (SELECT survey, list(p ORDER BY rank) AS ps, list(h ORDER BY rank) AS hs FROM (SELECT t.survey, t.rank, t.p, sum((y.species IS NOT NULL)::INT) OVER (PARTITION BY t.survey ORDER BY t.rank) AS h FROM t LEFT JOIN pairs y USING (survey, species) WHERE rank <= 50) GROUP BY 1),
     n AS (SELECT survey, place, hs, least(CASE WHEN kind = 'top_k' THEN k ELSE greatest(minimum_k, least(len(list_filter(ps, lambda x: x >= threshold)), 50)) END, len(ps)) AS n FROM l CROSS JOIN cuts),
     c AS (SELECT survey, count(*) AS truth FROM pairs GROUP BY 1),
@@ -26,7 +27,7 @@ _EACH = f"""{_T}, {_CUTS}, l AS (SELECT survey, list(p ORDER BY rank) AS ps, lis
 
 
 def _cuts(spark: SparkSession) -> DataFrame:
-    return Y.grids(spark).where("grid = 'cut'").select("place", "kind", "k", "threshold", "minimum_k", "maximum_k")
+    return grids.table(spark, "cut").select("place", "kind", "k", "threshold", "minimum_k", "maximum_k")
 
 
 def _each(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +68,8 @@ _CHECK = f"""{_T}, c AS (SELECT survey, count(*) AS truth FROM pairs GROUP BY 1)
 
 
 @register("checkpoint_score", sql(f"""
-    WITH {_CHECK}, m AS (SELECT avg(f1) AS macro FROM (SELECT country, avg(f1) AS f1 FROM e GROUP BY 1 HAVING count(*) >= 20)), o AS (SELECT avg(f1) AS pooled, coalesce(avg(f1) FILTER (country NOT IN ('NATION_0', 'NATION_1', 'NATION_2')), 0) AS outside FROM e)
+    WITH {_CHECK}, o AS (SELECT avg(f1) AS pooled, coalesce(avg(f1) FILTER (country NOT IN ('NATION_0', 'NATION_1', 'NATION_2')), avg(f1)) AS outside FROM e),
+    m AS (SELECT coalesce(avg(f1), (SELECT pooled FROM o)) AS macro FROM (SELECT country, avg(f1) AS f1 FROM e GROUP BY 1 HAVING count(*) >= 30))
     SELECT round(pooled, 6) AS pooled, round(macro, 6) AS macro, round(outside, 6) AS outside, round(0.5 * pooled + 0.25 * macro + 0.25 * outside, 6) AS score FROM o CROSS JOIN m""", "scores", "pairs", "surveys"))
 def checkpoint_score(spark: SparkSession, d: str) -> DataFrame:
     """Mean F1 at 12, 18, 24 and 30: half pooled, a quarter over countries, a quarter outside the core."""

@@ -45,7 +45,7 @@ def sql(body: str, *names: str) -> str:
 
     for name in names:
         add(name)
-    head = ", ".join(f"{n} AS ({CTE[n]})" for n in order)
+    head = ", ".join(f"{n} AS MATERIALIZED ({CTE[n]})" for n in order)
     text = body.strip()
     return f"WITH {head}, {text[4:].lstrip()}" if text[:4].upper() == "WITH" else f"WITH {head} {text}"
 
