@@ -2,7 +2,9 @@
 
 Writing: each task takes Arrow batches and puts their payloads, as 8-bit greyscale PNG images of width 576, into an archive file of its own
 and closes it with a directory (one fixed-size record a member: offset, length, key).  The driver gets one file name a
-task and commits them in a manifest, so files of lost or repeated attempts are never read.
+task and commits them in a manifest of that write, which gets its name when it is whole; readers read the archives that
+manifests name, so files of lost or repeated attempts are never read.  Appending adds a manifest; overwriting adds one that
+hides those before it and then removes them with their archives; a job that fails removes all that its tasks wrote.
 
 Reading: partitions are byte ranges over the committed archives, planned from file sizes alone.  A task reads the
 records of its archive's directory that begin in its range, fetches neighbouring members in one read of bounded bytes
@@ -31,6 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from quadrat.llm.shared import opened
+
 WIDTH = 576
 PAD = b"\xff"
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -39,6 +43,7 @@ RECORD = struct.Struct("<qqqqI")  # offset, stored length, unpadded length, key,
 NULL_KEY = -(1 << 63)
 TAIL = struct.Struct("<qq8s")  # where the directory begins, number of records, mark
 MARK = b"QDRARCH1"
+MANIFESTS = "_manifests"
 BATCH_BYTES = 4 << 20
 #: Bytes of neighbouring members that one read fetches, records of a directory that one read fetches, and the first pause in seconds.
 READ_BYTES, RECORDS, PAUSE = 1 << 20, 1024, 0.1
@@ -96,10 +101,6 @@ def feature(payload: bytes) -> str:
     return f"mean={mean:.4f};dev={dev:.4f};entropy={float(-(p * np.log2(p)).sum()):.4f};cross={crossings:.5f}"
 
 
-def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}" if path.startswith("/") else path.replace(":/", ":///", 1))
-
-
 @dataclass
 class Written(WriterCommitMessage):
     name: str
@@ -107,14 +108,25 @@ class Written(WriterCommitMessage):
     members: int
 
 
+def _manifests(store, root: str) -> list[tuple[int, str, dict]]:
+    """(number, path, content) of the manifests that count, in order: those from the last overwrite on."""
+    found = store.get_file_info(pafs.FileSelector(f"{root}/{MANIFESTS}", allow_not_found=True))
+    out = []
+    for f in sorted((f for f in found if f.base_name.endswith(".json")), key=lambda f: f.base_name):
+        with store.open_input_stream(f.path) as stream:
+            out.append((int(f.base_name.partition("-")[0]), f.path, json.loads(stream.read())))
+    first = max((number for number, _, m in out if m["overwrite"]), default=0)
+    return [x for x in out if x[0] >= first]
+
+
 class ArchiveWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool = False):
+        self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
 
     def write(self, iterator) -> Written:
-        store, root = _open(self.path)
+        store, root = opened(self.path)
         store.create_dir(root, recursive=True)
-        name = f"part-{uuid.uuid4().hex}.arc"
+        name = f"part-{self.job}-{uuid.uuid4().hex}.arc"
         at, records = 0, []
         with store.open_output_stream(f"{root}/{name}") as out:
             for batch in iterator:
@@ -129,17 +141,25 @@ class ArchiveWriter(DataSourceArrowWriter):
         return Written(name, at + len(records) * RECORD.size + TAIL.size, len(records))
 
     def commit(self, messages) -> None:
-        store, root = _open(self.path)
-        store.create_dir(root, recursive=True)
+        store, root = opened(self.path)
+        store.create_dir(f"{root}/{MANIFESTS}", recursive=True)
+        old = _manifests(store, root)
         files = sorted(([m.name, m.size, m.members] for m in messages if m is not None), key=lambda x: x[0])
-        with store.open_output_stream(f"{root}/_manifest") as out:
-            out.write(json.dumps(files).encode())
+        name = f"{root}/{MANIFESTS}/{max((x[0] for x in old), default=0) + 1:012d}-{self.job}"
+        with store.open_output_stream(f"{name}.part", compression=None) as out:
+            out.write(json.dumps({"overwrite": self.overwrite, "files": files}).encode())
+        store.move(f"{name}.part", f"{name}.json")
+        for _, path, m in old if self.overwrite else []:
+            store.delete_file(path)
+            for archive, _, _ in m["files"]:
+                store.delete_file(f"{root}/{archive}")
 
     def abort(self, messages) -> None:
-        store, root = _open(self.path)
-        for m in messages:
-            if m is not None:
-                store.delete_file(f"{root}/{m.name}")
+        """Remove the archives of this job, of attempts that did not report too."""
+        store, root = opened(self.path)
+        for f in store.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+            if f.base_name.startswith(f"part-{self.job}-"):
+                store.delete_file(f.path)
 
 
 @dataclass
@@ -154,15 +174,13 @@ class ArchiveReader(DataSourceReader):
         self.path, self.split_bytes, self.tries = path, split_bytes, tries
 
     def partitions(self) -> list[Range]:
-        store, root = _open(self.path)
-        with store.open_input_stream(f"{root}/_manifest") as f:
-            files = json.loads(f.read())
+        files = [f for _, _, m in _manifests(*opened(self.path)) for f in m["files"]]
         return [Range(n, a, min(size, a + self.split_bytes)) for n, size, k in files if k for a in range(0, size, self.split_bytes)] or [Range("", 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if not partition.name:
             return
-        store, root = _open(self.path)
+        store, root = opened(self.path)
         place = f"{root}/{partition.name}"
         with store.open_input_file(place) as handle:
             begin, n, mark = TAIL.unpack(handle.read_at(TAIL.size, handle.size() - TAIL.size))
@@ -249,13 +267,13 @@ class MediaArchive(DataSource):
         return ArchiveReader(self.options["path"], int(self.options.get("split_bytes", 16 << 20)), int(self.options.get("tries", 3)))
 
     def writer(self, schema, overwrite: bool) -> ArchiveWriter:
-        return ArchiveWriter(self.options["path"])
+        return ArchiveWriter(self.options["path"], overwrite)
 
 
-def store_media(docs: DataFrame, path: str) -> None:
-    """Write the UTF-8 bytes of every text into archives under ``path``."""
+def store_media(docs: DataFrame, path: str, mode: str = "append") -> None:
+    """Write the UTF-8 bytes of every text into archives under ``path``, beside those there or (overwrite) in their place."""
     docs.sparkSession.dataSource.register(MediaArchive)
-    docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("data")).write.format("quadrat_media").mode("append").save(path)
+    docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("data")).write.format("quadrat_media").mode(mode).save(path)
 
 
 def read_media(spark: SparkSession, path: str, split_bytes: int = 16 << 20) -> DataFrame:

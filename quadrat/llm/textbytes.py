@@ -6,7 +6,9 @@ without making a Python object per row or word.  Nothing here knows about Spark,
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +62,27 @@ def steps(column: pa.Array | pa.ChunkedArray, limit: int = STEP_BYTES) -> Iterat
         row = last
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    """The C library's call that gives free memory back, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give back what freed batches and arrays have left with the allocators: a reused worker would keep it for other stages."""
+    pa.default_memory_pool().release_unused()
+    if _trim() is not None:
+        _trim()(0)
+
+
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after the last one memory is given back."""
+    for batch in batches:
+        yield batch
+        batch = None
+    release()
+
+
 def lowered(raw: np.ndarray) -> np.ndarray:
     """Lower case of ASCII and of the two-byte letters U+00C0 to U+00DE; other bytes as they are."""
     low = LOWER[raw]
