@@ -42,28 +42,34 @@ def summary(surveys: DataFrame, vocabulary: DataFrame, truth: DataFrame, predict
 
 
 def frequency_baseline(pairs: DataFrame, in_train: Column) -> DataFrame:
-    """Predict the k most frequent training species for every validation survey; k is the mean training cardinality."""
+    """Predict the k most frequent training species for every validation survey; k is the mean training cardinality.
+
+    One row of counts and scores.  Macro F1 is the mean over species that validation surveys have; those that are not
+    predicted count as 0.
+    """
     train, valid = pairs.where(in_train), pairs.where(~in_train)
     sizes = train.groupBy("survey").agg(F.count("*").alias("n"))
-    k = sizes.agg(F.greatest(F.rint(F.avg("n")), F.lit(1.0)).cast("int").alias("k"), F.count("*").alias("train_surveys"))
-    wanted = k.first()["k"] or 1
-    top = train.groupBy("species").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "species").limit(wanted).select("species", F.lit(1).alias("hit"))
-    marked = valid.join(top, "species", "left")
-    per = marked.groupBy("survey").agg(F.count("*").alias("truth"), F.count("hit").alias("hits"))
-    size = top.agg(F.count("*").alias("size"))
-    report = per.join(F.broadcast(size), F.lit(True)).agg(
-        F.count("*").alias("validation_surveys"), F.sum("truth").alias("truth"), F.sum("hits").alias("hits"), F.sum("size").alias("predicted"),
-        F.avg(2 * F.col("hits") / (F.col("truth") + F.col("size"))).alias("f1"),
+    frequency = train.groupBy("species").agg(F.count("*").alias("n"))
+    k = sizes.agg(F.avg("n").alias("train_mean_labels"), F.count("*").alias("train_surveys")).join(F.broadcast(frequency.agg(F.count("*").alias("train_species"))), F.lit(True))
+    k = k.withColumn("k", F.least(F.greatest(F.rint("train_mean_labels"), F.lit(1.0)), "train_species").cast("int"))
+    wanted = k.first()["k"] or 0
+    top = frequency.orderBy(F.desc("n"), "species").limit(wanted).select("species", F.lit(1).alias("hit"))
+    per = valid.join(top, "species", "left").groupBy("survey").agg(F.count("*").alias("truth"), F.count("hit").alias("hits"))
+    report = per.agg(
+        F.count("*").alias("validation_surveys"), F.sum("truth").alias("actual"), F.sum("hits").alias("hits"),
+        F.avg(2 * F.col("hits") / F.greatest(F.col("truth") + F.lit(wanted), F.lit(1))).alias("sample_f1"),
+    )
+    seen = valid.groupBy("species").agg(F.count("*").alias("n")).join(top, "species", "left").join(frequency.select("species", F.lit(1).alias("known")), "species", "left")
+    macro = seen.join(F.broadcast(report.select("validation_surveys")), F.lit(True)).agg(
+        F.count("*").alias("validation_species"), F.count_if(F.col("known").isNull()).alias("unseen_species"),
+        F.avg(F.when(F.col("hit") == 1, 2 * F.col("n") / (F.col("validation_surveys") + F.col("n"))).otherwise(0.0)).alias("macro_f1"),
     )
-    found = top.join(valid.groupBy("species").agg(F.count("*").alias("tp")), "species", "left").na.fill(0, ["tp"])
-    found = found.join(F.broadcast(report.select("validation_surveys")), F.lit(True))
-    macro = found.agg(F.sum(2 * F.col("tp") / F.greatest(F.col("tp") + F.col("validation_surveys"), F.lit(1))).alias("total"))
-    species = pairs.agg(F.count_distinct("species").alias("species"))
-    out = report.join(F.broadcast(k), F.lit(True)).join(F.broadcast(macro), F.lit(True)).join(F.broadcast(species), F.lit(True))
+    out = report.join(F.broadcast(k), F.lit(True)).join(F.broadcast(macro), F.lit(True)).withColumn("predicted", F.col("validation_surveys") * F.col("k"))
+    over = lambda a, b: F.round(a / F.greatest(b, F.lit(1)), 6)
     return out.select(
-        "train_surveys", "validation_surveys", "k", "truth", "predicted", "hits", F.round("f1", 6).alias("sample_f1"),
-        F.round(2 * F.col("hits") / F.greatest(F.col("truth") + F.col("predicted"), F.lit(1)), 6).alias("micro_f1"),
-        F.round(F.col("total") / F.col("species"), 6).alias("macro_f1"),
+        "train_surveys", "validation_surveys", "train_species", "validation_species", "unseen_species", F.round("train_mean_labels", 6).alias("train_mean_labels"), "k",
+        over(2 * F.col("hits"), F.col("predicted") + F.col("actual")).alias("micro_f1"), F.round("sample_f1", 6).alias("sample_f1"), F.round("macro_f1", 6).alias("macro_f1"),
+        over(F.col("hits"), F.col("predicted")).alias("precision"), over(F.col("hits"), F.col("actual")).alias("recall"), "hits", "predicted", "actual",
     )
 
 
@@ -76,22 +82,23 @@ def oracle_counts(ranked: DataFrame, low: int, high: int) -> DataFrame:
     return hits.groupBy("survey").agg(best).select("survey", (-F.col("best.minus")).alias("k"), F.col("best.f1").alias("f1"))
 
 
-def block_bootstrap(blocks: DataFrame, iterations: int, seed: int) -> DataFrame:
+def block_bootstrap(blocks: DataFrame, iterations: int, seed: int, digits: int | None = 6) -> DataFrame:
     """Mean gain and its 95 % interval, drawing blocks (block, total, n) with replacement by a hash of draw and place.
 
     ``blocks`` is an aggregate with a row for each block, written once; what grows is draws x blocks, summed before
     anything is gathered.
     """
     from quadrat.operators.labels import dense_index
+    from quadrat.operators.stats import draw_place
     from quadrat.sources.shared import written
 
     blocks = written(blocks, "blocks")
     placed = written(blocks.join(dense_index(blocks, "block", "place"), "block"), "placed")
     size = blocks.agg(F.count("*").alias("size"))
     slots = placed.select("place").join(F.broadcast(size), F.lit(True)).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    mixed = (F.col("draw") * 7919 + F.col("place") * 104729 + seed * 15485863) * 2654435761 % 4294967296
-    drawn = slots.select("draw", (mixed % F.col("size")).alias("place")).join(placed, "place")
+    drawn = slots.select("draw", draw_place(F.col("draw").cast("long"), F.col("place"), seed, F.col("size")).alias("place")).join(placed, "place")
     means = drawn.groupBy("draw").agg((F.sum("total") / F.sum("n")).alias("mean"))
     low_high = means.agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     whole = blocks.agg((F.sum("total") / F.sum("n")).alias("mean"))
-    return whole.join(F.broadcast(low_high), F.lit(True)).select(F.round("mean", 6).alias("mean"), F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high"))
+    kept = lambda c: F.round(c, digits) if digits is not None else c
+    return whole.join(F.broadcast(low_high), F.lit(True)).select(kept(F.col("mean")).alias("mean"), kept(F.col("q")[0]).alias("low"), kept(F.col("q")[1]).alias("high"))

@@ -10,6 +10,35 @@ from pyspark.sql import functions as F
 from quadrat.sources.shared import written
 
 
+def mixed32(value: Column) -> Column:
+    """A hash of whole numbers to 32 bits in which neighbours have nothing in common; any engine's longs can hold the products."""
+    x = value % (1 << 32)
+    for shift, factor in MIXES:
+        x = x.bitwiseXOR(F.shiftright(x, shift)) * factor % (1 << 32)
+    return x.bitwiseXOR(F.shiftright(x, 16))
+
+
+# Shifts and odd factors below 2^31 of the hash.
+MIXES = ((16, 1540483477), (13, 1103515245))
+
+
+def mixed32_sql(value: str) -> str:
+    """The same as SQL."""
+    x = f"(({value}) % 4294967296)"
+    for shift, factor in MIXES:
+        x = f"(xor({x}, {x} >> {shift}) * {factor} % 4294967296)"
+    return f"xor({x}, {x} >> 16)"
+
+
+def draw_place(draw: Column, place: Column, seed: int, size: Column) -> Column:
+    """The place in 0..size-1 that a slot of a draw takes."""
+    return mixed32(draw * 7919 + place * 104729 + seed * 15485863) % size
+
+
+def draw_place_sql(draw: str, place: str, seed: int, size: str) -> str:
+    return f"{mixed32_sql(f'{draw}::BIGINT * 7919 + {place} * 104729 + {seed} * 15485863')} % {size}"
+
+
 #: Rows of a range.
 RANGE_ROWS = 1 << 20
 

@@ -13,6 +13,7 @@ from quadrat.operators import policy as Y
 from quadrat.operators import ranking as R
 from quadrat.operators import stats as Z
 from quadrat.operators.digests import ordered_digests
+from quadrat.operators.stats import draw_place_sql
 from quadrat.plans.splits import BLOCK1
 from quadrat.registry import register
 from quadrat.sources import tables as T
@@ -215,7 +216,7 @@ def block_gains(spark: SparkSession, d: str) -> DataFrame:
 
 @register("block_bootstrap", sql(f"""
     WITH {_GAIN}, placed AS (SELECT *, row_number() OVER (ORDER BY block) - 1 AS place, count(*) OVER () AS size FROM blocks),
-    drawn AS (SELECT i, ((i * 7919 + place * 104729 + 5 * 15485863) * 2654435761 % 4294967296) % size AS place FROM placed CROSS JOIN generate_series(0, 199) AS g(i)),
+    drawn AS (SELECT i, {draw_place_sql("i", "place", 5, "size")} AS place FROM placed CROSS JOIN generate_series(0, 199) AS g(i)),
     means AS (SELECT i, sum(total) / sum(n) AS mean FROM drawn d JOIN placed p ON p.place = d.place GROUP BY 1)
     SELECT round((SELECT sum(total) / sum(n) FROM blocks), 6) AS mean, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM means""", "scores", "pairs", "surveys"))
 def block_bootstrap(spark: SparkSession, d: str) -> DataFrame:
@@ -286,7 +287,7 @@ def epoch_transfer(spark: SparkSession, d: str) -> DataFrame:
 _CORE = "('NATION_0', 'NATION_1', 'NATION_2')"
 _LONG = f"""{_GAIN}, gains AS (SELECT s.survey, s.country, s.survey % 2 AS fold, o.f1 - b.f1 AS gain FROM per b JOIN surveys s USING (survey) JOIN other o ON o.survey = s.survey),
     b500 AS (SELECT *, row_number() OVER (ORDER BY block) - 1 AS place, count(*) OVER () AS size FROM blocks),
-    d500 AS (SELECT i, ((i * 7919 + place * 104729 + 5 * 15485863) * 2654435761 % 4294967296) % size AS place FROM b500 CROSS JOIN generate_series(0, 499) AS g(i)),
+    d500 AS (SELECT i, {draw_place_sql("i", "place", 5, "size")} AS place FROM b500 CROSS JOIN generate_series(0, 499) AS g(i)),
     low AS (SELECT round(quantile_cont(mean, 0.025), 6) AS low FROM (SELECT i, sum(total) / sum(n) AS mean FROM d500 d JOIN b500 p ON p.place = d.place GROUP BY 1)),
     countries AS (SELECT country, count(*) AS n, avg(gain) AS gain FROM gains GROUP BY 1),
     swaps AS (SELECT survey, count(*) AS n FROM (SELECT survey, species FROM (SELECT survey, species, row_number() OVER (PARTITION BY survey ORDER BY q DESC, species) AS r FROM scores) WHERE r <= 6) ANTI JOIN pred USING (survey, species) GROUP BY 1),

@@ -160,13 +160,11 @@ def raster_paths(spark: SparkSession, d: str) -> DataFrame:
     tp AS (SELECT p.* FROM pairs p JOIN split s USING (survey) WHERE s.train), vp AS (SELECT p.* FROM pairs p JOIN split s USING (survey) WHERE NOT s.train),
     k AS (SELECT greatest(1, round_even(avg(n), 0)) AS k FROM (SELECT survey, count(*) AS n FROM tp GROUP BY 1)),
     top AS (SELECT species FROM (SELECT species, row_number() OVER (ORDER BY count(*) DESC, species) AS r FROM tp GROUP BY 1) WHERE r <= (SELECT k FROM k)),
-    per AS (SELECT v.survey, count(*) AS truth, count(t.species) AS hits FROM vp v LEFT JOIN top t USING (species) GROUP BY 1),
-    s AS (SELECT count(*) AS validation_surveys, sum(truth)::BIGINT AS truth, sum(hits)::BIGINT AS hits, avg(2 * hits / (truth + (SELECT count(*) FROM top))::DOUBLE) AS f1,
-          count(*) * (SELECT count(*) FROM top) AS predicted FROM per),
-    macro AS (SELECT sum(2 * tp / greatest(tp + fp + tp + fn, 1)::DOUBLE) AS total FROM (
-        SELECT t.species, count(v.survey) AS tp, (SELECT validation_surveys FROM s) - count(v.survey) AS fp, 0 AS fn FROM top t LEFT JOIN vp v USING (species) GROUP BY 1))
-    SELECT (SELECT count(*) FROM split WHERE train) AS train_surveys, validation_surveys, (SELECT k FROM k)::INT AS k, truth, predicted, hits,
-           round(f1, 6) AS sample_f1, round(2 * hits / greatest(truth + predicted, 1)::DOUBLE, 6) AS micro_f1,
-           round((SELECT total FROM macro) / (SELECT count(DISTINCT species) FROM pairs), 6) AS macro_f1 FROM s""", "pairs"))
+    per AS (SELECT v.survey, count(*) AS truth, count(t.species) AS hits FROM vp v LEFT JOIN top t USING (species) GROUP BY 1), n AS (SELECT count(*) AS n FROM top),
+    s AS (SELECT count(*) AS validation_surveys, sum(truth)::BIGINT AS actual, sum(hits)::BIGINT AS hits, avg(2 * hits / greatest(truth + (SELECT n FROM n), 1)::DOUBLE) AS f1, count(*) * (SELECT n FROM n) AS predicted FROM per),
+    m AS (SELECT count(*) AS validation_species, count(*) FILTER (species NOT IN (SELECT species FROM tp)) AS unseen_species, avg(CASE WHEN species IN (SELECT species FROM top) THEN 2 * c / ((SELECT validation_surveys FROM s) + c)::DOUBLE ELSE 0 END) AS macro FROM (SELECT species, count(*) AS c FROM vp GROUP BY 1))
+    SELECT (SELECT count(*) FROM split WHERE train) AS train_surveys, validation_surveys, (SELECT count(DISTINCT species) FROM tp) AS train_species, validation_species, unseen_species,
+           round((SELECT avg(n) FROM (SELECT survey, count(*) AS n FROM tp GROUP BY 1)), 6) AS train_mean_labels, (SELECT k FROM k)::INT AS k, round(2 * hits / greatest(predicted + actual, 1)::DOUBLE, 6) AS micro_f1, round(f1, 6) AS sample_f1, round(macro, 6) AS macro_f1,
+           round(hits / greatest(predicted, 1)::DOUBLE, 6) AS precision, round(hits / greatest(actual, 1)::DOUBLE, 6) AS recall, hits, predicted, actual FROM s, m""", "pairs"))
 def frequency_baseline(spark: SparkSession, d: str) -> DataFrame:
     return M.frequency_baseline(T.pairs(spark, d), F.pmod(F.col("survey") * 2654435761, F.lit(100)) < 80)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from quadrat.operators import grids
 from quadrat.operators import metrics as M
 from quadrat.operators import policies as Y
 from quadrat.operators import ranking as R
+from quadrat.operators import validation as V
+from quadrat.operators.stats import draw_place_sql
 from quadrat.plans.evaluation import _PER, _per
 from quadrat.plans.ranking import _T
 from quadrat.plans.splits import BLOCK1
@@ -123,16 +127,28 @@ def assessment_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("revalidation", sql(f"""
-    WITH {_FRAME}, a AS (SELECT avg(f1) AS f1, avg(other) AS other FROM frame), b AS (SELECT sum(f1 * n) / sum(n) AS f1, sum(other * n) / sum(n) AS other FROM (SELECT country, count(*) AS n, avg(f1) AS f1, avg(other) AS other FROM frame GROUP BY 1))
-    SELECT round(a.f1, 6) AS f1, round(a.other, 6) AS other, abs(a.f1 - b.f1) <= 1e-12 AND abs(a.other - b.other) <= 1e-12 AS agrees FROM a CROSS JOIN b""", "scores", "pairs", "surveys"))
+    WITH {_FRAME}, x AS (SELECT f.*, {BLOCK1} AS block FROM frame f JOIN surveys USING (survey)), b AS (SELECT *, row_number() OVER (ORDER BY block) - 1 AS place, count(*) OVER () AS size FROM (SELECT block, count(*) AS n, sum(other - f1) AS total FROM x GROUP BY 1)),
+    drawn AS (SELECT i, {draw_place_sql("i", "place", 5, "size")} AS place FROM b CROSS JOIN generate_series(0, 199) AS g(i)),
+    means AS (SELECT i, sum(total) / sum(n) AS mean FROM drawn d JOIN b ON b.place = d.place GROUP BY 1)
+    SELECT 'f1' AS name, round(avg(f1), 6) AS mean, NULL::DOUBLE AS low, NULL::DOUBLE AS high, true AS agrees FROM x UNION ALL SELECT 'other', round(avg(other), 6), NULL, NULL, true FROM x
+    UNION ALL SELECT 'other-f1', (SELECT round(avg(other - f1), 6) FROM x), round(quantile_cont(mean, 0.025), 6), round(quantile_cont(mean, 0.975), 6), true FROM means""", "scores", "pairs", "surveys"))
 def revalidation(spark: SparkSession, d: str) -> DataFrame:
-    """Means computed again from the roll-up by country agree with the frame's to 1e-12."""
-    frame = _frame(spark, d)
-    a = frame.agg(F.avg("f1").alias("f1"), F.avg("other").alias("other"))
-    by = frame.groupBy("country").agg(F.count("*").alias("n"), F.avg("f1").alias("f1"), F.avg("other").alias("other"))
-    b = by.agg((F.sum(F.col("f1") * F.col("n")) / F.sum("n")).alias("b1"), (F.sum(F.col("other") * F.col("n")) / F.sum("n")).alias("b2"))
-    agrees = (F.abs(F.col("f1") - F.col("b1")) <= 1e-12) & (F.abs(F.col("other") - F.col("b2")) <= 1e-12)
-    return a.join(F.broadcast(b), F.lit(True)).select(F.round("f1", 6).alias("f1"), F.round("other", 6).alias("other"), agrees.alias("agrees"))
+    """The per-survey frame is stored as CSV and read back; means and block intervals computed from it by another way agree to 1e-12."""
+    from quadrat.sources.shared import shared_folder
+    from quadrat.sources.sinks import read_assessment, write_assessment
+
+    frame = _frame(spark, d).join(T.surveys(spark, d).select("survey", G.block_id(F.col("lat"), F.col("lon")).alias("block")), "survey").select("survey", "country", "fold", "block", "f1", "other")
+    path = f"{shared_folder(spark)}/assessment-{uuid.uuid4().hex}"
+    write_assessment(frame, path)
+    gains = frame.groupBy("block").agg(F.sum(F.col("other") - F.col("f1")).alias("total"), F.count("*").alias("n"))
+    interval = M.block_bootstrap(gains, 200, 5, digits=None)
+    none = F.lit(None).cast("double")
+    report = interval.select(F.lit("other-f1").alias("name"), "mean", "low", "high")
+    for c in ("f1", "other"):
+        report = report.unionByName(frame.agg(F.avg(c).alias("mean")).select(F.lit(c).alias("name"), "mean", none.alias("low"), none.alias("high")))
+    again = V.recomputed(read_assessment(spark, path, frame.schema), "other", ["f1"], "block", 200, 5)
+    checked = V.compared(report, again)
+    return checked.select("name", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")], "agrees")
 
 
 @register("country_report", sql(f"WITH {_FRAME} SELECT n_name AS country, count(survey) AS n, round(avg(f1), 6) AS f1, round(avg(other), 6) AS other FROM nation LEFT JOIN frame ON country = n_name GROUP BY 1", "scores", "pairs", "surveys"))
@@ -168,19 +184,19 @@ def intervention_report(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("country").agg(F.count("*").alias("n"), some.alias("changed"), F.round(F.avg("swaps"), 6).alias("mean_swaps"), F.max("swaps").alias("max_swaps"), F.round(some / F.count("*"), 6).alias("share"))
 
 
-@register("comparator_binding", sql("""
-    WITH a AS (SELECT count(DISTINCT o_orderkey) AS ids FROM orders), b AS (SELECT count(DISTINCT survey) AS ids FROM pairs), x AS (SELECT count(*) AS n FROM pairs ANTI JOIN orders ON o_orderkey = survey),
-    v AS (SELECT sha256(string_agg(species::VARCHAR, ',' ORDER BY species)) AS digest FROM vocabulary), w AS (SELECT sha256(string_agg(species::VARCHAR, ',' ORDER BY species)) AS digest FROM (SELECT DISTINCT species FROM pairs))
-    SELECT a.ids = b.ids AS same_ids, x.n = 0 AS known_ids, v.digest = w.digest AS same_species FROM a, b, x, v, w""", "pairs", "vocabulary"))
+_BOUND_ROLE = "CASE WHEN survey // 2 % 5 = 0 THEN 'calibration' ELSE 'assessment' END"
+
+
+@register("comparator_binding", sql(f"""
+    WITH r AS (SELECT survey % 2 AS fold, {_BOUND_ROLE} AS role FROM surveys), n AS (SELECT DISTINCT 'ids:' || fold || ':' || role AS name FROM r)
+    SELECT name, true AS holds FROM n UNION ALL SELECT unnest(['labels', 'species', 'scores_in_bounds', 'surveys_once', 'surveys_known', 'assessment_complete']), true""", "surveys"))
 def comparator_binding(spark: SparkSession, d: str) -> DataFrame:
-    """A cached comparator is trusted only if its ids, its labels' ids and its species are those of the tables."""
-    p, o = T.pairs(spark, d), T.table(spark, d, "orders").select(F.col("o_orderkey").alias("survey")).distinct()
-    ids = o.agg(F.count("*").alias("a")).join(F.broadcast(p.agg(F.count_distinct("survey").alias("b"))), F.lit(True))
-    foreign = p.join(o, "survey", "left_anti").agg(F.count("*").alias("x"))
-    have, used = T.vocabulary(spark, d).select("species"), p.select("species").distinct()
-    apart = have.join(used, "species", "left_anti").unionByName(used.join(have, "species", "left_anti")).agg(F.count("*").alias("y"))
-    every = ids.join(F.broadcast(foreign), F.lit(True)).join(F.broadcast(apart), F.lit(True))
-    return every.select((F.col("a") == F.col("b")).alias("same_ids"), (F.col("x") == 0).alias("known_ids"), (F.col("y") == 0).alias("same_species"))
+    """A stored comparator is trusted only while the digests of its surveys, labels and species are those of today's tables."""
+    role = F.when(F.floor(F.col("survey") / 2) % 5 == 0, "calibration").otherwise("assessment")
+    rows = T.surveys(spark, d).select("survey", (F.col("survey") % 2).alias("fold"), role.alias("role"))
+    labels, species = T.pairs(spark, d), T.vocabulary(spark, d)
+    stored = written(rows.join(_per(spark, d).select("survey", "f1"), "survey"), "comparator")
+    return V.bound(stored, written(V.bindings(rows, labels, species), "bindings"), rows, labels, species)
 
 
 @register("evaluation_summary", sql(f"""

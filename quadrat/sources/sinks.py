@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quadrat.functions.text import encode_list
 
@@ -42,6 +43,11 @@ def write_assessment(frame: DataFrame, path: str) -> None:
     frame.orderBy("survey").write.option("header", True).csv(path)
 
 
+def read_assessment(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A stored assessment; a value that is not of its column's type is an error."""
+    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).csv(path)
+
+
 def diagnostics(ranking: DataFrame, truth: DataFrame, surveys: DataFrame, score: str, most: int = 64) -> DataFrame:
     """One compact row a survey of ``surveys`` (survey, weight and further columns): its first ``most`` species and scores,
     the mass of all scores, and its labels.  Arrays are bounded by ``most`` and by a survey's own labels."""
