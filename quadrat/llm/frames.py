@@ -164,7 +164,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str) -> None:
         store, root = opened(path)
         name, writer, out = f"ids-{uuid.uuid4().hex}.zst", None, None
         try:
-            for batch in batches:
+            for batch in tb.tidy(batches):
                 names = batch.column(0).fill_null(NULL_ID).to_numpy()
                 for a, z, raw, offsets in tb.steps(batch.column(1)):
                     if writer is None:

@@ -102,7 +102,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, text digest, sketch and band keys (null without shingles) of every row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tb.tidy(batches):
             for a, z, raw, offsets in tb.steps(batch.column(2)):
                 row, key, n = shingles(raw, offsets)
                 held = registers(row, key, n, z - a)
@@ -182,7 +182,7 @@ class Verifier:
         """(p, q, j) of distinct pairs (p, q)."""
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in tb.tidy(batches):
                 for i in range(0, len(batch), 128):
                     part = batch.slice(i, 128)
                     sides = [[np.concatenate(x) for x in zip(*((s[0] + a, *s[1:]) for a, _, raw, offsets in tb.steps(part.column(c)) for s in [shingles(raw, offsets)]))] for c in ("tp", "tq")]
@@ -197,7 +197,7 @@ class Verifier:
         """node and its shingles by how often they occur: an array of (w, s)."""
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in tb.tidy(batches):
                 for a, z, raw, offsets in tb.steps(batch.column(1)):
                     row, key, n = shingles(raw, offsets)
                     order = np.lexsort((key, n, row))

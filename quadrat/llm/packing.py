@@ -227,7 +227,7 @@ def decompose(docs: DataFrame, tokenizer_path: str, max_length: int = 2048, with
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, table = tools(tokenizer_path)
-        for batch in batches:
+        for batch in tb.tidy(batches):
             names = batch.column(0)
             for a, z, raw, offsets in tb.steps(batch.column(1)):
                 flat, counts = token_ids(tokenizer, table, raw, offsets)

@@ -60,7 +60,7 @@ def bucket_counts(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
-        for batch in batches:
+        for batch in tb.tidy(batches):
             for _, _, raw, offsets in tb.steps(batch.column(0)):
                 total += np.bincount(ngram_buckets(raw, offsets, buckets)[0], minlength=buckets)
         full = np.flatnonzero(total)
@@ -88,6 +88,7 @@ def weight_of(ratio: np.ndarray):
         for a, z, raw, offsets in tb.steps(text):
             bucket, row = ngram_buckets(raw, offsets, len(ratio))
             parts.append(np.bincount(row, ratio[bucket], z - a))
+        tb.release()
         return pa.array(np.concatenate(parts))
 
     return weight
