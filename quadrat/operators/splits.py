@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrat.functions.geo import block_id, sha_bucket
-from quadrat.operators.spatial import outside_buffer
+from quadrat.operators.spatial import outside_buffer, within_km
 
 #: Cells of one degree on the globe.
 MOST_BLOCKS = 64_800
@@ -33,6 +33,19 @@ def buffered(places: DataFrame, role: Column, radius_km: float, key: str) -> Dat
     return out.withColumn("role", F.when((F.col("role") == TRAIN) & F.col("_kept").isNull(), EXCLUDED).otherwise(F.col("role"))).drop("_kept")
 
 
+def disjointness(dealt: DataFrame, key: str, block: str, radius_km: float) -> DataFrame:
+    """One row: keys and blocks that stand in several roles, and training rows nearer than the radius to another role.
+
+    ``dealt`` has key, block, role, lat and lon, a row for each key and role; excluded rows take no part.
+    """
+    kept = dealt.where(F.col("role") != EXCLUDED)
+    several = lambda c, n: kept.groupBy(c).agg(F.count_distinct("role").alias("_n")).agg(F.count("*").alias(f"{n}s"), F.count_if(F.col("_n") > 1).alias(f"shared_{n}s"))
+    other = kept.where(F.col("role") != TRAIN).select(F.col("lat").alias("rlat"), F.col("lon").alias("rlon"))
+    train = kept.where(F.col("role") == TRAIN).select(key, "lat", "lon")
+    close = within_km(train, other, radius_km).where(F.col("km") < radius_km).agg(F.count_distinct(key).alias("close"))
+    return several(key, "key").join(F.broadcast(several(block, "block")), F.lit(True)).join(F.broadcast(close), F.lit(True))
+
+
 def two_folds(places: DataFrame, salt: str, scale: int, assess: int, select: int, calibrate: int, radius_km: float, key: str) -> list[DataFrame]:
     """Two folds over salted block buckets; fold f assesses [f*assess, (f+1)*assess)."""
     bucket = sha_bucket(F.concat(F.lit(f"{salt}:"), block_id(F.col("lat"), F.col("lon"), scale)), 100)

@@ -9,21 +9,99 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrat.operators.stats import quantiles
+from quadrat.sources.shared import written
+
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
 
 
-def nearest(queries: DataFrame, refs: DataFrame, k: int, block: int = 4096) -> DataFrame:
-    """query, ref, d and rank of the k nearest of ``refs`` (ref, v) for each of ``queries`` (query, v), by (d, ref).
+def usable(v: Column, size: int) -> Column:
+    """True for vectors of the length with finite components only."""
+    return (F.size(v) == size) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
+def _pivots(refs: DataFrame, n: int, sample: int) -> np.ndarray:
+    """``n`` vectors far from each other, out of the ``sample`` references that come first by a hash."""
+    rows = refs.orderBy(F.xxhash64("ref"), "ref").limit(sample).select("v").collect()
+    x = np.array([r.v for r in rows], np.float64)
+    chosen = [0]
+    far = ((x - x[0]) ** 2).sum(1)
+    while len(chosen) < min(n, len(x)) and far.max() > 0:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(1))
+    return x[chosen]
+
+
+def _to_pivots(pivots: np.ndarray):
+    """An Arrow function from vectors to their distances to all pivots."""
 
-    Blocks of queries meet blocks of references, both sized by row counts; a task holds one block of each and sends on k
-    rows a query.  Distances are rounded to six digits, so that ties are the same wherever a vector lies.
+    @F.arrow_udf("array<double>")
+    def distances(v: pa.Array) -> pa.Array:
+        x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+        d = np.sqrt(np.maximum(((x[:, None, :] - pivots[None, :, :]) ** 2).sum(2), 0)) if len(x) else np.zeros((0, len(pivots)))
+        return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * len(pivots), d.ravel())
+
+    return distances
+
+
+def ranges_met(queries: DataFrame, refs: DataFrame, k: int, pivots: int = 16, rings: int = 16, sample: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """References (ref, v, range) in ranges, and queries (query, v, range), a row for each range that may hold one of the k nearest.
+
+    A reference belongs to the nearest of a few pivots and, by its distance from it, to one of the pivot's rings; at most
+    pivots x rings ranges are known by their size and their least and greatest distance.  By the triangle inequality a
+    query knows from its own distance to a pivot how near and how far a ring's members can be: the ranges that surely lie
+    near enough to hold k rows bound the k-th distance, and ranges beyond that bound are not met.  Nothing is lost.
+    """
+    centres = _pivots(refs, pivots, sample)
+    measure = _to_pivots(centres)
+    own = refs.select("ref", "v", measure("v").alias("_d")).withColumn("pivot", F.array_position("_d", F.array_min("_d")).cast("int") - 1)
+    own = written(own.select("ref", "v", "pivot", F.array_min("_d").alias("d")), "pivoted")
+    bounds = {r["pivot"]: r["q"] for r in quantiles(own, ["pivot"], "d", [i / rings for i in range(1, rings)]).collect()}  # a row a pivot
+    table = F.array(*[F.array(*[F.lit(float(x)) for x in bounds.get(i, [0.0])]) for i in range(len(centres))])
+    ring = F.size(F.filter(F.get(table, F.col("pivot")), lambda x: x < F.col("d")))
+    own = written(own.select("ref", "v", "pivot", "d", (F.col("pivot") * rings + ring).alias("range")), "ranges")
+    known = own.groupBy("range", "pivot").agg(F.count("*").alias("n"), F.min("d").alias("low"), F.max("d").alias("high")).orderBy("range").collect()  # a row a range
+    ids, of, n, low, high = (np.array([r[c] for r in known]) for c in ("range", "pivot", "n", "low", "high"))
+    ids = ids.astype(np.int32)
+
+    @F.arrow_udf("array<int>")
+    def met(d: pa.Array) -> pa.Array:
+        to = d.flatten().to_numpy(zero_copy_only=False).reshape(len(d), -1)[:, of]
+        near, far = np.maximum(np.maximum(to - high, low - to), 0), to + high
+        order = np.argsort(far, axis=1, kind="stable")
+        enough = np.argmax(np.cumsum(n[order], axis=1) >= min(k, n.sum()), axis=1)
+        bound = np.take_along_axis(far, order[np.arange(len(to)), enough][:, None], 1) * (1 + 1e-9) + 2e-6  # and what rounding may tie
+        row, col = np.nonzero(near <= bound)
+        return pa.ListArray.from_arrays(np.searchsorted(row, np.arange(len(to) + 1)).astype(np.int32), pa.array(ids[col]))
+
+    return own.select("ref", "v", "range"), queries.select("query", "v", F.explode(met(measure("v"))).alias("range"))
+
+
+def nearest(queries: DataFrame, refs: DataFrame, k: int, block: int = 4096, pivots: int = 16, rings: int = 16) -> DataFrame:
+    """query, ref, d and rank of the k nearest of ``refs`` (ref, v) for each of ``queries`` (query, v), by (d, ref); exact.
+
+    Queries meet the ranges of references that ``ranges_met`` leaves; ranges and the queries that meet them are cut into blocks
+    by their sizes, and a task holds one block of each and sends on k rows a query.  Distances are rounded to six digits,
+    so that ties are the same wherever a vector lies.  Vectors of another length than most references, or with components
+    that are null or not finite, take no part.
     """
-    blocks = [max(1, math.ceil(x.count() / block)) for x in (queries, refs)]
-    dealt = [x.withColumn("_own", F.pmod(F.xxhash64(x.columns[0]), F.lit(n)).cast("int")) for x, n in zip((queries, refs), blocks)]
-    q = dealt[0].select("query", "v", F.col("_own").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks[1] - 1))).alias("rb"))
-    r = dealt[1].select("ref", "v", F.col("_own").alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(blocks[0] - 1))).alias("qb"))
+    kinds = "query long, ref long, d double, rank int"
+    length = refs.where("v is not null").groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    if length is None:
+        return refs.sparkSession.createDataFrame([], kinds)
+    queries, refs = (x.where(usable(F.col("v"), length["size"])) for x in (queries, refs))
+    if refs.isEmpty():
+        return refs.sparkSession.createDataFrame([], kinds)
+    there, asked = ranges_met(queries, refs, k, pivots, rings)
+    asked = written(asked, "asked")
+    sizes = [{r["range"]: max(1, math.ceil(r["count"] / block)) for r in x.groupBy("range").count().collect()} for x in (there, asked)]  # a row a range
+    blocks = [F.get(F.array(*[F.lit(s.get(i, 1)) for i in range(pivots * rings)]), F.col("range")) for s in sizes]
+    part = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    q = asked.select("query", "v", "range", part("query", blocks[1]).alias("qb"), every(blocks[0]).alias("rb"))
+    r = there.where(F.col("range").isin(sorted(sizes[1]))).select("ref", "v", "range", part("ref", blocks[0]).alias("rb"), every(blocks[1]).alias("qb"))
 
     def best(asked: pa.Table, there: pa.Table) -> pa.Table:
         kinds = pa.schema([("query", pa.int64()), ("ref", pa.int64()), ("d", pa.float64())])
@@ -42,7 +120,8 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, block: int = 4096) -> D
         keep = place < take
         return pa.table({"query": qid[row[keep]], "ref": rid[col[keep]], "d": d[keep]}, kinds)
 
-    found = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(best, "query long, ref long, d double")
+    keys = ["range", "qb", "rb"]
+    found = q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInArrow(best, "query long, ref long, d double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("d", "ref"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

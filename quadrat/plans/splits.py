@@ -93,13 +93,23 @@ def deployment_split(spark: SparkSession, d: str) -> DataFrame:
     return S.buffered(T.sites(spark, d).select("site", "lat", "lon"), S.by_bucket(bucket, [(8, 1), (18, 2), (100, 0)]), 10, "site").select("site", "role")
 
 
-@register("split_disjointness", sql(f"""
-    WITH r AS (SELECT site, {BLOCK1} AS block, {_ROLE} AS role FROM sites)
-    SELECT count(*) AS blocks, count(*) FILTER (n > 1) AS shared FROM (SELECT block, count(DISTINCT role) AS n FROM r GROUP BY 1)""", "sites"))
+_SPLITS = {"buffered": _buffer(_ROLE, 20, ", r.lat, r.lon"), "unbuffered": f"SELECT site, {_ROLE} AS role, lat, lon FROM sites", "by_site": "SELECT site, CASE WHEN site * 7919 % 100 < 70 THEN 0 ELSE 1 END AS role, lat, lon FROM sites"}
+_APART = """SELECT '{name}' AS split, (SELECT count(DISTINCT site) FROM {t} WHERE role >= 0) AS keys, (SELECT count(*) FROM (SELECT site FROM {t} WHERE role >= 0 GROUP BY 1 HAVING count(DISTINCT role) > 1)) AS shared_keys,
+    (SELECT count(DISTINCT """ + BLOCK1 + """) FROM {t} WHERE role >= 0) AS blocks, (SELECT count(*) FROM (SELECT """ + BLOCK1 + """ AS b FROM {t} WHERE role >= 0 GROUP BY 1 HAVING count(DISTINCT role) > 1)) AS shared_blocks,
+    (SELECT count(DISTINCT t.site) FROM {t} t JOIN {t} o ON t.role = 0 AND o.role > 0 AND abs(t.lat - o.lat) < 1 AND """ + KM.format(a="t.", b="o.") + """ < 20) AS close"""
+
+
+@register("split_disjointness", sql("WITH " + ", ".join(f"s_{n} AS MATERIALIZED ({q})" for n, q in _SPLITS.items()) + " " + " UNION ALL ".join(_APART.format(name=n, t=f"s_{n}") for n in _SPLITS), "sites"))
 def split_disjointness(spark: SparkSession, d: str) -> DataFrame:
+    """Shared sites, shared blocks and broken buffers of three splits; the one by sites shares blocks, the unbuffered one breaks buffers."""
+    sites = T.sites(spark, d).select("site", "lat", "lon")
     role = S.by_bucket(G.xor_partition(F.col("lat"), F.col("lon"), 1, 77, 100), [(70, 0), (80, 1), (90, 2), (100, 3)])
-    dealt = T.sites(spark, d).select(G.block_id(F.col("lat"), F.col("lon")).alias("block"), role.alias("role"))
-    return dealt.select("block").distinct().join(S.shared_keys(dealt, "block"), "block", "left").agg(F.count("*").alias("blocks"), F.count("roles").alias("shared"))
+    splits = {"buffered": S.buffered(sites, role, 20, "site"), "unbuffered": sites.withColumn("role", role), "by_site": sites.withColumn("role", F.when(F.col("site") * 7919 % 100 < 70, 0).otherwise(1))}
+    out = None
+    for name, dealt in splits.items():
+        row = S.disjointness(dealt.withColumn("block", G.block_id(F.col("lat"), F.col("lon"))), "site", "block", 20).select(F.lit(name).alias("split"), "keys", "shared_keys", "blocks", "shared_blocks", "close")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @register("holdout_audit", sql("""

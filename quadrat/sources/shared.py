@@ -19,8 +19,13 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def written(df: DataFrame, kind: str) -> DataFrame:
-    """``df`` as a written table below the shared folder."""
+def stored(df: DataFrame, kind: str) -> str:
+    """The path of ``df`` as a written table below the shared folder."""
     path = f"{shared_folder(df.sparkSession)}/{kind}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` as a written table below the shared folder."""
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df, kind))

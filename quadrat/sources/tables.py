@@ -78,11 +78,19 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.na.drop().distinct()
 
 
+#: Paths of written vocabularies by application and folder.
+_VOCABULARIES: dict[tuple[str, str], str] = {}
+
+
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """species and its place in the sorted vocabulary."""
+    """species and its place in the sorted vocabulary; numbered once an application and folder."""
     from quadrat.operators.labels import dense_index
+    from quadrat.sources.shared import stored
 
-    return dense_index(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("species")), "species", "col")
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _VOCABULARIES:
+        _VOCABULARIES[key] = stored(dense_index(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("species")), "species", "col"), "vocabulary")
+    return spark.read.schema("species long, col long").parquet(_VOCABULARIES[key])
 
 
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
