@@ -27,20 +27,14 @@ def label_thresholds(rows: DataFrame, label: str, p: str, y: str, grid: list[flo
 def search(scores: DataFrame, truth: DataFrame, weights: list[float], counts: list[int]) -> DataFrame:
     """F1 of every (weight w of q, list length k), with its place by (f1 desc, w, k): smaller interventions win ties.
 
-    Each weight is ranked once and all lengths are read off the same ranking.
+    A survey's candidates are gathered once; each weight ranks them once and all lengths are read off the same ranking.
     """
-    each = scores.withColumn("w", F.explode(F.array(*map(F.lit, weights))))
-    value = F.round((1 - F.col("w")) * F.col("p") + F.col("w") * F.col("q"), 9)
-    order = Window.partitionBy("survey", "w").orderBy(F.desc("_v"), "species")
-    top = each.withColumn("_v", value).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max(counts)).select("survey", "species", "w", "_r")
-    hits = top.join(truth.withColumn("_hit", F.lit(1)), ["survey", "species"], "left")
-    sums = hits.groupBy("survey", "w").agg(*[F.struct(F.count_if(F.col("_r") <= k).alias("n"), F.count(F.when(F.col("_r") <= k, F.col("_hit"))).alias("hits")).alias(f"_k{k}") for k in counts])
-    sizes = truth.groupBy("survey").agg(F.count("*").alias("_truth"))
-    full = sums.join(sizes, "survey", "left").na.fill(0, ["_truth"])
-    f1 = lambda k: F.avg(2 * F.col(f"_k{k}.hits") / F.greatest(F.col(f"_k{k}.n") + F.col("_truth"), F.lit(1)))
-    wide = full.groupBy("w").agg(*[F.round(f1(k), 6).alias(str(k)) for k in counts])
-    long = wide.select("w", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(str(k)).alias("f1")) for k in counts])).alias("e")).select("w", "e.k", "e.f1")
-    return long.withColumn("place", F.row_number().over(Window.orderBy(F.desc("f1"), "w", "k")))  # a row a policy
+    from quadrat.operators import search as S
+
+    policies = scores.sparkSession.createDataFrame([(i, w, k) for i, (w, k) in enumerate((w, k) for w in weights for k in counts)], "place int, w double, k int")
+    each = S.ranked(S.packed(scores, truth, ["p", "q"]), policies, ["w"], lambda x: (1 - F.col("w")) * x["p"] + F.col("w") * x["q"], lambda p, s: p["k"])
+    means = each.groupBy("place").agg(F.round(F.avg("f1"), 6).alias("f1")).join(F.broadcast(policies), "place").select("w", "k", "f1")
+    return means.withColumn("place", F.row_number().over(Window.orderBy(F.desc("f1"), "w", "k")))  # a row a policy
 
 
 def gate(state: DataFrame, conditions: dict[str, Column]) -> DataFrame:

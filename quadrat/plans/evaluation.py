@@ -37,6 +37,17 @@ def _per(spark: SparkSession, d: str, column: str = "p", k: int = 6) -> DataFram
     return M.survey_f1(s, T.pairs(spark, d), _pred(spark, d, column, k)).join(s.select("survey", "country", "region", "lat", "lon"), "survey")
 
 
+def _two(spark: SparkSession, d: str) -> DataFrame:
+    """survey, f1 and other: the F1 of the six best by p and by q of every survey, from one ranking."""
+    ranks = R.ranked_by(T.scores(spark, d), "p", "q").where("rank_p <= 6 or rank_q <= 6")
+    truth = T.pairs(spark, d)
+    marked = ranks.join(truth.withColumn("hit", F.lit(1)), ["survey", "species"], "left")
+    sums = marked.groupBy("survey").agg(*[f.alias(f"{n}_{c}") for c in "pq" for n, f in (("n", F.count_if(F.col(f"rank_{c}") <= 6)), ("h", F.count(F.when(F.col(f"rank_{c}") <= 6, F.col("hit")))))])
+    full = T.surveys(spark, d).select("survey").join(sums, "survey", "left").join(truth.groupBy("survey").agg(F.count("*").alias("t")), "survey", "left").na.fill(0)
+    f1 = lambda c: 2 * F.col(f"h_{c}") / F.greatest(F.col(f"n_{c}") + F.col("t"), F.lit(1))
+    return full.select("survey", f1("p").alias("f1"), f1("q").alias("other"))
+
+
 @register("sample_f1", sql(f"WITH {_PER} SELECT survey, tp, fp, fn, round(f1, 6) AS f1 FROM per", "scores", "pairs", "surveys"))
 def sample_f1(spark: SparkSession, d: str) -> DataFrame:
     return M.survey_f1(T.surveys(spark, d), T.pairs(spark, d), _pred(spark, d)).withColumn("f1", F.round("f1", 6))
@@ -204,9 +215,8 @@ _GAIN = f"""{_PER}, b6 AS (SELECT s.survey, {BLOCK1} AS block, f1 FROM per s), o
 
 
 def _block_gains(spark: SparkSession, d: str) -> DataFrame:
-    a = _per(spark, d).select("survey", G.block_id(F.col("lat"), F.col("lon")).alias("block"), "f1")
-    b = M.survey_f1(T.surveys(spark, d), T.pairs(spark, d), _pred(spark, d, "q")).select("survey", F.col("f1").alias("other"))
-    return a.join(b, "survey").groupBy("block").agg(F.sum(F.col("other") - F.col("f1")).alias("total"), F.count("*").alias("n"))
+    s = T.surveys(spark, d).select("survey", G.block_id(F.col("lat"), F.col("lon")).alias("block"))
+    return _two(spark, d).join(s, "survey").groupBy("block").agg(F.sum(F.col("other") - F.col("f1")).alias("total"), F.count("*").alias("n"))
 
 
 @register("block_gains", sql(f"WITH {_GAIN} SELECT block, round(total, 6) AS total, n FROM blocks", "scores", "pairs", "surveys"))
@@ -307,14 +317,13 @@ _RULE_ROWS = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isin
     SELECT gate_set, gate, holds, bool_and(holds) OVER (PARTITION BY gate_set) AS promoted FROM held""", "scores", "pairs", "surveys"))
 def gate_sets(spark: SparkSession, d: str) -> DataFrame:
     """The seven registered gate sets over one long table of metrics; what the frame does not have (such as buffers) fails."""
-    blocks = written(_block_gains(spark, d), "gains")
-    mine = _per(spark, d).select("survey", "country", (F.col("survey") % 2).alias("fold"), "f1")
-    other = M.survey_f1(T.surveys(spark, d), T.pairs(spark, d), _pred(spark, d, "q")).select("survey", F.col("f1").alias("other"))
-    gains = written(mine.join(other, "survey").withColumn("gain", F.col("other") - F.col("f1")), "gains")
+    s = T.surveys(spark, d).select("survey", "country", (F.col("survey") % 2).alias("fold"), G.block_id(F.col("lat"), F.col("lon")).alias("block"))
+    gains = written(_two(spark, d).join(s, "survey").withColumn("gain", F.col("other") - F.col("f1")), "gains")
+    blocks = gains.groupBy("block").agg(F.sum("gain").alias("total"), F.count("*").alias("n"))
     row = lambda level, name, metric, value: F.struct(F.lit(level).alias("level"), name.cast("string").alias("name"), F.lit(metric).alias("metric"), value.cast("double").alias("value"))
     one, outside = F.lit("all"), ~F.col("country").isin("NATION_0", "NATION_1", "NATION_2")
     countries = gains.groupBy("country").agg(F.avg("gain").alias("gain"), F.count("*").alias("n"))
-    new = _pred(spark, d, "q").join(_pred(spark, d, "p"), ["survey", "species"], "left_anti").groupBy("survey").agg(F.count("*").alias("n"))
+    new = R.ranked_by(T.scores(spark, d), "p", "q").where("rank_q <= 6 and rank_p > 6").groupBy("survey").agg(F.count("*").alias("n"))
     parts = [
         gains.agg(F.avg("gain").alias("g"), F.avg(F.when(outside, F.col("gain"))).alias("o"), F.count_if(outside).alias("n")).select(F.explode(F.array(row("all", one, "gain", F.col("g")), row("outside", one, "gain", F.col("o")), row("outside", one, "rows", F.col("n")), row("all", one, "iterations", F.lit(500)), row("all", one, "length_changed", F.lit(0)))).alias("m")),
         M.block_bootstrap(blocks, 500, 5).select(row("all", one, "ci_low", F.col("low")).alias("m")),

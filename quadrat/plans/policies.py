@@ -14,7 +14,7 @@ from quadrat.operators import policies as Y
 from quadrat.operators import ranking as R
 from quadrat.operators import validation as V
 from quadrat.operators.stats import draw_place_sql
-from quadrat.plans.evaluation import _PER, _per
+from quadrat.plans.evaluation import _PER, _per, _two
 from quadrat.plans.ranking import _T
 from quadrat.plans.splits import BLOCK1
 from quadrat.registry import register
@@ -109,21 +109,48 @@ def _frame(spark: SparkSession, d: str) -> DataFrame:
     """One row a survey: country, fold, distance bucket and the F1 of two lists."""
     from quadrat.operators.policy import distance_bucket
 
-    other = M.survey_f1(T.surveys(spark, d), T.pairs(spark, d), R.ranked(T.scores(spark, d), "q", 6)).select("survey", F.col("f1").alias("other"))
     bucket = distance_bucket(F.abs(F.col("lat") - 48) * 111).alias("bucket")
-    return written(_per(spark, d).join(other, "survey").select("survey", "country", (F.col("survey") % 2).alias("fold"), bucket, "f1", "other"), "frame")
+    s = T.surveys(spark, d).select("survey", "country", (F.col("survey") % 2).alias("fold"), bucket, G.block_id(F.col("lat"), F.col("lon")).alias("block"))
+    return written(_two(spark, d).join(s, "survey").select("survey", "country", "fold", "bucket", "block", "f1", "other"), "frame")
 
 
 _LEVELS = " UNION ALL ".join(f"SELECT '{n}' AS level, {c}::VARCHAR AS name, count(*) AS n, round(avg(f1), 6) AS f1, round(avg(other), 6) AS other, round(avg(other - f1), 6) AS gain FROM frame GROUP BY ALL" for n, c in (("all", "'all'"), ("fold", "fold"), ("country", "country"), ("distance", "bucket")))
 
 
-@register("assessment_report", sql(f"WITH {_FRAME} {_LEVELS}", "scores", "pairs", "surveys"))
+_RARITY = "CASE WHEN n IS NULL THEN 'zero' WHEN n <= 25 THEN 'rare' ELSE 'common' END"
+
+
+@register("assessment_report", sql(f"""
+    WITH {_FRAME}, x AS (SELECT f.*, {BLOCK1} AS block FROM frame f JOIN surveys USING (survey)), b AS (SELECT *, row_number() OVER (ORDER BY block) - 1 AS place, count(*) OVER () AS size FROM (SELECT block, count(*) AS n, sum(other - f1) AS total FROM x GROUP BY 1)),
+    drawn AS (SELECT i, {draw_place_sql("i", "place", 5, "size")} AS place FROM b CROSS JOIN generate_series(0, 199) AS g(i)),
+    bounds AS (SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM (SELECT i, sum(total) / sum(n) AS mean FROM drawn d JOIN b ON b.place = d.place GROUP BY 1)),
+    trained AS (SELECT species, count(*) AS n FROM pairs WHERE survey % 5 <> 0 GROUP BY 1), lists AS (SELECT survey, species, rank <= 6 AS a, row_number() OVER (PARTITION BY survey ORDER BY q DESC, species) <= 6 AS b FROM t),
+    both2 AS (SELECT coalesce(l.species, y.species) AS species, coalesce(a, false) AS a, coalesce(b, false) AS b, y.species IS NOT NULL AS y FROM lists l FULL JOIN pairs y ON y.survey = l.survey AND y.species = l.species),
+    strata AS (SELECT {_RARITY} AS name, count_if(y) AS n, count_if(a AND y) AS ta, count_if(a) AS na, count_if(b AND y) AS tb, count_if(b) AS nb FROM both2 LEFT JOIN trained USING (species) GROUP BY 1),
+    levels AS ({_LEVELS})
+    SELECT l.*, CASE WHEN level = 'all' THEN low END AS low, CASE WHEN level = 'all' THEN high END AS high FROM levels l CROSS JOIN bounds
+    UNION ALL SELECT 'rarity', name, n, round(2 * ta / greatest(na + n, 1)::DOUBLE, 6), round(2 * tb / greatest(nb + n, 1)::DOUBLE, 6), round(2 * tb / greatest(nb + n, 1)::DOUBLE - 2 * ta / greatest(na + n, 1)::DOUBLE, 6), NULL, NULL FROM strata""", "scores", "pairs", "surveys"))
 def assessment_report(spark: SparkSession, d: str) -> DataFrame:
-    """Roll-ups of the per-survey frame by fold, country and distance: one aggregate over grouping sets."""
+    """Roll-ups of the per-survey frame by fold, country and distance, the interval of the gain, and F1 over species by rarity in training."""
     frame = _frame(spark, d)
     levels = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), c.cast("string").alias("name")) for n, c in (("all", F.lit("all")), ("fold", F.col("fold")), ("country", F.col("country")), ("distance", F.col("bucket")))])).alias("l")
     r = lambda c, n: F.round(F.avg(c), 6).alias(n)
-    return frame.select(levels, "f1", "other").groupBy("l.level", "l.name").agg(F.count("*").alias("n"), r("f1", "f1"), r("other", "other"), r(F.col("other") - F.col("f1"), "gain"))
+    rolled = frame.select(levels, "f1", "other").groupBy("l.level", "l.name").agg(F.count("*").alias("n"), r("f1", "f1"), r("other", "other"), r(F.col("other") - F.col("f1"), "gain"))
+    bounds = M.block_bootstrap(frame.groupBy("block").agg(F.sum(F.col("other") - F.col("f1")).alias("total"), F.count("*").alias("n")), 200, 5).select("low", "high")
+    own = F.col("level") == "all"
+    rolled = rolled.join(F.broadcast(bounds), F.lit(True)).withColumns({c: F.when(own, F.col(c)) for c in ("low", "high")})
+    truth = T.pairs(spark, d)
+    lists = R.ranked_by(T.scores(spark, d), "p", "q").where("rank_p <= 6 or rank_q <= 6").select("survey", "species", (F.col("rank_p") <= 6).alias("a"), (F.col("rank_q") <= 6).alias("b"))
+    both = lists.join(truth.withColumn("y", F.lit(True)), ["survey", "species"], "full").na.fill(False, ["a", "b", "y"]).groupBy("species").agg(
+        F.count_if("y").alias("n"), *[F.count_if(c).alias(k) for k, c in (("ta", F.col("a") & F.col("y")), ("na", F.col("a")), ("tb", F.col("b") & F.col("y")), ("nb", F.col("b")))]
+    )
+    trained = truth.where("survey % 5 <> 0").groupBy("species").agg(F.count("*").alias("times"))
+    name = F.when(F.col("times").isNull(), "zero").when(F.col("times") <= 25, "rare").otherwise("common")
+    strata = both.join(trained, "species", "left").groupBy(name.alias("name")).agg(*[F.sum(c).alias(c) for c in ("n", "ta", "na", "tb", "nb")])
+    f1 = lambda c: 2 * F.col(f"t{c}") / F.greatest(F.col(f"n{c}") + F.col("n"), F.lit(1))
+    none = F.lit(None).cast("double")
+    rare = strata.select(F.lit("rarity").alias("level"), "name", "n", F.round(f1("a"), 6).alias("f1"), F.round(f1("b"), 6).alias("other"), F.round(f1("b") - f1("a"), 6).alias("gain"), none.alias("low"), none.alias("high"))
+    return rolled.select(*rare.columns).unionByName(rare)
 
 
 @register("revalidation", sql(f"""
@@ -137,7 +164,7 @@ def revalidation(spark: SparkSession, d: str) -> DataFrame:
     from quadrat.sources.shared import shared_folder
     from quadrat.sources.sinks import read_assessment, write_assessment
 
-    frame = _frame(spark, d).join(T.surveys(spark, d).select("survey", G.block_id(F.col("lat"), F.col("lon")).alias("block")), "survey").select("survey", "country", "fold", "block", "f1", "other")
+    frame = _frame(spark, d).select("survey", "country", "fold", "block", "f1", "other")
     path = f"{shared_folder(spark)}/assessment-{uuid.uuid4().hex}"
     write_assessment(frame, path)
     gains = frame.groupBy("block").agg(F.sum(F.col("other") - F.col("f1")).alias("total"), F.count("*").alias("n"))
@@ -200,14 +227,22 @@ def comparator_binding(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("evaluation_summary", sql(f"""
-    WITH {_T}, y AS (SELECT t.*, (l.species IS NOT NULL)::INT AS y FROM t LEFT JOIN pairs l USING (survey, species)), s AS (SELECT survey, sum(y) AS truth, count(*) FILTER (p >= 0.5) AS nf, sum(y) FILTER (p >= 0.5) AS hf, count(*) FILTER (rank <= 8) AS nk, sum(y) FILTER (rank <= 8) AS hk, sum((y - p) ^ 2) AS e, count(*) AS n FROM y GROUP BY 1)
-    SELECT count(*) AS surveys, round(2 * sum(coalesce(hf, 0)) / greatest(sum(nf) + sum(truth), 1)::DOUBLE, 6) AS fixed_f1, round(2 * sum(hk) / greatest(sum(nk) + sum(truth), 1)::DOUBLE, 6) AS top_k_f1, round(sum(e) / sum(n), 6) AS brier FROM s""", "scores", "pairs"))
+    WITH {_T}, y AS MATERIALIZED (SELECT t.*, (l.species IS NOT NULL)::INT AS y FROM t LEFT JOIN pairs l USING (survey, species)), s AS (SELECT survey, sum(y) AS truth, count(*) FILTER (p >= 0.5) AS nf, sum(y) FILTER (p >= 0.5) AS hf, count(*) FILTER (rank <= 8) AS nk, sum(y) FILTER (rank <= 8) AS hk, sum((y - p) ^ 2) AS e, count(*) AS n FROM y GROUP BY 1),
+    f AS (SELECT species, i, round(2 * count(*) FILTER (p >= (1 + i) / 20::DOUBLE AND y = 1) / greatest(count(*) FILTER (p >= (1 + i) / 20::DOUBLE) + sum(y), 1)::DOUBLE, 9) AS f1, sum(y) AS n FROM y CROSS JOIN generate_series(0, 18) AS g(i) GROUP BY ALL),
+    h AS (SELECT species, CASE WHEN n < 5 THEN 0.5 ELSE (1 + i) / 20::DOUBLE END AS threshold FROM f QUALIFY row_number() OVER (PARTITION BY species ORDER BY f1 DESC, i) = 1),
+    a AS (SELECT round(2 * sum(y) FILTER (p >= threshold) / greatest(count(*) FILTER (p >= threshold) + sum(y), 1)::DOUBLE, 6) AS adaptive_f1 FROM y JOIN h USING (species))
+    SELECT count(*) AS surveys, round(2 * sum(coalesce(hf, 0)) / greatest(sum(nf) + sum(truth), 1)::DOUBLE, 6) AS fixed_f1, round(2 * sum(hk) / greatest(sum(nk) + sum(truth), 1)::DOUBLE, 6) AS top_k_f1, any_value(adaptive_f1) AS adaptive_f1, round(sum(e) / sum(n), 6) AS brier FROM s, a""", "scores", "pairs"))
 def evaluation_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Micro F1 at a fixed threshold and at a fixed length, and the Brier score, in one row."""
+    """Micro F1 at a fixed threshold, at a fixed length and at each species' own best threshold, and the Brier score, in one row."""
+    from quadrat.operators.policy import label_thresholds
+
     y = R.ranked(T.scores(spark, d), "p").join(T.pairs(spark, d).withColumn("y", F.lit(1)), ["survey", "species"], "left").na.fill(0, ["y"])
-    fixed, top = F.col("p") >= 0.5, F.col("rank") <= 8
+    y = written(y.select("survey", "species", "p", "rank", "y"), "marked")
+    best = label_thresholds(y.withColumn("y", F.col("y") == 1), "species", "p", "y", [(1 + i) / 20 for i in range(19)], 5)
+    y = y.join(best, "species")
+    cases = {"fixed_f1": F.col("p") >= 0.5, "top_k_f1": F.col("rank") <= 8, "adaptive_f1": F.col("p") >= F.col("threshold")}
     f1 = lambda own: F.round(2 * F.sum(F.when(own, F.col("y")).otherwise(0)) / F.greatest(F.count_if(own) + F.sum("y"), F.lit(1)), 6)
-    return y.agg(F.count_distinct("survey").alias("surveys"), f1(fixed).alias("fixed_f1"), f1(top).alias("top_k_f1"), F.round(F.avg(F.pow(F.col("y") - F.col("p"), 2)), 6).alias("brier"))
+    return y.agg(F.count_distinct("survey").alias("surveys"), *[f1(c).alias(n) for n, c in cases.items()], F.round(F.avg(F.pow(F.col("y") - F.col("p"), 2)), 6).alias("brier"))
 
 
 @register("label_sets", sql("SELECT survey, list(species ORDER BY species)::VARCHAR AS species, count(*) AS n FROM pairs GROUP BY 1", "pairs"))
