@@ -12,11 +12,12 @@ from quadrat.operators import grids
 from quadrat.operators import metrics as M
 from quadrat.operators import policies as Y
 from quadrat.operators import ranking as R
+from quadrat.operators import splits as S
 from quadrat.operators import validation as V
 from quadrat.operators.stats import draw_place_sql
 from quadrat.plans.evaluation import _PER, _per, _two
 from quadrat.plans.ranking import _T
-from quadrat.plans.splits import BLOCK1
+from quadrat.plans.splits import _buffer, BLOCK1
 from quadrat.registry import register
 from quadrat.sources import tables as T
 from quadrat.sources.shared import written
@@ -274,19 +275,25 @@ def layered_mix(spark: SparkSession, d: str) -> DataFrame:
     return s.select("survey", "species", F.round(v, 6).alias("score"))
 
 
+_HASHED_ROLE = f"CASE WHEN concat('0x', substr(sha256({BLOCK1}), 1, 8))::UBIGINT % 10 >= 7 THEN 3 ELSE 0 END"
+
+
 @register("archived_replay", sql(f"""
-    WITH {_T}, k AS (SELECT survey, list(species ORDER BY rank) AS s FROM t WHERE rank <= 24 GROUP BY 1), w AS (SELECT survey, 1 / count(*) OVER (PARTITION BY o_custkey)::DOUBLE AS w FROM k JOIN orders ON o_orderkey = survey),
-    x AS (SELECT survey, a.k, len(list_intersect(s[1:a.k], y)) AS hits, least(len(s), a.k) AS n, len(y) AS truth FROM k CROSS JOIN (VALUES (6), (12), (18), (24)) AS a(k) JOIN (SELECT survey, list(species) AS y FROM pairs GROUP BY 1) USING (survey))
-    SELECT k::INT AS k, count(*) AS surveys, round(sum(w * 2 * hits / (n + truth)::DOUBLE) / sum(w), 6) AS f1 FROM x JOIN w USING (survey) GROUP BY 1""", "scores", "pairs"))
+    WITH {_EACH}, roles AS ({_buffer(_HASHED_ROLE, 20)}), x AS (SELECT e.survey, role, place, f1, site FROM each_ e JOIN surveys s ON s.survey = e.survey JOIN roles r USING (site) WHERE role >= 0),
+    w AS (SELECT survey, 1 / count(*) OVER (PARTITION BY site)::DOUBLE AS w FROM (SELECT DISTINCT survey, site FROM x))
+    SELECT role, place::INT AS place, count(*) AS surveys, round(sum(w * f1) / sum(w), 6) AS f1 FROM x JOIN w USING (survey) GROUP BY ALL""", "scores", "pairs", "surveys"))
 def archived_replay(spark: SparkSession, d: str) -> DataFrame:
-    """Stored rankings scored again at several lengths; surveys of one site share a weight of one."""
-    stored = R.compact(T.scores(spark, d), "p", 24).select("survey", F.col("species").alias("s"))
-    site = T.table(spark, d, "orders").select(F.col("o_orderkey").alias("survey"), F.col("o_custkey").alias("site"))
-    w = stored.join(site, "survey").withColumn("w", 1 / F.count("*").over(Window.partitionBy("site")))
-    truth = T.pairs(spark, d).groupBy("survey").agg(F.collect_list("species").alias("y"))
-    x = w.join(truth, "survey").withColumn("k", F.explode(F.array(*map(F.lit, (6, 12, 18, 24)))))
-    f1 = 2 * F.size(F.array_intersect(F.expr("slice(s, 1, k)"), F.col("y"))) / (F.least(F.size("s"), F.col("k")) + F.size("y"))
-    return x.groupBy("k").agg(F.count("*").alias("surveys"), F.round(F.sum(F.col("w") * f1) / F.sum("w"), 6).alias("f1"))
+    """A stored table of each survey's 128 best, read back and scored with every cut policy.
+
+    Roles go by a hash of the block, with 20 km between them; surveys of one site share a weight of one.
+    """
+    stored = written(R.ranked(T.scores(spark, d), "p", 128), "archive")
+    block = G.block_id(F.col("lat"), F.col("lon"))
+    hashed = F.conv(F.substring(F.sha2(block, 256), 1, 8), 16, 10).cast("long") % 10
+    roles = S.buffered(T.sites(spark, d).select("site", "lat", "lon"), F.when(hashed >= 7, S.ASSESS).otherwise(S.TRAIN), 20, "site").where("role >= 0").select("site", "role")
+    kept = T.surveys(spark, d).select("survey", "site").join(roles, "site").withColumn("w", 1 / F.count("*").over(Window.partitionBy("site")))
+    each = Y.policy_f1(stored, T.pairs(spark, d), _cuts(spark), kept, ["role", "w"])
+    return each.groupBy("role", "place").agg(F.count("*").alias("surveys"), F.round(F.sum(F.col("w") * F.col("f1")) / F.sum("w"), 6).alias("f1"))
 
 
 @register("kernel_counts", sql("""

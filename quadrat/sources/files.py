@@ -34,6 +34,20 @@ def inventory(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"), kind.alias("kind"))
 
 
+def data_card(spark: SparkSession, folder: str, path: str) -> None:
+    """Write the inventory of a folder as sorted JSON lines: path below the folder, kind, bytes, and columns and types of Parquet tables.
+
+    Schemas are read from footers, one table at a time; no values are.
+    """
+    root = folder.rstrip("/") + "/"
+    own = inventory(spark, folder).withColumn("name", F.element_at(F.split("path", root, 2), -1))
+    tables = own.where(F.col("path").endswith(".parquet")).select(F.regexp_extract("path", r"^(.*?\.parquet)", 1).alias("table")).distinct().collect()
+    columns = [(r["table"], ", ".join(f"{n} {t}" for n, t in describe(spark.read.parquet(r["table"])).items())) for r in tables]
+    known = spark.createDataFrame(columns, "table string, columns string")
+    card = own.withColumn("table", F.regexp_extract("path", r"^(.*?\.parquet)", 1)).join(F.broadcast(known), "table", "left")
+    card.select("name", "kind", "bytes", "columns").orderBy("name").write.json(path)
+
+
 def pair_by_name(files: DataFrame) -> DataFrame:
     """Train and test tables of the same family: names equal once role and separators are taken out."""
     stem = F.regexp_replace(F.lower(F.element_at(F.split("path", "/"), -1)), r"\.[a-z0-9]+$", "")

@@ -372,3 +372,14 @@ def test_regressions_beat_the_mean(spark):
     assert sum((r.k - r.best) ** 2 for r in rows) <= 1.1 * sum((mean - r.best) ** 2 for r in rows)
     gains = regressions.edit_regression(spark, DATA)
     assert gains.groupBy("survey", "species").count().where("count > 1").isEmpty() and gains.where("gain is null").isEmpty()
+
+
+def test_data_card(spark, tmp_path):
+    from quadrat.sources import files
+
+    spark.createDataFrame([(1, "x")], "a long, b string").write.parquet(str(tmp_path / "in" / "t.parquet"))
+    (tmp_path / "in" / "landsat_1.csv").write_text("a\n1\n")
+    files.data_card(spark, str(tmp_path / "in"), str(tmp_path / "card"))
+    rows = {r.name: r for r in spark.read.json(str(tmp_path / "card")).collect()}
+    assert rows["landsat_1.csv"].kind == "landsat" and rows["landsat_1.csv"].bytes == 4 and rows["landsat_1.csv"].columns is None
+    assert any(n.startswith("t.parquet/") and r.columns == "a bigint, b string" for n, r in rows.items())
