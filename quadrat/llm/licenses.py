@@ -5,8 +5,8 @@ normalised (lower case, everything but a-z and 0-9 to single spaces) and looked
 A known sentence may also run over line ends, with or without comment marks and empty lines at them: it has to begin after
 a break and to end before one, and of several that begin at one place the longest counts.  ``n_sentences`` counts the
 pieces between breaks.
-What is left is the row's sequence of known identifiers; unknown sentences between two of them do not part them.  From its
-start, the first rule of the ordered rules whose identifiers come next in that sequence is a match and its sentences are
+What is left is the row's sequence of known identifiers with the number of unknown sentences in front of each; more than
+``MOST_BETWEEN`` of these between two sentences part them.  From its start, the first rule of the ordered rules whose identifiers come next in that sequence is a match and its sentences are
 used up; where no rule matches, one identifier is passed.  All of it happens within a row: no shuffle, no state.  The tables of sentences and rules are
 literals of fixed size.
 
@@ -95,6 +95,24 @@ FURTHER_SENTENCES = (
     "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License.",
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "Apache License",
+    "Version 2.0, January 2004",
+    "Licensed under the MIT license (see LICENSE)",
+    "Licensed under the BSD License.",
+    "The MIT License (MIT)",
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "Mozilla Public License Version 2.0",
+    "GNU GENERAL PUBLIC LICENSE",
+    "GNU LESSER GENERAL PUBLIC LICENSE",
+    "GNU AFFERO GENERAL PUBLIC LICENSE",
+    "Version 2, June 1991",
+    "Version 2.1, February 1999",
+    "Version 3, 29 June 2007",
+    "Version 3, 19 November 2007",
 )
 FURTHER_RULES = (
     ("MPL-2.0", (28, 36)),
@@ -102,8 +120,31 @@ FURTHER_RULES = (
     ("AGPL-3.0-or-later", (33,)),
     ("LGPL-2.1-or-later", (34,)),
     ("ISC", (35,)),
+    ("GPL-2.0-only", (37,)),
+    ("GPL-2.0-only", (38,)),
+    ("Apache-2.0", (39, 40)),
+    ("MIT", (41,)),
+    ("BSD", (42,)),
+    ("MIT", (43, 4, 5, 44)),
+    ("MIT", (43, 4, 5)),
+    ("MIT", (4, 5, 44)),
+    ("BSD-3-Clause", (25, 45, 46, 26)),
+    ("BSD-2-Clause", (25, 45, 46)),
+    ("MPL-2.0", (47,)),
+    ("GPL-2.0", (48, 51)),
+    ("LGPL-2.1", (49, 52)),
+    ("GPL-3.0", (48, 53)),
+    ("LGPL-3.0", (49, 53)),
+    ("AGPL-3.0", (50, 54)),
 )
 
+# Licences that a tag may name; each is a sentence and a rule of its own.
+TAGGED = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "Unlicense", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "AGPL-3.0-only", "AGPL-3.0-or-later", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0")
+TAG = "SPDX-License-Identifier: "
+
+#: Unknown sentences that may stand between two sentences of a rule.
+MOST_BETWEEN = 10
+
 BREAK = r"[.!?]+\s+|\n+|[.!?]+\z"
 
 
@@ -128,34 +169,35 @@ def known_sentences(sentences: tuple[str, ...] = SENTENCES) -> list[tuple[str, i
 
 
 def spans(text: Column, known: list[tuple[str, int]]) -> Column:
-    """Known sentences of a text in their order, normalised, also those that run over line ends."""
-    # Lower case leaves capitals free as marks: S for the end of a sentence, L for line ends.
+    """Known sentences of a text in their order, also those that run over line ends: normalised (s), and the unknown sentences in front (gap)."""
+    # Lower case leaves capitals free as marks: S for the end of a sentence, L for line ends, K around a known sentence.
     marked = F.regexp_replace(F.lower(text), r"[.!?]+(?:\s+|\z)", "S")
     marked = F.regexp_replace(F.regexp_replace(marked, r"\n+", "L"), "[^a-z0-9SL]+", " ")
     one = "|".join(s.replace(" ", "[ L]+") for s, _ in sorted(known, key=lambda k: -len(k[0])))
-    found = F.regexp_extract_all(marked, F.lit(f"(?:^|[SL]) *({one})(?= *(?:[SL]|\\z))"), F.lit(1))
-    return F.transform(found, lambda s: F.regexp_replace(s, "[ L]+", " "))
+    pieces = F.split(F.regexp_replace(marked, f"(^|[SL]) *({one})(?= *(?:[SL]|\\z))", "$1K$2K"), "K")  # gap, sentence, gap, sentence, ..., gap
+    own = F.transform(pieces, lambda s, i: F.struct(F.regexp_replace(s, "[ L]+", " ").alias("s"), F.size(F.filter(F.split(F.get(pieces, i - 1), "[SL]"), lambda g: F.trim(g) != "")).alias("gap"), (i % 2 == 1).alias("known")))
+    return F.filter(own, lambda x: x["known"])
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, n_known, known (identifiers), licences (in order of their place) of every row."""
-    known = known_sentences(SENTENCES + FURTHER_SENTENCES)
-    place = "array_position(array(" + ", ".join(_quoted(s) for s, _ in known) + "), s)"
+    known = known_sentences(SENTENCES + FURTHER_SENTENCES + tuple(TAG + n for n in TAGGED))
+    tags = tuple((n, (len(SENTENCES) + len(FURTHER_SENTENCES) + i,)) for i, n in enumerate(TAGGED, 1))
+    place = "array_position(array(" + ", ".join(_quoted(s) for s, _ in known) + "), s.s)"
     number = "element_at(array(0, " + ", ".join(str(i) for _, i in known) + f"), cast({place} as int) + 1)"
-    ordered = sorted(RULES + FURTHER_RULES, key=lambda r: -len(r[1]))
+    ordered = sorted(RULES + FURTHER_RULES + tags, key=lambda r: -len(r[1]))
     rules = "array(" + ", ".join(f"named_struct('licence', {_quoted(n)}, 'ids', array({', '.join(map(str, ids))}))" for n, ids in ordered) + ")"
-    fits = "filter(rules, r -> slice(known, p, size(r.ids)) = r.ids)"
-    step = f"""
-        aggregate(if(size(known) = 0, array(), sequence(1, size(known))),
-            named_struct('next', 1, 'found', cast(array() as array<string>)),
-            (a, p) -> if(p < a.next or size({fits}) = 0, a,
-                named_struct('next', p + size({fits}[0].ids), 'found', array_append(a.found, {fits}[0].licence))),
-            a -> a.found)"""
+    # The first rule that fits at p; where none does, null.
+    fits = f"get(filter(rules, r -> slice(known, p, size(r.ids)) = r.ids and forall(slice(gaps, p + 1, size(r.ids) - 1), g -> g <= {MOST_BETWEEN})), 0)"
+    found = f"transform(sequence(1, size(known)), p -> {fits})"
+    # Where rules begin: the places that no rule before them has used up.
+    starts = "aggregate(sequence(1, size(known)), named_struct('next', 1, 'at', cast(array() as array<int>)), (a, p) -> if(p < a.next or firsts[p - 1] is null, a, named_struct('next', p + size(firsts[p - 1].ids), 'at', concat(a.at, array(p)))), a -> a.at)"
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.split(text, BREAK).alias("raw"), spans(text, known).alias("spans"))
-    ids = cut.select("doc_id", F.expr("size(filter(raw, s -> trim(s) <> ''))").alias("n_sentences"), F.expr(f"transform(spans, s -> {number})").alias("known"))
-    found = ids.withColumn("rules", F.expr(rules)).withColumn("licences", F.expr(step))
-    return found.select("doc_id", "n_sentences", F.size("known").alias("n_known"), "known", "licences")
+    ids = cut.select("doc_id", F.expr("size(filter(raw, s -> trim(s) <> ''))").alias("n_sentences"), F.expr(f"transform(spans, s -> {number})").alias("known"), F.col("spans.gap").alias("gaps"))
+    each = ids.withColumn("rules", F.expr(rules)).withColumn("firsts", F.when(F.size("known") > 0, F.expr(found)))
+    done = each.withColumn("licences", F.when(F.size("known") > 0, F.expr(f"transform({starts}, p -> firsts[p - 1].licence)")).otherwise(F.array().cast("array<string>")))
+    return done.select("doc_id", "n_sentences", F.size("known").alias("n_known"), "known", "licences")
 
 
 def oracle() -> str:
@@ -170,13 +212,14 @@ def oracle() -> str:
         WITH RECURSIVE known(s, i) AS (VALUES {known}), rules(k, licence, ids) AS (VALUES {rules}),
         cut AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '{BREAK}'), lambda s: trim(s) <> '') AS sentences FROM documents),
         flat AS (SELECT doc_id, generate_subscripts(sentences, 1) AS place, unnest(sentences) AS s FROM cut),
-        ids AS (SELECT doc_id, list(known.i::INT ORDER BY place) AS ids FROM flat
+        ids AS (SELECT doc_id, list(known.i::INT ORDER BY place) AS ids, list(place ORDER BY place) AS places FROM flat
                 JOIN known ON known.s = trim(regexp_replace(lower(flat.s), '[^a-z0-9]+', ' ', 'g')) GROUP BY doc_id),
-        walk AS (SELECT doc_id, ids, 1 AS p, '' AS found FROM ids
+        walk AS (SELECT doc_id, ids, places, 1 AS p, '' AS found FROM ids
             UNION ALL
-            SELECT w.doc_id, w.ids, w.p + coalesce(len(m.ids), 1), w.found || coalesce(',' || m.licence, '')
+            SELECT w.doc_id, w.ids, w.places, w.p + coalesce(len(m.ids), 1), w.found || coalesce(',' || m.licence, '')
             FROM walk w LEFT JOIN LATERAL (SELECT r.licence, r.ids FROM rules r
-                WHERE list_slice(w.ids, w.p, w.p + len(r.ids) - 1) = r.ids ORDER BY r.k LIMIT 1) m ON true
+                WHERE list_slice(w.ids, w.p, w.p + len(r.ids) - 1) = r.ids
+                  AND len(list_filter(range(w.p + 1, w.p + len(r.ids)), lambda q: w.places[q] - w.places[q - 1] - 1 > {MOST_BETWEEN})) = 0 ORDER BY r.k LIMIT 1) m ON true
             WHERE w.p <= len(w.ids)),
         done AS (SELECT doc_id, len(ids) AS n, found FROM walk WHERE p > len(ids))
         SELECT c.doc_id, len(c.sentences)::INT AS n_sentences, coalesce(d.n, 0)::INT AS n_known,
