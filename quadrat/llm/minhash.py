@@ -12,8 +12,10 @@ registers; texts that agree in a band share a bucket.
 Equal texts are one node.  Classes grow in rounds.  In a round every bucket that still holds two classes has a pivot, the
 node that meets most others over all its buckets, so that one node serves as pivot of most buckets of a group of near
 copies; the other classes' nodes are verified against it, the classes that this links are merged, and the pivot leaves
-the bucket: a round costs one pair a member at most, mostly far less.  After ``ROUNDS`` rounds every two nodes that still
-share a bucket but no class are compared within the join, first by four bits of each register and then by the exact
+the bucket: a round costs one pair a member at most, mostly far less.  The first ``ROUNDS`` rounds are over ``LEAD`` bands
+only; of the other bands only buckets that hold two classes by then are joined with their members, so that a group that
+is one class meets itself in ``LEAD`` buckets a node and not in all.  After as many rounds over those every two nodes that
+still share a bucket but no class are compared within the join, first by four bits of each register and then by the exact
 index on their shingles, in the least bucket that they share: only true links come out, so copies are never expanded
 into pairs and no link between two classes is left out.  Buckets of more than ``CHUNK`` nodes are split over tasks.
 
@@ -42,6 +44,8 @@ ENOUGH = SIMILARITY - 1e-9
 LEAST_AGREEMENT = 0.64
 #: Rounds of pivots before the rest is compared; more or fewer change the work, not the classes.
 ROUNDS = 2
+#: Bands whose buckets are merged by rounds before the others' are looked at; more or fewer change the work, not the classes.
+LEAD = 8
 #: Members of a bucket that one task compares with the others of that bucket.
 CHUNK = 4096
 #: Registers in each long of a sketch, at four bits each.
@@ -308,24 +312,47 @@ def _against_pivots(side: DataFrame, weights: DataFrame, verify: Verifier) -> tu
     return links, tried.select("key", "node")
 
 
+def _open_buckets(nodes: DataFrame, labels: DataFrame | None, bands: Column) -> DataFrame:
+    """(key, node) of the members of buckets of the given bands that hold two classes; labels are told apart by 64 bits.
+
+    Buckets of one class are never joined with their members: each bucket is summed up before the shuffle.
+    """
+    own = nodes.select("node", bands.alias("keys"))
+    own = own.withColumn("label", F.col("node")) if labels is None else own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    places = own.select("node", F.xxhash64("label").alias("label"), F.explode("keys").alias("key"))
+    split = places.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    return written(places.select("key", "node").join(written(split, "open"), "key"), "buckets")
+
+
+def _rounds(members: DataFrame, labels: DataFrame | None, rounds: int, verify: Verifier) -> tuple[DataFrame | None, DataFrame]:
+    """(labels after so many rounds of pivots, members (key, node) that are left)."""
+    if not rounds:
+        return labels, members
+    sizes = written(members.groupBy("key").agg(F.count("*").alias("n")), "sizes")
+    weights = written(members.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("weight")), "weights")
+    for _ in range(rounds):
+        links, members = _against_pivots(_split_buckets(members, labels), weights, verify)
+        labels = _merged(labels, links)
+    return labels, members
+
+
 def _labels(docs: DataFrame, signed: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
     """(nodes, labels of those that are linked)."""
     nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "nodes")
-    places = nodes.select("node", F.explode("bands").alias("key"))
-    sizes = places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(places.join(sizes, "key"), "buckets")
-    weights = written(shared.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    wanted = weights.select("node").join(nodes.select("node", "doc_id"), "node")
     own = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.unhex(F.md5(text)).alias("own"), text.alias("text"))
-    texts = wanted.join(own, (F.col("node") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("own_id")))
-    verify = Verifier(nodes.select("node", "sketch"), written(texts.select("node", "text").dropDuplicates(["node"]), "texts"))
 
-    labels, rest = None, shared.select("key", "node")
-    for _ in range(rounds):
-        links, rest = _against_pivots(_split_buckets(rest, labels), weights, verify)
-        labels = _merged(labels, links)
-    side = written(_split_buckets(rest, labels), "rest")
+    def verifier(members: DataFrame) -> Verifier:
+        wanted = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
+        texts = wanted.join(own, (F.col("node") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("own_id")))
+        return Verifier(nodes.select("node", "sketch"), written(texts.select("node", "text").dropDuplicates(["node"]), "texts"))
+
+    first = _open_buckets(nodes, None, F.slice("bands", 1, LEAD))
+    labels, first = _rounds(first, None, rounds, verifier(first))
+    others = _open_buckets(nodes, labels, F.slice("bands", LEAD + 1, BANDS - LEAD))
+    verify = verifier(others.unionByName(first))
+    labels, others = _rounds(others, labels, rounds, verify)
+    side = written(_split_buckets(first.unionByName(others), labels), "rest")
     parts = written(verify.shingle_sets(side.select("node").distinct()), "parts")
     known = nodes.join(parts, "node").select("node", "sketch", "bands", "shingles")
     links = _links(written(side.join(known, "node"), "compared"))
