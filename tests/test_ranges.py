@@ -77,3 +77,15 @@ def test_ordered_digests(spark, block, n):
     got = {r.g: (r.digest, r.n) for r in ordered_digests(df, ["g"], ["i"], F.col("i").cast("string"), block, 3).collect()}
     assert got["x"] == got["y"] == (texts[0], n)
     assert got["z"] == (sha(["1"]), 1)  # whatever the other keys
+
+
+def test_digests_of_more_than_two_levels(spark):
+    from compare import DATA, duck
+
+    from quadrat.plans.evaluation import _digest_sql
+    from quadrat.sources import tables as T
+
+    o = T.table(spark, DATA, "orders").select(F.lit(1).alias("k"), F.col("o_orderkey").alias("survey"))
+    got = ordered_digests(o, ["k"], ["survey"], F.col("survey").cast("string"), block=8).select("digest", "n").collect()
+    _, want = duck(f"WITH {_digest_sql('o_orderkey::VARCHAR', 'NULL', 'orders', 'o_orderkey', 8)} SELECT digest, n FROM c")
+    assert [tuple(r) for r in got] == want and want[0][1] > 8**3
