@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quadrat.operators import ranking as R
 from quadrat.operators import search as S
+from quadrat.queries import QUERIES
 from quadrat.sources import tables as T
 
 
@@ -16,6 +17,13 @@ def test_no_row_a_candidate_is_shuffled(spark):
     assert below and "Exchange" not in above
 
 
+@pytest.mark.parametrize("name", ["protected_composer", "set_editor"])
+def test_composers_meet_by_survey_alone(spark, name):
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    above, _, below = plan.partition("Generate posexplode(concat(own")
+    assert below and "Exchange" not in above
+
+
 def test_marked_candidates(spark):
     own = T.surveys(spark, DATA).where("survey % 3 = 0").select("survey", "lat")
     got = T.marked(spark, DATA, T.prevalence(spark, DATA), own).select("survey", "species", "n", "hit", "truth").toPandas()
