@@ -24,6 +24,14 @@ def test_composers_meet_by_survey_alone(spark, name):
     assert below and "Exchange" not in above
 
 
+def test_gains_are_summed_where_they_arise(spark):
+    from quadrat.plans.policies import _each
+
+    plan = _each(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    above = plan.partition("Generate posexplode(concat(own")[0]
+    assert "own" in _each(spark, DATA).columns and "hashpartitioning(survey" not in above and "species" not in "".join(x for x in above.splitlines() if "Exchange" in x)
+
+
 def test_marked_candidates(spark):
     own = T.surveys(spark, DATA).where("survey % 3 = 0").select("survey", "lat")
     got = T.marked(spark, DATA, T.prevalence(spark, DATA), own).select("survey", "species", "n", "hit", "truth").toPandas()
