@@ -53,3 +53,26 @@ def test_odd_vectors_take_no_part(spark):
     got = sorted((a.query, a.rank, a.ref) for a in V.nearest(queries, refs, 3).collect())
     assert got == [(1, 1, 1), (1, 2, 2), (2, 1, 2), (2, 2, 1)]
     assert V.nearest(queries, refs.limit(0), 3).count() == 0 and V.nearest(queries.limit(0), refs, 3).count() == 0
+
+
+def test_a_query_is_sent_once_whatever_it_meets(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(0, 1, (600, 16))  # without structure: every range is met
+    q, refs = sides(spark, x, 5)
+    sizes, write = {}, V.written
+
+    def counted(df, kind):
+        out = write(df, kind)
+        sizes[kind] = out.count()
+        return out
+
+    monkeypatch.setattr(V, "written", counted)
+    got = sorted((a.query, a.rank, a.ref) for a in V.nearest(q, refs, 9).collect())
+    assert got == brute(x, 5, 9)
+    assert sizes["asked"] == q.count()
+
+
+def test_vectors_far_from_the_origin(spark):
+    x = 1e7 + np.random.default_rng(4).normal(0, 1, (200, 6))
+    q, refs = sides(spark, x, 4)
+    got = sorted((a.query, a.rank, a.ref) for a in V.nearest(q, refs, 5).collect())
+    assert got == brute(x, 4, 5)
