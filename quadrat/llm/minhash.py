@@ -294,46 +294,58 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return written(moved.unionByName(found.join(labels, "node", "left_anti")), "labels")
 
 
+def _sides(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``members`` (key, node and more) with the class of each."""
+    side = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return written(side, "sides")
+
+
+def _two_classes(side: DataFrame, *more: Column) -> DataFrame:
+    """key and ``more`` of the buckets that hold two classes."""
+    return side.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), *more).where("low <> high").drop("low", "high")
+
+
 def _split_buckets(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     """(key, node, label) of the members of buckets that hold two classes."""
-    side = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    side = written(side, "sides")
-    split = written(side.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"), "split")
-    return side.join(split, "key")
+    side = _sides(members, labels)
+    return side.join(written(_two_classes(side), "split"), "key")
+
 
+def _against_pivots(side: DataFrame, verify: Verifier) -> tuple[DataFrame, DataFrame]:
+    """(links of bucket members to the pivot of another class, members (key, node, weight) besides the pivots).
 
-def _against_pivots(side: DataFrame, weights: DataFrame, verify: Verifier) -> tuple[DataFrame, DataFrame]:
-    """(links of bucket members to the pivot of another class, members (key, node) besides the pivots)."""
-    heavy = side.join(weights, "node")
-    pivots = written(heavy.groupBy("key").agg(F.max(F.struct("weight", "node", "label")).alias("top")).select("key", F.col("top.node").alias("p"), F.col("top.label").alias("p_label")), "pivots")
+    ``side`` has key, node, weight and label; buckets of one class get no pivot, and their members go no further.
+    """
+    top = written(_two_classes(side, F.max(F.struct("weight", "node", "label")).alias("top")), "pivots")
+    pivots = top.select("key", F.col("top.node").alias("p"), F.col("top.label").alias("p_label"))
     tried = written(side.join(pivots, "key").where("node <> p"), "tried")
     pairs = tried.where("label <> p_label").select("p", F.col("node").alias("q")).distinct()
     links = verify(pairs).where(F.col("j") >= ENOUGH).select("p", "q")
-    return links, tried.select("key", "node")
+    return links, tried.select("key", "node", "weight")
 
 
 def _open_buckets(nodes: DataFrame, labels: DataFrame | None, bands: Column) -> DataFrame:
-    """(key, node) of the members of buckets of the given bands that hold two classes; labels are told apart by 64 bits.
+    """(key, node, n) of the members of buckets of the given bands that hold two classes, n being the bucket's members; labels are told apart by 64 bits.
 
     Buckets of one class are never joined with their members: each bucket is summed up before the shuffle.
     """
     own = nodes.select("node", bands.alias("keys"))
     own = own.withColumn("label", F.col("node")) if labels is None else own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     places = own.select("node", F.xxhash64("label").alias("label"), F.explode("keys").alias("key"))
-    split = places.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    return written(places.select("key", "node").join(written(split, "open"), "key"), "buckets")
+    split = written(_two_classes(places, F.count("*").alias("n")), "open")
+    return written(places.select("key", "node").join(split, "key"), "buckets")
 
 
 def _rounds(members: DataFrame, labels: DataFrame | None, rounds: int, verify: Verifier) -> tuple[DataFrame | None, DataFrame]:
     """(labels after so many rounds of pivots, members (key, node) that are left)."""
     if not rounds:
-        return labels, members
-    sizes = written(members.groupBy("key").agg(F.count("*").alias("n")), "sizes")
-    weights = written(members.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("weight")), "weights")
+        return labels, members.select("key", "node")
+    weights = written(members.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
+    members = members.select("key", "node").join(weights, "node")
     for _ in range(rounds):
-        links, members = _against_pivots(_split_buckets(members, labels), weights, verify)
+        links, members = _against_pivots(_sides(members, labels), verify)
         labels = _merged(labels, links)
-    return labels, members
+    return labels, members.select("key", "node")
 
 
 def _labels(docs: DataFrame, signed: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
@@ -350,7 +362,7 @@ def _labels(docs: DataFrame, signed: DataFrame, rounds: int) -> tuple[DataFrame,
     first = _open_buckets(nodes, None, F.slice("bands", 1, LEAD))
     labels, first = _rounds(first, None, rounds, verifier(first))
     others = _open_buckets(nodes, labels, F.slice("bands", LEAD + 1, BANDS - LEAD))
-    verify = verifier(others.unionByName(first))
+    verify = verifier(others.select("key", "node").unionByName(first))
     labels, others = _rounds(others, labels, rounds, verify)
     side = written(_split_buckets(first.unionByName(others), labels), "rest")
     parts = written(verify.shingle_sets(side.select("node").distinct()), "parts")
