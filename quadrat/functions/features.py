@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadrat.operators import search as S
+
 
 def fourier(lat: Column, lon: Column, octaves: int) -> dict[str, Column]:
     """lat/90, lon/180 and sines and cosines of both at frequencies 1, 2, 4, ..."""
@@ -105,22 +110,45 @@ def with_flag(always: Column, sometimes: Column, there: Column) -> Column:
     return F.concat(always, masked, F.array(there.cast("double")))
 
 
-def edit_columns(ranks: DataFrame, size: int, depth: int) -> DataFrame:
-    """Columns of the candidates of an edit from survey, species, p, q and their ranks, and ``rank_b`` of the list itself."""
-    mine = Window.partitionBy("survey")
-    inside = F.col("rank_b") <= size
-    own = {c: F.col(f"rank_{c}") <= depth for c in "pq"}
-    part = lambda c, k, f: f(F.when(F.col(f"rank_{c}") <= k, F.col(c))).over(mine)
-    full = ranks.withColumns({f"{n}_{c}": part(c, k, f) for c in "pq" for n, k, f in (("total", depth, F.sum), ("head", 10, F.sum), ("last", depth, F.min))}).withColumn("_n", F.count_if(inside).over(mine))
-    few = full.where(inside | own["p"] | own["q"]).withColumns({f"v{c}": F.when(own[c], F.col(c)).otherwise(F.col(f"last_{c}") * 0.5) for c in "pq"})
-    few = few.withColumns({f"inside_{c}": F.sum(F.when(inside, F.col(f"v{c}")).otherwise(0.0)).over(mine) for c in "pq"})
-    r = lambda c, n: F.round(c, 6).alias(n)
-    return few.select(
-        "survey", "species", inside.cast("int").alias("inside"), r(F.when(inside, F.col("rank_b") - 1).otherwise(40) / F.lit(40.0), "place"), r(F.col("_n") / F.lit(40.0), "size"), r("vp", "vp"), r("vq", "vq"),
-        *[r(F.least(F.col(f"rank_{c}") - 1, F.lit(depth)) / F.lit(128.0), f"k{c}") for c in "pq"], *[(~own[c]).cast("int").alias(f"m{c}") for c in "pq"],
-        r(F.col("vp") * F.col("vq"), "product"), r(F.col("vp") - F.col("vq"), "difference"),
-        *[r(F.col(f"{n}_{c}") / 40, f"{n}_{c}") for n in ("inside", "total", "head") for c in "pq"], *[r(f"last_{c}", f"last_{c}") for c in "pq"],
-    )
+#: Columns of an edit besides survey and species; those of _FLAGS are 0 or 1.
+_EDITS = ("inside", "place", "size", "vp", "vq", "kp", "kq", "mp", "mq", "product", "difference", *[f"{n}_{c}" for n in ("inside", "total", "head", "last") for c in "pq"])
+_FLAGS = ("inside", "mp", "mq")
+
+
+def edit_columns(rows: DataFrame, size: int, depth: int) -> DataFrame:
+    """Columns of the candidates of an edit of the first ``size`` by p + q, from survey, species, p and q.
+
+    A survey's rows follow each other and are told apart by ``_row``: surveys are ranked by numpy in batches, and no row is shuffled.
+    """
+    r = lambda v: S.rounded(v, 6)
+    places, depths = r(np.append(np.arange(size), 40) / 40.0), r(np.arange(depth + 1) / 128.0)
+
+    def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, starts in S._whole(batches, "_row"):
+            survey, species, p, q = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("survey", "species", "p", "q"))
+            for which, at, own in S._classes(starts, batch.num_rows, species):
+                out, rank, of = {}, {}, {}
+                shorter = np.minimum(own.sum(axis=1), depth)
+                for c, v in (("p", p), ("q", q), ("b", p + q)):
+                    order, minus = S._sorted(v, at, own)
+                    rank[c] = np.argsort(order, axis=1)  # from 0
+                    best = np.where(own, -minus, 0.0)
+                    of[f"total_{c}"], of[f"head_{c}"] = best[:, :depth].sum(axis=1) / 40, best[:, :10].sum(axis=1) / 40
+                    of[f"last_{c}"] = np.take_along_axis(best, shorter[:, None] - 1, 1)[:, 0]
+                inside = own & (rank["b"] < size)
+                near = {c: own & (rank[c] < depth) for c in "pq"}
+                few = inside | near["p"] | near["q"]
+                v = {c: np.where(near[c], x[at], of[f"last_{c}"][:, None] * 0.5) for c, x in (("p", p), ("q", q))}
+                of |= {"size": inside.sum(axis=1) / 40.0} | {f"inside_{c}": np.where(inside, v[c], 0.0).sum(axis=1) / 40 for c in "pq"}
+                each = np.repeat(np.arange(len(which)), few.sum(axis=1))
+                out = {c: r(x)[each] for c, x in of.items() if c in _EDITS}
+                out |= {"inside": inside[few], "place": places[np.where(inside, rank["b"], size)[few]], "product": r((v["p"] * v["q"])[few]), "difference": r((v["p"] - v["q"])[few])}
+                for c in "pq":
+                    out |= {f"v{c}": r(v[c][few]), f"k{c}": depths[np.minimum(rank[c], depth)[few]], f"m{c}": ~near[c][few]}
+                yield pa.RecordBatch.from_arrays([pa.array(survey[at[few]]), pa.array(species[at[few]]), *[pa.array(out[c].astype(np.int32) if c in _FLAGS else out[c]) for c in _EDITS]], ["survey", "species", *_EDITS])
+
+    kinds = ", ".join(["survey long", "species long", *[f"{c} {'int' if c in _FLAGS else 'double'}" for c in _EDITS]])
+    return rows.select("_row", F.col("survey").cast("long"), F.col("species").cast("long"), "p", "q").mapInArrow(columns, kinds)
 
 
 def pooled(rows: DataFrame, key: str, values: str, width: int, by: int) -> DataFrame:

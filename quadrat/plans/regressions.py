@@ -32,8 +32,7 @@ def count_regression(spark: SparkSession, d: str) -> DataFrame:
 @register("edit_regression")
 def edit_regression(spark: SparkSession, d: str) -> DataFrame:
     """The predicted gain of every single edit, regressed on the true gains of training surveys of equal total weight."""
-    ranks = R.ranked_by(T.scores(spark, d).withColumn("b", F.col("p") + F.col("q")), "p", "q", "b")
-    table = written(E.edit_columns(ranks, 12, 16), "edits")
+    table = written(E.edit_columns(T.marked(spark, d), 12, 16), "edits")
     some = G.sampled(table.where("survey % 5 <> 0"), 1_000)
     rows = G.edit_targets(table.join(F.broadcast(some), "survey", "left_semi"), "inside", T.pairs(spark, d))
     predict = G.fitted(rows, [c for c in table.columns if c not in ("survey", "species")], "target", "share")
