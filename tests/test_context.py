@@ -58,7 +58,7 @@ def test_known_pairs(spark, tmp_path, size):
     items = T.numbered(spark, d, counts)
     lists = T.numbered_lists(spark, d, items)
     got = {}
-    known = H.known_pairs(lists, items.where("id >= 0"), lambda s: T.places(s, size), lambda i: T.places_around(i, size), T.place_cell, "survey % 5 <> 0")
+    known = H.known_pairs(lists, items.where("id >= 0"), lambda s: T.places(s, size), lambda i: T.places_around(i, size), T.place_cell, "survey % 5 <> 0", 4)
     for r in known.collect():
         assert got.setdefault(r.survey, {}).setdefault((r.i, r.j), r.n) == r.n
     own = {r.survey: {x.id for x in r.own} for r in lists.collect()}
